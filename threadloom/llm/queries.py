@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, html_text, line_dedup, media, packing, pii, secrets, topk, toxicity
+from . import bpe, html_text, line_dedup, media, ngram_join, packing, pii, secrets, topk, toxicity
 from .common import table
 
 
@@ -18,6 +18,10 @@ def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.report(media.store(table(spark, sf_dir, "documents", "doc_id", "text")))
 
 
+def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     model = toxicity.train(docs, table(spark, sf_dir, "labels", "doc_id", "toxic"))
