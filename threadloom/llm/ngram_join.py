@@ -133,7 +133,7 @@ def _postings(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.Re
         sink = pa.BufferOutputStream()
         with pa.ipc.new_stream(sink, listed.schema) as writer:
             writer.write_batch(listed)
-        rows.append((chunk % buckets, chunk, True, sink.getvalue().to_pybytes(), x[hot].tobytes(), b"", b""))
+        rows.append(((chunk + (chunk >> 20)) % buckets, chunk, True, sink.getvalue().to_pybytes(), x[hot].tobytes(), b"", b""))
         chunk += 1
         held = 0
         for y in (ids, sizes, digests, packed, seen):
