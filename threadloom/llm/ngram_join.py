@@ -11,7 +11,8 @@ least NUM / DEN.  The join works in four steps, none of which emits the pairs of
    with equal sets become one class.  A class whose tokens are to over a quarter its own
    can link with nothing and is done.
 2. Leaders.  Classes with the same min-hash are compared with the most central one of
-   them; the links found make components, which become the groups.
+   them; the links found make components, which become the groups.  Groups that meet on
+   a token of the matrix then compare their own most central classes and join likewise.
 3. Token-group matrix.  Groups are split into blocks of about BLOCK classes; each keeps
    the union of its tokens.  The matrix holds which blocks have which tokens in the
    members' index prefixes (rarest tokens first).  A class looks up its probe prefix, in
@@ -204,16 +205,12 @@ def _documents(table: pa.Table) -> pa.Table:
     return pa.Table.from_arrays([pa.array(at, pa.int64()), listed.column("doc_id"), listed.column("n"), listed.column("digest"), pa.array(tokens, pa.binary()), pa.array(counts, pa.binary())], schema=_FOUND)
 
 
-CLASS = "node long, n long, own long, most long, central double, keys array<long>, probe array<long>, index array<long>, tokens binary"
+CLASS = "node long, n long, own long, central double, keys array<long>, probe array<long>, index array<long>, tokens binary"
 
 
 def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Classes that may have links: tokens shared with other classes, prefixes, min-hashes.
-
-    `most` is the largest size that a linked document can have, from 7 * overlap >= 3 *
-    (sum of sizes), for NUM / DEN of 3 / 4.
-    """
-    types = [pa.int64()] * 4 + [pa.float64()] + [pa.list_(pa.int64())] * 3 + [pa.binary()]
+    """Classes that may have links: tokens shared with other classes, prefixes, min-hashes."""
+    types = [pa.int64()] * 3 + [pa.float64()] + [pa.list_(pa.int64())] * 3 + [pa.binary()]
     names = [x.split()[0] for x in CLASS.split(", ")]
     for batch in batches:
         rows = []
@@ -229,7 +226,7 @@ def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             # the smaller of two linked documents shares 2 NUM / (NUM + DEN) of its tokens at least
             least = -(-2 * NUM * n // (NUM + DEN))
             keys = [int(_mix(token ^ s).min().astype(np.int64)) for s in _SEEDS]
-            rows.append((r["node"], n, own, (NUM + DEN) * len(token) // NUM - n, float(count.sum()) / n, keys, at[: _own(n) - own].tolist(), at[: max(0, n - least + 1 - own)].tolist(), token.tobytes()))
+            rows.append((r["node"], n, own, float(count.sum()) / n, keys, at[: _own(n) - own].tolist(), at[: max(0, n - least + 1 - own)].tolist(), token.tobytes()))
         yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), types)] if rows else [pa.array([], t) for t in types], names)
 
 
@@ -271,46 +268,72 @@ def _with_component(classes: DataFrame, found: DataFrame) -> DataFrame:
     return classes.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
 
 
+def _compared(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """Those of the pairs (a, b) of classes that link."""
+    x, y = (classes.select(F.col("node").alias(s), F.col("n").alias(f"n{s}"), F.col("tokens").alias(f"t{s}")) for s in "ab")
+    return pairs.join(x, "a").join(y, "b").where(f"least(na, nb) * {DEN} >= greatest(na, nb) * {NUM}").select("a", "b", "na", "nb", "ta", "tb").mapInArrow(_linked, "a long, b long")
+
+
 def _by_leaders(classes: DataFrame) -> DataFrame:
     """Links between classes and the most central class with the same min-hash."""
     keyed = classes.select("node", "central", F.explode("keys").alias("key"))
     leaders = keyed.groupBy("key").agg(F.max(F.struct("central", "node")).alias("top"), F.count("*").alias("k")).where("k > 1").select("key", F.col("top.node").alias("b"))
-    pairs = keyed.join(leaders, "key").select(F.col("node").alias("a"), "b").where("a <> b").distinct()
-    x, y = (classes.select(F.col("node").alias(s), F.col("n").alias(f"n{s}"), F.col("tokens").alias(f"t{s}")) for s in "ab")
-    return pairs.join(x, "a").join(y, "b").where(f"least(na, nb) * {DEN} >= greatest(na, nb) * {NUM}").select("a", "b", "na", "nb", "ta", "tb").mapInArrow(_linked, "a long, b long")
+    return _compared(keyed.join(leaders, "key").select(F.col("node").alias("a"), "b").where("a <> b").distinct(), classes)
 
 
-def _by_matrix(classes: DataFrame) -> DataFrame:
-    """Links between classes of different components, by the token-group matrix."""
-    sizes = classes.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
-    dealt = written(classes.join(sizes, "component").withColumn("block", F.xxhash64("component", F.pmod(F.xxhash64("node"), "blocks"))))
-    asked = dealt.select(F.explode("probe").alias("token"), "component", "node", "n", "most")
-    matrix = (
-        dealt.select(F.explode("index").alias("token"), "component", "block", "n", "most")
-        .groupBy("token", "component", "block")
-        .agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.max("most").alias("most"))
-    )
-    # groups that share a token, before any member is looked at
-    rows = asked.groupBy("token", "component").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
-    columns = matrix.groupBy("token", "component").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-    meet = (
+def _prefix(grouped: DataFrame, prefix: str, *columns: str) -> DataFrame:
+    """A row for each token of a prefix, with `most`: how large a linked document can be whose first common token it is.
+
+    What comes before that token is not shared, which leaves n - place for the overlap,
+    and (NUM + DEN) * overlap >= NUM * (sum of sizes).
+    """
+    rows = grouped.select(F.posexplode(prefix).alias("place", "token"), "own", "n", "component", *columns)
+    return rows.withColumn("most", F.expr(f"({NUM + DEN} * (n - own - place)) div {NUM} - n"))
+
+
+def _matrix(grouped: DataFrame) -> DataFrame:
+    """(token, component, block, lo, hi, most): which blocks of groups have which tokens in index prefixes."""
+    return _prefix(grouped, "index", "block").groupBy("token", "component", "block").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.max("most").alias("most"))
+
+
+def _meeting(grouped: DataFrame, matrix: DataFrame) -> DataFrame:
+    """(token, own, other): groups whose probe prefixes meet another group's row of the matrix."""
+    rows = _prefix(grouped, "probe").groupBy("token", "component").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.max("most").alias("most"))
+    columns = matrix.groupBy("token", "component").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.max("most").alias("most"))
+    return (
         rows.alias("x")
-        .join(columns.alias("y"), F.expr(f"x.token = y.token AND x.component <> y.component AND x.hi >= y.lo AND x.lo * {NUM} <= y.hi * {DEN}"))
+        .join(columns.alias("y"), F.expr(f"x.token = y.token AND x.component <> y.component AND x.hi >= y.lo AND x.lo * {NUM} <= y.hi * {DEN} AND y.lo <= x.most AND x.lo <= y.most"))
         .select("x.token", F.col("x.component").alias("own"), F.col("y.component").alias("other"))
     )
-    meet = written(meet)
+
+
+def _by_group_leaders(grouped: DataFrame) -> DataFrame:
+    """Links between the most central classes of groups that meet."""
+    meet = _meeting(grouped, _matrix(grouped.withColumn("block", F.col("component"))))
+    tops = grouped.groupBy("component").agg(F.max(F.struct("central", "node")).alias("top")).select("component", F.col("top.node").alias("node"))
+    x, y = tops.select(F.col("component").alias("own"), F.col("node").alias("a")), tops.select(F.col("component").alias("other"), F.col("node").alias("b"))
+    pairs = meet.select(F.least("own", "other").alias("own"), F.greatest("own", "other").alias("other")).distinct()
+    return _compared(pairs.join(x, "own").join(y, "other").select("a", "b"), grouped)
+
+
+def _by_matrix(grouped: DataFrame) -> DataFrame:
+    """Links between classes of different groups, by the token-group matrix."""
+    sizes = grouped.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    dealt = written(grouped.join(sizes, "component").withColumn("block", F.xxhash64("component", F.pmod(F.xxhash64("node"), "blocks"))))
+    matrix = _matrix(dealt)
+    meet = written(_meeting(dealt, matrix))
     pairs = (
-        asked.alias("x")
+        _prefix(dealt, "probe", "node").alias("x")
         .join(meet.alias("m"), F.expr("x.token = m.token AND x.component = m.own"))
         .join(matrix.alias("y"), F.expr(f"y.token = m.token AND y.component = m.other AND x.n >= y.lo AND x.n * {NUM} <= y.hi * {DEN} AND y.lo <= x.most AND x.n <= y.most"))
         .select("x.node", "y.block")
         .distinct()
     )
     pairs = written(pairs)
-    used = pairs.select("block").distinct()
     members = F.collect_list(F.struct("node", "n", "tokens")).alias("members")
-    blocks = dealt.join(used, "block", "left_semi").groupBy("block").agg(F.min("n").alias("least"), members).mapInArrow(_union, "block long, least long, members array<struct<node:bigint,n:bigint,tokens:binary>>, union binary")
-    return pairs.join(classes.select("node", "n", "tokens"), "node").join(blocks, "block").select("node", "n", "tokens", "least", "union", "members").mapInArrow(_opened, "a long, b long")
+    used = dealt.join(pairs.select("block").distinct(), "block", "left_semi").groupBy("block").agg(F.min("n").alias("least"), members)
+    blocks = used.mapInArrow(_union, "block long, least long, members array<struct<node:bigint,n:bigint,tokens:binary>>, union binary")
+    return pairs.join(grouped.select("node", "n", "tokens"), "node").join(blocks, "block").select("node", "n", "tokens", "least", "union", "members").mapInArrow(_opened, "a long, b long")
 
 
 def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -330,8 +353,8 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
     sets = found.where("tokens IS NOT NULL").groupBy("digest").agg(F.min("row").alias("node"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("tokens").alias("tokens"), F.first("counts").alias("counts"))
     classes = written(sets.select("node", "n", "copies", "tokens", "counts").mapInArrow(_classes, CLASS))
     led = written(_by_leaders(classes))
-    grouped = _with_component(classes, components(led))
-    more = _by_matrix(grouped)
+    led = written(led.unionByName(_by_group_leaders(_with_component(classes, components(led)))))
+    more = _by_matrix(_with_component(classes, components(led)))
     of = components(led.unionByName(more))
     ids = found.groupBy("digest").agg(F.min("row").alias("least"), F.min(F.when(F.col("tokens").isNotNull(), F.col("row"))).alias("node"), F.min("doc_id").alias("doc_id"))
     ids = written(ids.join(of, "node", "left").select("digest", "doc_id", F.coalesce("component", "least").alias("component")))
