@@ -156,18 +156,21 @@ class CharCnn:
         return g | {"c": gc, "cb": gcb, "e": ge}
 
     def calibrate(self, x: np.ndarray, y: np.ndarray, steps: int = 200) -> None:
-        """Platt scaling on findings that training has not seen."""
+        """Platt scaling on findings that training has not seen; a step is halved until the loss falls."""
         z = self.logit(x)
-        a, b = 1.0, 0.0
+        loss = lambda at: float((np.logaddexp(0, at[0] * z + at[1]) - y * (at[0] * z + at[1])).sum() + 5e-4 * ((at[0] - 1) ** 2 + at[1] ** 2))
+        at = np.array([1.0, 0.0])
         for _ in range(steps):
-            p = 1 / (1 + np.exp(-np.clip(a * z + b, -40, 40)))
+            p = 1 / (1 + np.exp(-np.clip(at[0] * z + at[1], -40, 40)))
             d, h = p - y, np.maximum(p * (1 - p), 1e-6)
             H = np.array([[(h * z * z).sum() + 1e-3, (h * z).sum()], [(h * z).sum(), h.sum() + 1e-3]])
-            step = np.linalg.solve(H, [(d * z).sum() + 1e-3 * (a - 1), d.sum() + 1e-3 * b])
-            a, b = a - step[0], b - step[1]
+            step, now = np.linalg.solve(H, [(d * z).sum() + 1e-3 * (at[0] - 1), d.sum() + 1e-3 * at[1]]), loss(at)
+            while loss(at - step) > now and np.abs(step).max() > 1e-9:
+                step = step / 2
+            at = at - step
             if np.abs(step).max() < 1e-8:
                 break
-        self.scale, self.shift = a, b
+        self.scale, self.shift = float(at[0]), float(at[1])
 
 
 _UPPER, _LOWER, _DIGITS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"

@@ -188,20 +188,27 @@ def fit(rows: list[list[int]], labels: list[int], pairs: list[tuple[list[int], l
 
 
 def calibration(z: np.ndarray, y: np.ndarray, steps: int = 100) -> tuple[float, float]:
-    """Scale and shift of Platt's method, with his smoothed targets."""
+    """Scale and shift of Platt's method, with his smoothed targets; a step is halved until the loss falls."""
     n1, n0 = y.sum(), (1 - y).sum()
     target = np.where(y == 1, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
-    a, b = 1.0, 0.0
+
+    def loss(at: np.ndarray) -> float:
+        s = at[0] * z + at[1]
+        return float((np.logaddexp(0, s) - target * s).sum() + 5e-3 * (at[0] - 1) ** 2)
+
+    at = np.array([1.0, 0.0])
     for _ in range(steps):
-        p = _sigmoid(a * z + b)
+        p = _sigmoid(at[0] * z + at[1])
         h = np.maximum(p * (1 - p), 1e-6)
-        g = np.array([((p - target) * z).sum() + 1e-2 * (a - 1), (p - target).sum()])
+        g = np.array([((p - target) * z).sum() + 1e-2 * (at[0] - 1), (p - target).sum()])
         H = np.array([[(h * z * z).sum() + 1e-2, (h * z).sum()], [(h * z).sum(), h.sum() + 1e-6]])
-        step = np.linalg.solve(H, g)
-        a, b = a - step[0], b - step[1]
+        step, now = np.linalg.solve(H, g), loss(at)
+        while loss(at - step) > now and np.abs(step).max() > 1e-9:
+            step = step / 2
+        at = at - step
         if np.abs(step).max() < 1e-7:
             break
-    return float(max(a, 1e-3)), float(b)
+    return float(max(at[0], 1e-3)), float(at[1])
 
 
 def held_out(doc_id: Column) -> Column:
