@@ -3,6 +3,7 @@
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 from threadloom.plans.queries import ORACLES, QUERIES
@@ -12,7 +13,7 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables"
 
 
 def rows(df, columns):
-    one = lambda v: "" if v is None or v != v else f"{v:.9g}" if isinstance(v, float) else str(v)
+    one = lambda v: "" if v is None or v is pd.NA or v != v else str(int(v)) if isinstance(v, float) and v.is_integer() else f"{v:.9g}" if isinstance(v, float) else str(v)
     return sorted(tuple(map(one, r)) for r in df[columns].itertuples(index=False))
 
 

@@ -1,7 +1,9 @@
-"""Lexical search: phrase-free BM25, substrings, fusion by reciprocal rank, chain scores."""
+"""Lexical search: BM25 of words and of phrases, substrings, snippets, fusion by reciprocal rank, chain scores."""
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,6 +13,12 @@ K1, B, RRF = 1.2, 0.75, 60
 LEAST_IDF = 1e-6
 
 
+def _gain(i: int) -> Column:
+    tf, n = F.col(f"t{i}"), F.col(f"n{i}")
+    idf = F.greatest(F.log((F.col("n") - n + 0.5) / (n + 0.5)), F.lit(LEAST_IDF))
+    return idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+
+
 def bm25(entries: DataFrame, terms: list[str], entry: str = "entry_id", text: str = "text") -> DataFrame:
     """(entry_id, score) of the entries that hold every term.
 
@@ -22,14 +30,9 @@ def bm25(entries: DataFrame, terms: list[str], entry: str = "entry_id", text: st
     rows = entries.select(F.col(entry).alias("entry_id"), own.alias("w")).select("entry_id", F.size("w").alias("dl"), *[often(t).alias(f"t{i}") for i, t in enumerate(terms)])
     stats = rows.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *[F.count_if(F.col(f"t{i}") > 0).alias(f"n{i}") for i in range(len(terms))])
 
-    def part(i: int) -> Column:
-        tf, n = F.col(f"t{i}"), F.col(f"n{i}")
-        idf = F.greatest(F.log((F.col("n") - n + 0.5) / (n + 0.5)), F.lit(LEAST_IDF))
-        return idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-
     every = rows.where(" AND ".join(f"t{i} > 0" for i in range(len(terms))) or "false")
     # the statistics are one row
-    return every.join(F.broadcast(stats)).select("entry_id", sum((part(i) for i in range(len(terms))), F.lit(0.0)).alias("score"))
+    return every.join(F.broadcast(stats)).select("entry_id", sum((_gain(i) for i in range(len(terms))), F.lit(0.0)).alias("score"))
 
 
 def containing(entries: DataFrame, needle: str, entry: str = "entry_id", text: str = "text") -> DataFrame:
@@ -59,3 +62,48 @@ def chain_scores(hits: DataFrame, found: DataFrame, k: int) -> DataFrame:
     rows = hits.join(found, "entry_id").withColumn("i", place)
     chains = rows.groupBy("root_id").agg(F.sum(F.col("score") / F.col("i")).alias("score"), F.count("*").alias("matched"), F.min_by("entry_id", "i").alias("best"))
     return chains.orderBy(F.desc("score"), "root_id").limit(k)
+
+
+def query_terms(asked: str) -> list[str]:
+    """Terms of a query: quoted runs whole, else words, without marks at either end; an open quote runs to the end."""
+    found = re.findall(r'"([^"]*)"?|([^\s"]+)', asked)
+    return [t for t in (re.sub(r"^[\W_]+|[\W_]+$", "", a or b) for a, b in found) if t]
+
+
+def is_identifier(term: str) -> bool:
+    """Whether a term holds a digit, or a hyphen between letters or digits."""
+    return bool(re.search(r"\d|[^\W_]-[^\W_]", term))
+
+
+def phrases(entries: DataFrame, terms: list[str], fields: dict[str, float], entry: str = "entry_id") -> DataFrame:
+    """(entry_id, score) of entries that hold every term, as a run of words, in one of the weighted columns.
+
+    Counts of a phrase are weighted by column; lengths and document counts are of the
+    whole table, over all columns.  The words of a row never leave it.
+    """
+    wanted = [t for t in (re.findall("[a-z0-9]+", x.lower()) for x in terms) if t]
+    words = {c: tokens(F.col(c)) for c in fields}
+
+    def often(c: str, phrase: list[str]) -> Column:
+        w, n = F.col(f"w_{c}"), len(phrase)
+        starts = F.filter(F.transform(w, lambda x, i: F.when(x == phrase[0], i)), lambda i: i.isNotNull())
+        return F.size(F.filter(starts, lambda i: F.slice(w, i + 1, n) == F.array(*map(F.lit, phrase)))) if n > 1 else F.size(F.filter(w, lambda x: x == phrase[0]))
+
+    rows = entries.select(F.col(entry).alias("entry_id"), *[w.alias(f"w_{c}") for c, w in words.items()])
+    length = sum((F.size(f"w_{c}") for c in fields), F.lit(0))
+    rows = rows.select("entry_id", length.alias("dl"), *[sum((often(c, p) * F.lit(float(x)) for c, x in fields.items()), F.lit(0.0)).alias(f"t{i}") for i, p in enumerate(wanted)])
+    stats = rows.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *[F.count_if(F.col(f"t{i}") > 0).alias(f"n{i}") for i in range(len(wanted))])
+    every = rows.where(" AND ".join(f"t{i} > 0" for i in range(len(wanted))) or "false")
+    # the statistics are one row
+    return every.join(F.broadcast(stats)).select("entry_id", sum((_gain(i) for i in range(len(wanted))), F.lit(0.0)).alias("score"))
+
+
+def snippet(text: Column, terms: list[str], width: int = 12) -> Column:
+    """The window of words around the first match, matches in brackets, an ellipsis where words are left out; null without a match."""
+    wanted = [w for t in terms for w in re.findall("[a-z0-9]+", t.lower())]
+    w = F.filter(F.split(F.coalesce(text, F.lit("")), r"\s+"), lambda x: x != "")
+    hit = lambda x: F.lower(F.regexp_replace(x, "[^A-Za-z0-9]", "")).isin(*wanted)
+    at = F.array_position(F.transform(w, hit), True).cast("int")
+    start = F.greatest(at - width // 2, F.lit(1))
+    shown = F.array_join(F.transform(F.slice(w, start, width), lambda x: F.when(hit(x), F.concat(F.lit("["), x, F.lit("]"))).otherwise(x)), " ")
+    return F.when(at > 0, F.concat(F.when(start > 1, "… ").otherwise(""), shown, F.when(start + width - 1 < F.size(w), " …").otherwise("")))

@@ -1,0 +1 @@
+from . import queries, recovered  # noqa: F401  both register their queries
