@@ -24,7 +24,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _sized(line_dedup.drop_boilerplate(docs), docs.columns)
+    # copies of one document can be over the ratio; the next stage leaves one of them
+    return _sized(line_dedup.drop_boilerplate(docs, never_empty=True), docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -37,3 +37,14 @@ def test_stages(spark):
     encode = packing.encoder(packing.default_vocabulary())
     assert sum(r["length"] for r in packed) == sum(len(np.append(encode(r["text"] or ""), 0)) for r in before.collect())
     assert corpus_pipeline.run(spark, DATA).count() == len(packed)
+
+
+def test_one_of_many_copies_keeps_its_text(spark):
+    copy = "\n".join(f"line {i} of a text that fills its source with copies" for i in range(6))
+    rows = [(i, copy, "s") for i in range(40)] + [(100 + i, f"menu\nown words {i} of page {i} go here {i * i}", "s") for i in range(60)] + [(200, "\n \n", "s")]
+    docs = spark.createDataFrame([(*r, len(r[1])) for r in rows], "doc_id long, text string, source string, n_chars long")
+    lines = corpus_pipeline.drop_lines(spark, docs, "")
+    got = {r["doc_id"]: (r["text"], r["n_chars"]) for r in lines.collect()}
+    assert got[0] == got[39] == (copy, len(copy)) and got[100][0] == "own words 0 of page 0 go here 0" and got[200][0] == "\n \n"
+    left = [r["text"] for r in corpus_pipeline.drop_near_copies(spark, lines, "").collect()]
+    assert left.count(copy) == 1 and len(left) == 62

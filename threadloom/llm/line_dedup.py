@@ -52,12 +52,15 @@ def boilerplate_lines(pages: DataFrame, host: str = "source", text: str = "text"
     )
 
 
-def drop_boilerplate(pages: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
+def drop_boilerplate(pages: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES, never_empty: bool = False) -> DataFrame:
     """Every row and column of `pages`, with boilerplate lines taken out of `text`.
 
     Adds n_lines (lines before; 0 for a null text) and n_dropped.  A null text stays
     null, an empty one has one blank line and stays empty.  Columns of `pages` with the
     added names are replaced.  An empty table gives an empty table.
+
+    With `never_empty`, a text all of whose lines that are not blank would go stays as it
+    is: where copies of one page are over the ratio, each of its lines is.
     """
     per_host = written(
         boilerplate_lines(pages, host, text, ratio, min_pages).groupBy("host").agg(F.collect_set("digest").alias("digests")).select(F.col("host").alias("__host"), F.col("digests").alias("__digests"))
@@ -66,6 +69,8 @@ def drop_boilerplate(pages: DataFrame, host: str = "source", text: str = "text",
     lines = _lines(F.col(text))
     kept = F.filter(lines, lambda x: (F.trim(x) == "") | ~F.array_contains(F.col("__digests"), _digest(x)))
     some = F.col("__digests").isNotNull() & F.col(text).isNotNull()
+    if never_empty:
+        kept = F.when(F.exists(kept, lambda x: F.trim(x) != ""), kept).otherwise(lines)
     out = joined.withColumn("__kept", F.when(some, kept))
     columns = [c for c in pages.columns if c not in ("n_lines", "n_dropped")]
     n_lines = F.when(F.col(text).isNull(), 0).otherwise(F.size(lines)).cast("long")
