@@ -234,3 +234,26 @@ def test_secret_network_recall():
     p = net.probability(np.stack([secrets._codes(*r[:3]) for r in rows]))
     y = np.array([r[3] for r in rows])
     assert (p[y == 1] >= threshold).mean() >= 0.85 and (p[y == 0] >= threshold).mean() <= 0.05
+
+
+def test_secret_network_scores_every_run():
+    r = np.random.default_rng(4)
+    letters = np.array([*"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"])
+    keys = ["".join(r.choice(letters, 20)) for _ in range(200)]
+    texts = [f"use {k} for the door" for k in keys]
+    assert [secrets.candidates(t, []) for t in texts] == [[(4, 24)]] * 200
+    assert secrets.candidates("-" * 20 + " " + "9" * 16, []) == [(0, 20), (21, 37)]
+    net, threshold = secrets.trained()
+    found = lambda t: bool(secrets.find_secrets(t, net, threshold)[1])
+    assert np.mean([found(t) for t in texts]) >= 0.85
+    path = "lorem/dolor/sitamet/conse/tetur/adipis"
+    assert np.mean([found(f"see {path}/{k + k[::-1]}/{path}") for k in keys]) >= 0.85
+    assert not found(f"see {path}/{path}/{path}") and not found("-" * 80)
+
+
+def test_secret_windows_slide():
+    net, _ = secrets.trained()
+    text = "key: " + "abcdefghij/" * 9 + "Zq8Xw2Lm9Tr4Vb7Nc1Kd" + "/abcdefghij" * 9 + " end"
+    whole = secrets._whole(text, 5, len(text) - 4)
+    assert net.highest(secrets._whole("a " + "Zq8X" * 12, 2, 50)) == pytest.approx(net.probability(secrets._codes("a " + "Zq8X" * 12, 2, 50)[None])[0])
+    assert net.highest(whole, 7) == pytest.approx(net.highest(whole))

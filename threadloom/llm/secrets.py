@@ -1,15 +1,16 @@
 """Secret scans: base patterns, and a character convolutional network for the rest.
 
 Base kinds are assignments to secret-like names, access key ids and long hexadecimal
-runs.  Beyond them, every other candidate - a run of token characters with a digit and
-letters in it - is scored from its characters and those around it by a small
-convolutional network in numpy: character embedding, one convolution, maximum over
-positions, a hidden layer.  It is trained on labelled findings, made by rule with a
+runs.  Beyond them, every other candidate - a run of 16 or more token characters - is
+scored from its characters and those around it by a small convolutional network in
+numpy: character embedding, one convolution, maximum over positions, a hidden layer.  A
+run longer than the network is wide has the highest score of all windows of that width
+in it, one character apart.  The network is trained on labelled findings, made by rule with a
 fixed seed: secrets of several forms in the contexts that hold them, and the look-alikes
 that are none (words with numbers, versions, dates, paths, identifiers, card and phone
-numbers).  Scores are calibrated on held-out findings, and the threshold is the highest
-that meets the recall asked for on yet other findings, or CERTAIN where that is higher
-still.
+numbers, rules, long words of letters only).  Scores are calibrated on held-out findings,
+and the threshold is the highest that meets the recall asked for on yet other findings,
+scanned as texts are, or CERTAIN where that is higher still.
 
 The network is trained once on the driver from the fixed findings, whose number is a
 parameter, and is a few kilobytes of weights; scanning moves no rows.
@@ -20,6 +21,7 @@ from __future__ import annotations
 import random
 import re
 from functools import lru_cache
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -56,7 +58,7 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 
 def candidates(text: str, base: list[tuple[str, int, int]]) -> list[tuple[int, int]]:
-    """Runs that no base span touches, with letters and at least two digits."""
+    """Runs of token characters that no base span touches."""
     out, ends, i = [], sorted((a, b) for _, a, b in base), 0
     for m in _CANDIDATE.finditer(text):
         a, b = m.span()
@@ -64,24 +66,29 @@ def candidates(text: str, base: list[tuple[str, int, int]]) -> list[tuple[int, i
             i += 1
         if i < len(ends) and ends[i][0] < b:
             continue
-        run = m[0]
-        digits = sum(c.isdigit() for c in run)
-        if 2 <= digits and any(c.isalpha() for c in run):
-            out.append((a, b))
+        out.append((a, b))
     return out
 
 
-def _codes(text: str, start: int, end: int) -> np.ndarray:
-    """Codes of a candidate's surroundings and its own first and last characters; 0 pads."""
+def _whole(text: str, start: int, end: int) -> np.ndarray:
+    """Codes of a candidate between marks, and of what stands before and after it; 0 pads to WIDTH at least."""
     before = text[max(0, start - AROUND) : start].rjust(AROUND, "\0")
     after = text[end : end + AROUND].ljust(AROUND, "\0")
-    own = text[start:end]
-    if len(own) > WIDTH:
-        own = own[: WIDTH // 2] + own[-WIDTH // 2 :]
-    codes = np.frombuffer((before + "\1" + own.ljust(WIDTH, "\0") + "\2" + after).encode("utf-32-le", "surrogatepass"), "<u4")
+    codes = np.frombuffer((before + "\1" + text[start:end].ljust(WIDTH, "\0") + "\2" + after).encode("utf-32-le", "surrogatepass"), "<u4")
     return np.where(codes < 128, codes, 127).astype(np.int64)
 
 
+def _window(whole: np.ndarray, at: int = 0) -> np.ndarray:
+    """The codes of one window of WIDTH characters, `at` characters into the candidate, with what stands around the candidate."""
+    side = AROUND - 2
+    return np.concatenate([whole[:side], whole[side + at : side + at + WIDTH + 6], whole[-side:]])
+
+
+def _codes(text: str, start: int, end: int) -> np.ndarray:
+    """Codes of a candidate's first window."""
+    return _window(_whole(text, start, end))
+
+
 class CharCnn:
     """Embedding, convolution, maximum over positions, hidden layer, one score."""
 
@@ -121,6 +128,28 @@ class CharCnn:
     def probability(self, x: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.scale * self.logit(x) + self.shift, -40, 40)))
 
+    def highest(self, whole: np.ndarray, step: int = 4096) -> float:
+        """The highest probability of all windows of a candidate that `_whole` gives; each place is convolved once."""
+        w, side, width = self.w, self.PARTS[0][1], self.PARTS[1][1] - self.PARTS[1][0]
+        more = self.span - 1
+
+        def conv(codes: np.ndarray) -> np.ndarray:
+            win = np.lib.stride_tricks.sliding_window_view(w["e"][codes], self.span, axis=0).transpose(0, 2, 1)
+            return np.maximum(win.reshape(len(win), -1) @ w["c"] + w["cb"], 0)
+
+        before, after = conv(whole[: side + more]).max(0), conv(whole[-side - more :]).max(0)
+        own, best = whole[side:-side], -np.inf
+        windows = len(own) - more - width + 1
+        for a in range(0, windows, step):
+            count = min(step, windows - a)
+            top, reach = conv(own[a : a + count + width - 1 + more]), 1
+            while reach < width:  # maxima over `reach` places, doubled up to `width`
+                by = min(reach, width - reach)
+                top, reach = np.maximum(top[:-by], top[by:]), reach + by
+            pooled = np.concatenate([np.broadcast_to(before, top.shape), top, np.broadcast_to(after, top.shape)], 1)
+            best = max(best, float((np.maximum(pooled @ w["h"] + w["hb"], 0) @ w["o"]).max()))
+        return float(1 / (1 + np.exp(-np.clip(self.scale * (best + w["ob"][0]) + self.shift, -40, 40))))
+
     def fit(self, x: np.ndarray, y: np.ndarray, epochs: int = 6, rate: float = 0.005, batch: int = 64, seed: int = 3) -> None:
         r = np.random.default_rng(seed)
         m1 = {k: np.zeros_like(v) for k, v in self.w.items()}
@@ -175,6 +204,10 @@ class CharCnn:
 
 _UPPER, _LOWER, _DIGITS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
 _VOWELS, _CONSONANTS = "aeiou", "bcdfghlmnprstvw"
+#: Parts of syllables of the languages of European script.
+_ONSETS = "b bl br c ch cl cr d dr f fl fr g gl gr h j k kl kn l m n p pf pl pr qu r s sch schl sh sp st str t th tr v w wh z zw".split() + [""] * 8
+_NUCLEI = "a a a e e e e i i i o o u u y ai au ea ee ei eu ie io oa oo ou ue eau iou".split()
+_CODAS = "b ch cht ck ct d f ft g gt h hl ht k l ld ll ls lt m mp n nd ng nn ns nt nts p r rd rk rn rs rt s sch ss st t ths ts tz tzt x".split() + [""] * 16
 
 
 def labelled_findings(n: int = FINDINGS, seed: int = 11) -> list[tuple[str, int, int, int]]:
@@ -184,8 +217,15 @@ def labelled_findings(n: int = FINDINGS, seed: int = 11) -> list[tuple[str, int,
     word = lambda k=3: "".join(r.choice(_CONSONANTS) + r.choice(_VOWELS) + (r.choice(_CONSONANTS) if r.random() < 0.4 else "") for _ in range(r.randint(1, k)))
     prose = lambda: " ".join(word() for _ in range(r.randint(0, 6)))
 
+    def joined() -> str:
+        """A long word of letters only, in one case or with a capital at its start."""
+        own = ""
+        while len(own) < 16:
+            own += r.choice(_ONSETS) + r.choice(_NUCLEI) + r.choice(_CODAS)
+        return r.choice([str.lower, str.lower, str.capitalize, str.upper])(own)
+
     def secret() -> tuple[str, str, str]:
-        kind = r.randrange(6)
+        kind = r.randrange(9)
         if kind == 0:
             own = r.choice(["ghp_", "sk-", "xoxb-", "pk_live_", "glpat-", "npm_"]) + pick(_UPPER + _LOWER + _DIGITS, r.randint(20, 40))
         elif kind == 1:
@@ -194,13 +234,21 @@ def labelled_findings(n: int = FINDINGS, seed: int = 11) -> list[tuple[str, int,
             own = "eyJ" + pick(_UPPER + _LOWER + _DIGITS + "_-", r.randint(30, 80))
         elif kind == 3:
             own = pick(_UPPER + _DIGITS, r.randint(20, 40))
+        elif kind == 4:
+            own = pick(_UPPER + _LOWER, r.randint(16, 48))
+        elif kind == 5:
+            own = pick(_UPPER + _LOWER + _DIGITS, r.randint(16, 20))
+        elif kind == 6:
+            # in the middle of a path or joined run
+            joint = r.choice("/=-_")
+            own = joint.join([*(word() for _ in range(r.randint(2, 8))), pick(_UPPER + _LOWER + r.choice(["", _DIGITS]), r.randint(20, 40)), *(word() for _ in range(r.randint(2, 8)))])
         else:
             own = pick(_UPPER + _LOWER + _DIGITS, r.randint(20, 48))
         lead = r.choice(["key: ", "Authorization: Bearer ", "private ", "export KEY=", "credential ", "auth = '", '"', "", "use ", "pwd "])
         return prose() + " " + lead, own, r.choice(["", "'", '"', ".", "\n"]) + " " + prose()
 
     def plain() -> tuple[str, str, str]:
-        kind = r.randrange(9)
+        kind = r.randrange(19)
         if kind == 0:
             own = "_".join(word() for _ in range(r.randint(3, 6))) + "_" + pick(_DIGITS, r.randint(2, 4))
         elif kind == 1:
@@ -217,6 +265,18 @@ def labelled_findings(n: int = FINDINGS, seed: int = 11) -> list[tuple[str, int,
             own = "".join(word(2).capitalize() for _ in range(r.randint(3, 6))) + pick(_DIGITS, r.randint(2, 3))
         elif kind == 7:
             own = word(4).upper() + "_" + word(4).upper() + "_" + pick(_DIGITS, r.randint(2, 4))
+        elif kind == 8:
+            own = r.choice("-=_/+") * r.randint(16, 100)
+        elif kind == 9:
+            own = pick(_DIGITS, r.randint(16, 24))
+        elif kind in (10, 11, 15, 16, 17):
+            own = joined()
+        elif kind == 12:
+            own = "".join(word(2).capitalize() for _ in range(r.randint(4, 9)))
+        elif kind == 13:
+            own = r.choice("/-_").join(r.choice([str.lower, str.capitalize])(word()) for _ in range(r.randint(5, 16)))
+        elif kind == 14:
+            own = "/".join(r.choice([word(), word().capitalize(), pick(_DIGITS, r.randint(1, 6))]) for _ in range(r.randint(8, 20)))
         else:
             own = word(3) + pick(_DIGITS, 2) + word(4) + pick(_DIGITS, 2) + word(5)
         lead = r.choice(["key: ", "see ", "http://" + word() + ".com/", "file ", "", "id ", "version ", "'", '"', "the "])
@@ -229,26 +289,58 @@ def labelled_findings(n: int = FINDINGS, seed: int = 11) -> list[tuple[str, int,
     return out
 
 
+def _own(text: str, start: int, end: int) -> list[tuple[int, int]]:
+    """The candidates of a text that a finding is in."""
+    return [(a, b) for a, b in candidates(text, base_spans(text)) if a < end and b > start]
+
+
+def _probabilities(net: CharCnn, text: str, some: list[tuple[int, int]]) -> list[float]:
+    """A probability for each candidate; those of one window are scored together."""
+    short = [(a, b) for a, b in some if b - a <= WIDTH]
+    p = iter(net.probability(np.stack([_codes(text, a, b) for a, b in short])) if short else ())
+    return [float(next(p)) if b - a <= WIDTH else net.highest(_whole(text, a, b)) for a, b in some]
+
+
+def _windows(rows: list[tuple[str, int, int, int]], seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
+    """One window of each candidate of findings, and labels; of a long secret one that has most letters in other than lower case."""
+    r, x, y = random.Random(seed), [], []
+    for text, start, end, label in rows:
+        for a, b in _own(text, start, end):
+            places = range(max(0, b - a - WIDTH) + 1)
+            odd = [*accumulate((not c.islower() for c in text[a:b]), initial=0)]
+            at = max(places, key=lambda i: odd[min(i + WIDTH, b - a)] - odd[i]) if label else r.choice(places)
+            x.append(_window(_whole(text, a, b), at))
+            y.append(label)
+    return np.stack(x), np.array(y, float)
+
+
 @lru_cache(maxsize=4)
 def trained(findings: int = FINDINGS, recall: float = RECALL) -> tuple[CharCnn, float]:
-    """The network and its threshold: fitted on 60 %, calibrated on 20 %, threshold set on 20 % of the findings."""
+    """The network and its threshold: fitted on 60 %, calibrated on 20 %, threshold set on 20 % of the findings.
+
+    The threshold is set on findings scanned as texts are: one that has no candidate and
+    no base span counts as missed.
+    """
     rows = labelled_findings(findings)
-    x, y = np.stack([_codes(*row[:3]) for row in rows]), np.array([row[3] for row in rows], float)
-    a, b = int(0.6 * len(x)) // 2 * 2, int(0.8 * len(x)) // 2 * 2
+    a, b = int(0.6 * len(rows)) // 2 * 2, int(0.8 * len(rows)) // 2 * 2
     net = CharCnn()
-    net.fit(x[:a], y[:a])
-    net.calibrate(x[a:b], y[a:b])
-    p = np.sort(net.probability(x[b:])[y[b:] == 1])
-    return net, min(CERTAIN, float(p[int((1 - recall) * len(p))]))
+    net.fit(*_windows(rows[:a]))
+    net.calibrate(*_windows(rows[a:b]))
+    p = sorted(finding_score(net, *row[:3]) for row in rows[b:] if row[3])
+    return net, min(CERTAIN, p[int((1 - recall) * len(p))])
+
+
+def finding_score(net: CharCnn, text: str, start: int, end: int) -> float:
+    """The highest probability that a scan of the text gives a finding: 1 for one that a base span touches, 0 without a candidate."""
+    if any(a < end and b > start for _, a, b in base_spans(text)):
+        return 1.0
+    return max(_probabilities(net, text, _own(text, start, end)), default=0.0)
 
 
 def find_secrets(text: str, net: CharCnn, threshold: float) -> tuple[list, list]:
     base = base_spans(text)
     some = candidates(text, base)
-    if not some:
-        return base, []
-    p = net.probability(np.stack([_codes(text, a, b) for a, b in some]))
-    return base, [("model", a, b) for (a, b), s in zip(some, p) if s >= threshold]
+    return base, [("model", a, b) for (a, b), p in zip(some, _probabilities(net, text, some)) if p >= threshold]
 
 
 def spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", findings: int = FINDINGS, recall: float = RECALL) -> DataFrame:
