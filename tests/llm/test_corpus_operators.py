@@ -257,3 +257,19 @@ def test_secret_windows_slide():
     whole = secrets._whole(text, 5, len(text) - 4)
     assert net.highest(secrets._whole("a " + "Zq8X" * 12, 2, 50)) == pytest.approx(net.probability(secrets._codes("a " + "Zq8X" * 12, 2, 50)[None])[0])
     assert net.highest(whole, 7) == pytest.approx(net.highest(whole))
+
+
+def test_pii_terms_of_the_whole_document(spark):
+    far = " ".join(f"filler{i}" for i in range(20))
+    texts = [f"Zorblatt met b2 {i}\n{far}\nwrite to ann@example.org soon\nzorblatt left" for i in range(3)] + [f"other page {i} {far}" for i in range(200)]
+    got = {r["doc_id"]: r for r in pii.spans(table(spark, texts)).collect()}
+    marked = lambda i: [texts[i][s["start"] : s["end"]] for s in got[i]["terms"]]
+    assert marked(0) == ["Zorblatt", "met", "b2", "write", "to", "soon", "zorblatt", "left"]
+    assert marked(3) == [] and len(got) == 203
+
+
+def test_pii_copies_count_once_in_all_counts(spark):
+    texts = [f"zorblatt {i} ann@example.org" for i in range(3) for _ in range(60)] + [f"page {i} of many" for i in range(100)]
+    found = pii.find(table(spark, texts))
+    (r,) = pii.disclosing(table(spark, texts), found).collect()
+    assert r["share"] == pytest.approx(1)

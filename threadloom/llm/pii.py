@@ -2,20 +2,25 @@
 
 Base kinds are e-mail addresses, IP addresses, payment cards and phone numbers.  Every
 value found is a protected entity.  Information-theoretic sanitisation then asks of each
-term near an entity how much of the entity it reveals: the pointwise mutual information
-log2 p(t, e) / (p(t) p(e)), estimated over all contexts of the corpus, against the
-entity's own information -log2 p(e).  A term that reveals at least the disclosure
-threshold of it is a span too (kind `term`); `sanitise` puts a more general word for
-it or takes it out.
-
-A context is the sentence-like window around an entity; contexts with the same words,
-as copies have, count once.  A term must occur with the entity in MIN_SUPPORT distinct
-contexts, since a single joint occurrence is no evidence.
-
-Plan: one pass finds base spans and contexts; term counts of the whole corpus are summed
-inside each task before they are shuffled by term, and are read only for the terms of
-contexts.  Joins are on (entity, term) digests; no list of a term's or an entity's
-contexts is gathered.
+term in the documents of an entity how much of the entity it reveals: the pointwise
+mutual information log2 p(t, e) / (p(t) p(e)), estimated over all documents of the
+corpus, against the entity's own information -log2 p(e).  A term that reveals at least
+the disclosure threshold of it is a span too (kind `term`) wherever it stands in a
+document that holds the entity; `sanitise` puts a more general word for it or takes it
+out.
+
+All counts are of distinct documents: documents with the same text, as copies have,
+count once.  Terms are the words that no base span touches.  A term must occur with the
+entity in MIN_SUPPORT distinct documents, since a single joint occurrence is no
+evidence; so an entity in fewer documents has no terms.
+
+Plan: one pass finds base spans and entities, and keeps the texts of rows with entities.
+Terms are counted in a second pass, each row with the weight 1 / (its number of copies),
+summed inside each task before they are shuffled by term.  Pairs of entity and term are
+made only for entities in enough documents, and summed inside each task as well; no list
+of an entity's documents is gathered.  Texts are shuffled only where the table they meet
+- the digests of texts with copies, or the rows with such entities - is over Spark's
+broadcast threshold.
 """
 
 from __future__ import annotations
@@ -23,7 +28,7 @@ from __future__ import annotations
 import hashlib
 import re
 from bisect import bisect_left
-from collections import Counter
+from collections import Counter, defaultdict
 from itertools import accumulate
 
 import pyarrow as pa
@@ -33,7 +38,6 @@ from pyspark.sql import functions as F
 from .common import written
 
 KINDS = ("email", "ip", "card", "phone")
-WINDOW = 8
 MIN_SUPPORT = 3
 DISCLOSURE = 0.8
 #: What stands for each kind of entity, and for a term that reveals one.
@@ -99,102 +103,137 @@ def _digest(text: str) -> int:
     return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
 
-def _near(text: str, spans: list[tuple[str, int, int]], width: int) -> list[tuple[int, int, list[tuple[int, int, int]]]]:
-    """For each span: (entity, context, [(term, start, end)]) of the words around it that no span covers."""
-    out = []
+def _terms(text: str, spans: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
+    """(word in lower case, start, end) of the words that no span touches."""
     covered = sorted((a, b) for _, a, b in spans)
     ends = [*accumulate((b for _, b in covered), max)]
-
-    def inside(x: int, y: int) -> bool:
-        i = bisect_left(covered, (y,))  # those before i start before y
-        return i > 0 and ends[i - 1] > x
-
-    for kind, start, end in spans:
-        words = []
-        # as much text as holds `width` words of usual length on each side, on the same line
-        a, b = max(0, start - 16 * width), min(len(text), end + 16 * width)
-        a = max(a, text.rfind("\n", a, start) + 1)
-        line_end = text.find("\n", end, b)
-        b = line_end if line_end >= 0 else b
-        before = [m.span() for m in _WORD.finditer(text, a, start)]
-        if before and before[0][0] == a and a > 0 and text[a - 1].isalnum():
-            before = before[1:]
-        after = [m.span() for m in _WORD.finditer(text, end, b)]
-        if after and after[-1][1] == b and b < len(text) and text[b].isalnum():
-            after = after[:-1]
-        for x, y in before[-width:] + after[:width]:
-            if not inside(x, y) and text[x:y].isalpha() and y - x > 2:
-                words.append((_digest(text[x:y].lower()), x, y))
-        entity = _digest(f"{kind}:{text[start:end].lower()}")
-        context = _digest(" ".join(str(w[0]) for w in words))
-        out.append((entity, context, words))
+    out = []
+    for m in _WORD.finditer(text):
+        x, y = m.span()
+        i = bisect_left(covered, (y,)) if covered else 0  # those before i start before y
+        if not (i and ends[i - 1] > x):
+            out.append((m[0].lower(), x, y))
     return out
 
 
-FOUND = "doc_id long, row long, base array<struct<kind:string,start:int,end:int>>, near array<struct<entity:bigint,context:bigint,term:bigint,start:int,end:int>>"
+_SPANS = "array<struct<kind:string,start:int,end:int>>"
+FOUND = f"doc_id long, row long, digest long, base {_SPANS}, entities array<bigint>, text string"
+
+
+def _rows(text: str) -> list:
+    """The text, null as empty, and the digest that copies share."""
+    whole = F.coalesce(F.col(text), F.lit(""))
+    return [F.xxhash64(whole).alias("digest"), whole.alias("text")]
 
 
-def find(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WINDOW) -> DataFrame:
-    """(doc_id, row, base, near): base spans of every row, and the terms near them."""
+def find(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, row, digest, base, entities, text): base spans and distinct entities of every row; the text only where there are any."""
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
-    near = pa.list_(pa.struct([("entity", pa.int64()), ("context", pa.int64()), ("term", pa.int64()), ("start", pa.int32()), ("end", pa.int32())]))
 
     def run(batches):
         for batch in batches:
-            base, terms = [], []
-            for value in batch.column(2):
-                t = value.as_py() or ""
+            base, entities, texts = [], [], []
+            for value in batch.column(3):
+                t = value.as_py()
                 spans = base_spans(t)
                 base.append([{"kind": k, "start": a, "end": b} for k, a, b in spans])
-                terms.append([{"entity": e, "context": c, "term": w, "start": x, "end": y} for e, c, words in _near(t, spans, width) for w, x, y in words])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(base, kind), pa.array(terms, near)], ["doc_id", "row", "base", "near"])
+                entities.append(sorted({_digest(f"{k}:{t[a:b].lower()}") for k, a, b in spans}))
+                texts.append(t if spans else None)
+            columns = [pa.array(base, kind), pa.array(entities, pa.list_(pa.int64())), pa.array(texts, pa.string())]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *columns], ["doc_id", "row", "digest", "base", "entities", "text"])
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), F.col(text).alias("text")).mapInArrow(run, FOUND)
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), *_rows(text)).mapInArrow(run, FOUND)
 
 
-def term_counts(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(term, n): how often each word of letters occurs, over the whole corpus."""
+def term_counts(docs: DataFrame, copies: DataFrame, text: str = "text") -> DataFrame:
+    """(term, n): in how many distinct documents each word stands; `copies` has (digest, n) of texts with more than one row."""
 
     def run(batches):
         # summed over a batch of rows before anything is shuffled
         for batch in batches:
-            counts: Counter = Counter()
-            for value in batch.column(0):
-                counts.update(_WORD.findall((value.as_py() or "").lower()))
-            words = [w for w in counts if len(w) > 2 and w.isalpha()]
-            yield pa.RecordBatch.from_arrays([pa.array([_digest(w) for w in words], pa.int64()), pa.array([counts[w] for w in words], pa.int64())], ["term", "n"])
+            counts: defaultdict = defaultdict(float)
+            for value, share in zip(batch.column(0), batch.column(1).to_pylist()):
+                t = value.as_py()
+                for w in {w for w, _, _ in _terms(t, base_spans(t))}:
+                    counts[w] += share
+            yield pa.RecordBatch.from_arrays([pa.array([_digest(w) for w in counts], pa.int64()), pa.array([*counts.values()], pa.float64())], ["term", "n"])
+
+    rows = docs.select(*_rows(text)).join(copies, "digest", "left").select("text", (1 / F.coalesce("n", F.lit(1))).alias("share"))
+    return rows.mapInArrow(run, "term long, n double").groupBy("term").agg(F.round(F.sum("n")).cast("long").alias("n"))
+
+
+def _joint(rows: DataFrame) -> DataFrame:
+    """(entity, term, n_joint) of rows with text, base and the entities wanted."""
+
+    def run(batches):
+        counts: Counter = Counter()
+
+        def out():
+            keys = [*counts]
+            arrays = [pa.array([k[0] for k in keys], pa.int64()), pa.array([_digest(k[1]) for k in keys], pa.int64()), pa.array([*counts.values()], pa.int64())]
+            counts.clear()
+            return pa.RecordBatch.from_arrays(arrays, ["entity", "term", "n"])
+
+        for batch in batches:
+            for r in batch.to_pylist():
+                words = {w for w, _, _ in _terms(r["text"], [(s["kind"], s["start"], s["end"]) for s in r["base"]])}
+                for e in r["wanted"]:
+                    counts.update((e, w) for w in words)
+                    if len(counts) > 200_000:
+                        yield out()
+        yield out()
 
-    return docs.select(F.col(text).alias("text")).mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
+    return rows.select("text", "base", "wanted").mapInArrow(run, "entity long, term long, n long").groupBy("entity", "term").agg(F.sum("n").alias("n_joint"))
 
 
 def disclosing(docs: DataFrame, found: DataFrame, text: str = "text", min_support: int = MIN_SUPPORT, disclosure: float = DISCLOSURE) -> DataFrame:
     """(entity, term, share): terms that reveal at least `disclosure` of an entity's information."""
-    near = found.select(F.explode("near").alias("x")).select("x.entity", "x.context", "x.term").distinct()
-    joint = near.groupBy("entity", "term").agg(F.count("*").alias("n_joint")).where(F.col("n_joint") >= min_support)
-    joint = written(joint)
-    entities = near.select("entity", "context").distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
-    terms = term_counts(docs, text)
-    total = terms.agg(F.sum("n").alias("n_all"))
-    wanted = joint.select("term").distinct()
-    counts = written(terms.join(wanted, "term", "left_semi").withColumn("n_all", F.lit(total.first()[0] or 1)))
-    bits = F.log2(F.col("n_joint") * F.col("n_all") / (F.greatest("n", "n_joint") * F.col("n_entity")))
-    own = F.log2(F.col("n_all") / F.col("n_entity"))
+    digests = written(docs.select(_rows(text)[0]).groupBy("digest").agg(F.count("*").alias("n")))
+    copies = written(digests.where("n > 1"))
+    held = found.where(F.size("entities") > 0)
+    first = held.groupBy("digest").agg(F.min("row").alias("row")).select("row")
+    once = written(held.select("row", "entities").join(first, "row", "left_semi").select("row", F.explode("entities").alias("entity")))
+    entities = written(once.groupBy("entity").agg(F.count("*").alias("n_entity")).where(F.col("n_entity") >= min_support))
+    wanted = written(once.join(entities.select("entity"), "entity").groupBy("row").agg(F.collect_list("entity").alias("wanted")))
+    joint = written(_joint(held.join(wanted, "row")).where(F.col("n_joint") >= min_support))
+    counts = term_counts(docs, copies, text).join(joint.select("term").distinct(), "term", "left_semi")
+    n_all = F.lit(digests.count())
+    bits = F.log2(F.col("n_joint") * n_all / (F.greatest("n", "n_joint") * F.col("n_entity")))
+    own = F.log2(n_all / F.col("n_entity"))
     return joint.join(entities, "entity").join(counts, "term").withColumn("share", bits / own).where(F.col("share") >= disclosure).select("entity", "term", "share")
 
 
-def spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WINDOW, min_support: int = MIN_SUPPORT, disclosure: float = DISCLOSURE) -> DataFrame:
+def _marked(rows: DataFrame) -> DataFrame:
+    """(row, terms): spans of the wanted terms, wherever they stand in the row's text."""
+    kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for r in batch.to_pylist():
+                wanted = set(r["wanted"])
+                words = _terms(r["text"], [(s["kind"], s["start"], s["end"]) for s in r["base"]])
+                chosen = {w for w in {w for w, _, _ in words} if _digest(w) in wanted}
+                out.append([{"kind": "term", "start": x, "end": y} for w, x, y in words if w in chosen])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, kind)], ["row", "terms"])
+
+    return rows.select("row", "text", "base", "wanted").mapInArrow(run, f"row long, terms {_SPANS}")
+
+
+def spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_support: int = MIN_SUPPORT, disclosure: float = DISCLOSURE) -> DataFrame:
     """One row for each row of `docs`: (doc_id, base, terms), spans in code points.
 
     A null text counts as empty and has no spans; repeated rows are found each, and as
     copies add nothing to the evidence.  Other columns are ignored; an empty table gives
     no rows.
     """
-    found = written(find(docs, doc_id, text, width))
+    found = written(find(docs, doc_id, text))
     revealing = written(disclosing(docs, found, text, min_support, disclosure))
-    hits = found.where(F.size("near") > 0).select("row", F.explode("near").alias("x")).select("row", "x.entity", "x.term", "x.start", "x.end")
-    hits = hits.join(revealing.select("entity", "term"), ["entity", "term"])
-    terms = hits.select("row", F.struct(F.lit("term").alias("kind"), "start", "end").alias("s")).groupBy("row").agg(F.array_sort(F.collect_set("s")).alias("terms"))
-    return found.join(terms, "row", "left").select("doc_id", "base", F.coalesce("terms", F.array().cast("array<struct<kind:string,start:int,end:int>>")).alias("terms"))
+    of = revealing.groupBy("entity").agg(F.collect_set("term").alias("terms"))
+    held = found.where(F.size("entities") > 0)
+    wanted = held.select("row", F.explode("entities").alias("entity")).join(of, "entity").groupBy("row").agg(F.array_distinct(F.flatten(F.collect_list("terms"))).alias("wanted"))
+    terms = _marked(held.join(wanted, "row"))
+    return found.select("doc_id", "row", "base").join(terms, "row", "left").select("doc_id", "base", F.coalesce("terms", F.array().cast(_SPANS)).alias("terms"))
 
 
 def sanitise(text: str | None, found: list[tuple[str, int, int]], general: dict[str, str] = GENERAL) -> str | None:
