@@ -273,3 +273,18 @@ def test_pii_copies_count_once_in_all_counts(spark):
     found = pii.find(table(spark, texts))
     (r,) = pii.disclosing(table(spark, texts), found).collect()
     assert r["share"] == pytest.approx(1)
+
+
+@pytest.mark.parametrize("around", ['<div id="page" class="has-sidebar">%s</div>', "<form action=x>%s</form>", '<div class="search-results">%s</div>', '<div role="search">%s</div>'])
+def test_html_text_keeps_what_a_name_wraps(around):
+    article = "".join(f"<p>Sentence {i} of the article, which goes on for a while and ends here.</p>" for i in range(6))
+    want = " ".join(f"Sentence {i} of the article, which goes on for a while and ends here." for i in range(6))
+    page = around % f"<div>{article}</div><div class=comments><p>nice post</p></div>"
+    assert html_text.main_text(f"<html><body><nav><a href=x>Home</a></nav>{page}<footer>foot</footer></body></html>").startswith(want)
+    assert html_text.main_text(f"<html><body>{page}</body></html>") == want
+
+
+def test_html_text_density_chooses_beyond_a_teaser_article():
+    text = "".join(f"<p>Sentence {i} of the text, which goes on for a while and ends here.</p>" for i in range(8))
+    page = f"<html><body><div><article><p>A short teaser.</p></article></div><div>{text}</div></body></html>"
+    assert "Sentence 7 of the text" in html_text.main_text(page)

@@ -8,9 +8,12 @@ inside links, and the page body's lcb and cb, the density is
 
 (zeroes count as one).  The sum of a node's children's densities is taken for every
 node, the one with the largest sum is the content, and the smallest density on the path
-from it to the body is the threshold that its parts must reach.  What no article holds
-- scripts, forms, navigation, adverts, comments and the like - is left out of the tree
-beforehand, by element and by the words in class and id.
+from it to the body is the threshold that its parts must reach.  Elements without
+readable text, such as scripts and hidden ones, are left out of the tree beforehand.
+Navigation, footers and asides by element (BESIDE) are left out if anything else has
+text.  Forms, adverts, comments and the like, known by element, role and the words in
+class and id, are left out only where they hold at most MINOR of the body's text and
+anything else has text; else their densities decide.
 
 Each page is parsed for itself inside a task; no rows move.  Parsing is one pass over
 the tags with an explicit stack, linear in the page, however deep the nesting.
@@ -34,6 +37,11 @@ CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td
 ENDS_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 #: What holds no article text: elements, roles, and words of class and id.
 NO_TEXT = frozenset("head script style noscript template iframe object svg canvas form button select input textarea nav footer aside menu dialog noembed noframes math audio video".split())
+#: Of them, those that hold readable text beside an article, and those that may stand around one.
+BESIDE = frozenset("nav footer aside menu dialog".split())
+AROUND = BESIDE | {"form"}
+#: Largest share of the body's text in an element that is left out for its name.
+MINOR = 0.5
 NO_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert form menu menubar toolbar".split())
 NO_WORDS = frozenset("ad ads advert adverts advertisement adsense banner sponsor sponsored promo promotion nav navbar navigation menu breadcrumb breadcrumbs header masthead footer sidebar side aside comment comments respond disqus reply replies cookie cookies consent notice popup modal overlay newsletter subscribe signup login share sharing social related recommended widget toolbar pagination pager copyright legal disclaimer skip search".split())
 #: Words that mark content, even beside one of the above.
@@ -46,36 +54,36 @@ _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
 class Node:
-    __slots__ = ("tag", "parent", "parts", "chars", "tags", "link_chars", "link_tags", "density", "total", "drop")
+    __slots__ = ("tag", "parent", "parts", "chars", "tags", "link_chars", "link_tags", "density", "total", "drop", "doubt")
 
-    def __init__(self, tag: str, parent: Node | None, drop: bool = False):
-        self.tag, self.parent, self.drop = tag, parent, drop
+    def __init__(self, tag: str, parent: Node | None, drop: bool = False, doubt: bool = False):
+        self.tag, self.parent, self.drop, self.doubt = tag, parent, drop, doubt
         self.parts: list = []  # texts and nodes, in order
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.total = 0.0
 
 
-def _unwanted(tag: str, attributes: str) -> bool:
-    if tag in NO_TEXT:
-        return True
-    if not attributes:
-        return False
-    for m in _ATTRIBUTE.finditer(attributes):
+def _unwanted(tag: str, attributes: str) -> tuple[bool, bool]:
+    """Whether an element is left out, and whether it is if its share of the text is minor."""
+    if tag in NO_TEXT and tag not in AROUND:
+        return True, False
+    doubt = tag in AROUND
+    for m in _ATTRIBUTE.finditer(attributes or ""):
         name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
         if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and _HIDDEN.search(value):
-            return True
+            return True, False
         if name == "role" and value in NO_ROLES:
-            return True
+            doubt = True
         if name in ("class", "id") and tag not in ("html", "body", "main", "article"):
             for own in value.split():
                 found = set(_WORDS.findall(own))
                 if found & NO_WORDS and not found & CONTENT:
-                    return True
-    return False
+                    doubt = True
+    return False, doubt
 
 
 def parse(page: str) -> Node:
-    """The tree of a page; unwanted elements are marked and keep no text."""
+    """The tree of a page; unwanted elements are marked, and those that are left out in any case keep no text."""
     root = Node("html", None)
     node, at, depth_of = root, 0, {}
     n, last = len(page), page.rfind(">") + 1  # beyond the last ">" no tag ends
@@ -114,7 +122,8 @@ def parse(page: str) -> Node:
                 while node is not x.parent:
                     depth_of[node.tag] -= 1
                     node = node.parent
-        child = Node(tag, node, node.drop or _unwanted(tag, attributes))
+        drop, doubt = _unwanted(tag, attributes)
+        child = Node(tag, node, node.drop or drop, doubt)
         node.parts.append(child)
         if tag in VOID:
             continue
@@ -141,6 +150,7 @@ def _nodes(root: Node) -> list[Node]:
 
 def _measure(order: list[Node]) -> None:
     for x in reversed(order):
+        x.tags = x.link_chars = x.link_tags = 0
         x.chars = sum(len("".join(p.split())) for p in x.parts if isinstance(p, str))
         for p in x.parts:
             if isinstance(p, Node) and not p.drop:
@@ -200,31 +210,45 @@ def main_text(page: str) -> str:
     root = parse(page)
     order = _nodes(root)
     _measure(order)
+    doubtful = [x for x in order if x.doubt]
+    if doubtful:
+        whole = next((x for x in order if x.tag == "body"), root).chars
+        beside = [x for x in doubtful if x.tag in BESIDE]
+        minor = [x for x in doubtful if x.tag not in BESIDE and x.tag != "body" and x.chars <= MINOR * whole]
+        # with nothing else on the page, what was left out is the text
+        for gone in (beside + minor, beside, minor, []):
+            for x in doubtful:
+                x.drop = False
+            for x in gone:
+                x.drop = True
+            order = _nodes(root)
+            _measure(order)
+            if root.chars:
+                break
     body = next((x for x in order if x.tag == "body"), root)
     if not root.chars:
         return ""
     for x in order:
         x.density = _density(x, body)
-    for x in order:
-        x.total = sum(p.density for p in x.parts if isinstance(p, Node) and not p.drop)
-        x.total += sum(len(p.split()) for p in x.parts if isinstance(p, str)) and _density(x, body) * sum(len("".join(p.split())) for p in x.parts if isinstance(p, str)) / max(1, x.chars)
-    inside = [x for x in order if x.tag not in INLINE] or order
+    # inline elements that hold no block are text of their block
+    blocks: set[int] = set()
+    for x in reversed(order):
+        below = [p for p in x.parts if isinstance(p, Node) and id(p) in blocks and not p.drop]
+        if below or x.tag not in INLINE and x.tag not in VOID:
+            blocks.add(id(x))
+        x.total = sum(p.density for p in below) + x.density * (x.chars - sum(p.chars for p in below)) / max(1, x.chars)
+    inside = [x for x in order if id(x) in blocks] or order
     best = max(inside, key=lambda x: x.total)
-    # a paragraph or heading stands in something larger: its article or the block around it
     least, x = best.density, best
     while x is not body and x.parent is not None:
         x = x.parent
         least = min(least, x.density) if x.chars else least
-    top = best
-    x = best
+    # what stands beside the path and reaches its threshold is content as well, as is text of the path's own nodes
+    top = x = best
     while x is not body and x.parent is not None:
-        x = x.parent
-        if x.tag in ("article", "main"):
+        below, x = x, x.parent
+        if any(p.strip() if isinstance(p, str) else p is not below and not p.drop and p.chars and p.density >= least for p in x.parts):
             top = x
-    if top is best:
-        # siblings that reach the threshold of the path are content as well
-        while top is not body and top.parent is not None and any(isinstance(p, Node) and p is not top and not p.drop and p.chars and p.density >= least for p in top.parent.parts):
-            top = top.parent
     return " ".join(_blocks(top, least))
 
 
