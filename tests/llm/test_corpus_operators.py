@@ -288,3 +288,11 @@ def test_html_text_density_chooses_beyond_a_teaser_article():
     text = "".join(f"<p>Sentence {i} of the text, which goes on for a while and ends here.</p>" for i in range(8))
     page = f"<html><body><div><article><p>A short teaser.</p></article></div><div>{text}</div></body></html>"
     assert "Sentence 7 of the text" in html_text.main_text(page)
+
+
+@pytest.mark.parametrize("shared", [False, True])
+@pytest.mark.parametrize("switch", [{"predictor": True}, {"cross_colour": True}, {"subtract_green": True}, {"cache_bits": 4}, {"palette": True}, {"predictor": True, "cross_colour": True, "subtract_green": True, "cache_bits": 6}])
+def test_webp_switches(switch, shared):
+    r = np.random.default_rng(2)
+    for pixels in (r.integers(0, 2**32, (20, 16), np.uint32), (np.arange(640, dtype=np.uint32) % 50 * 65793).reshape(40, 16)):
+        assert np.array_equal(webp.decode(webp.encode(pixels, shared=shared, **switch)), pixels)
