@@ -27,6 +27,14 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that no column of `df` has, in either case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def written(df: DataFrame) -> DataFrame:
     """Cut the lineage: write the rows as Parquet to the shared folder and read them back.
 

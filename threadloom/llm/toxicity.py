@@ -1,22 +1,27 @@
 """Toxicity by a counterfactual-regularised linear classifier.
 
-Inputs of a score are the distinct words of the whole text and their leading parts, so
-that inflected forms share evidence; nothing else.  The loss is the logistic loss, an
+Inputs of a score are the distinct words of the whole text and their leading parts, each
+part as often as distinct words begin with it, so that inflected forms share evidence;
+nothing else.  The loss is the logistic loss, an
 L1 penalty that keeps the many words of long texts from adding up, and a counterfactual
-term: in labelled sentences that name a group of people, the name is swapped for others
-of its kind, and the squared change of the score is penalised.  So a group's name
-itself earns no weight, and neutral mentions stay neutral.
-
-The classifier is fitted on the driver from a bounded sample of labelled rows: at most
-SAMPLE rows of each label, those with the lowest hash of doc_id, and of them only texts
-of at most MAX_CHARS characters.  What is collected are feature numbers, made on the
-executors.  Scoring moves no rows; every text is scored as a whole.
+term: in labelled sentences that name a group or a person, the name is swapped for others
+of its kind, and the squared change of the score is penalised.  So a name itself earns
+no weight, and neutral mentions stay neutral.  Kinds are the rows of IDENTITY_TERMS and
+the names learned from the labelled rows: words that stand inside sentences with a
+capital, seldom without, in texts of both labels.
+
+The classifier is fitted on a bounded sample of labelled rows: at most SAMPLE rows of
+each label, those with the lowest hash of doc_id, and of them only texts of at most
+MAX_CHARS characters.  The sample is written once; features are counted and chosen on the
+executors, and the driver gets the chosen ones of each row, at most FEATURES different
+ones.  Scoring moves no rows; every text is scored as a whole.
 """
 
 from __future__ import annotations
 
 import re
 import zlib
+from math import asinh
 
 import numpy as np
 import pyarrow as pa
@@ -24,9 +29,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import fresh, written
+
 SAMPLE = 3000
 MAX_CHARS = 20_000
 DIMENSIONS = 1 << 22
+#: Most features with a weight, names learned from the sample, and swaps of a name.
+FEATURES, NAMES, SWAPS = 30_000, 200, 6
 THRESHOLD = 0.7
 #: Names of groups by kind; a name is swapped only for others of its row.
 IDENTITY_TERMS = (
@@ -46,9 +55,10 @@ IDENTITY_TERMS = (
     ("mujeres", "hombres", "niñas", "niños"),
     ("cristianos", "musulmanes", "judíos", "hindúes", "ateos"),
 )
-_SWAPS = {t: row for row in IDENTITY_TERMS for t in row}
+_KNOWN = {t: tuple(x for x in row if x != t) for row in IDENTITY_TERMS for t in row}
 _WORD = re.compile(r"\w+")
 _SENTENCE = re.compile(r"[^.!?\n]+")
+_INSIDE = re.compile(r"(?<=[^\W_] )[^\W\d_]{3,}")
 _PARTS = (4, 5, 6, 7)
 
 
@@ -62,22 +72,71 @@ def word_features(word: str) -> list[int]:
 
 
 def features(found: set[str]) -> list[int]:
-    return [*{f for w in found for f in word_features(w)}]
+    """Numbers of all words; a part that several words begin with counts for each."""
+    return [f for w in found for f in word_features(w)]
+
 
+def counterfactuals(text: str, swaps: dict[str, tuple[str, ...]] = _KNOWN) -> list[tuple[list[int], list[int]]]:
+    """For every sentence with a name, and every swap: features that the sentence loses and gains.
 
-def counterfactuals(text: str, at_most: int = 4) -> list[tuple[list[int], list[int]]]:
-    """Features of sentences with a group's name, as they stand and with other names of its kind."""
+    What is not swapped is the same on both sides; a swap for a word that the sentence
+    has already only loses.
+    """
     out = []
     for m in _SENTENCE.finditer(text.lower()):
         found = words(m[0])
-        for name in sorted(found & _SWAPS.keys()):
-            rest = found - {name}
-            out += [(features(found), features(rest | {other})) for other in _SWAPS[name] if other != name]
-        if len(out) >= 8 * at_most:
-            break
+        for name in sorted(found & swaps.keys()):
+            out += [(word_features(name), [] if other in found else word_features(other)) for other in swaps[name]]
     return out
 
 
+def learned_names(rows: DataFrame, at_most: int = NAMES, least: int = 3) -> list[str]:
+    """Names in the labelled rows, most frequent first: words inside sentences with a capital in `least` texts of each label, and four times as often as without."""
+
+    def run(batches):
+        for batch in batches:
+            counts: dict[str, list[int]] = {}
+            for label, v in zip(batch.column(0).to_pylist(), batch.column(1)):
+                seen = {w for m in _SENTENCE.finditer(v.as_py()) for w in _INSIDE.findall(m[0])}
+                for w in seen:
+                    if w[1:].islower():
+                        counts.setdefault(w.lower(), [0, 0, 0])[2 if w[0].islower() else label] += 1
+            columns = [pa.array([c[i] for c in counts.values()], pa.int64()) for i in range(3)]
+            yield pa.RecordBatch.from_arrays([pa.array([*counts], pa.string()), *columns], ["word", "n0", "n1", "plain"])
+
+    counted = rows.select("label", "text").mapInArrow(run, "word string, n0 long, n1 long, plain long").groupBy("word").agg(*[F.sum(c).alias(c) for c in ("n0", "n1", "plain")])
+    good = counted.where((F.col("n0") >= least) & (F.col("n1") >= least) & (F.expr("n0 + n1 >= 4 * plain")))
+    return [r["word"] for r in good.orderBy(F.expr("n0 + n1").desc(), "word").limit(at_most).collect()]
+
+
+def swaps_of(names: list[str], at_most: int = SWAPS) -> dict[str, tuple[str, ...]]:
+    """What each name is swapped for: the others of its row of IDENTITY_TERMS, or the names nearest in frequency."""
+    own = [n for n in names if n not in _KNOWN]
+    near = {n: tuple(own[j] for j in range(max(0, i - at_most // 2), min(len(own), i + at_most // 2 + 1)) if j != i) for i, n in enumerate(own)}
+    return near | _KNOWN
+
+
+def chosen_features(rows: DataFrame, least: int = 3, keep: int = FEATURES, z: float = 2.5) -> list[int]:
+    """The features whose share among label 1 differs most, against chance; counted on the executors over the rows that train."""
+
+    def run(batches):
+        for batch in batches:
+            got = [np.unique(np.array(features(words(v.as_py())), np.int64)) for v in batch.column(1)]
+            every = np.concatenate([np.empty(0, np.int64), *got])
+            label = np.repeat(batch.column(0).to_numpy().astype(np.int64), [len(g) for g in got])
+            numbers, inverse = np.unique(every, return_inverse=True)
+            yield pa.RecordBatch.from_arrays([pa.array(numbers), pa.array(np.bincount(inverse, label, len(numbers)).astype(np.int64)), pa.array(np.bincount(inverse, minlength=len(numbers)).astype(np.int64))], ["feature", "pos", "n"])
+
+    train = rows.where("not held")
+    ones, n = train.agg(F.coalesce(F.sum("label"), F.lit(0)), F.count("*")).first()
+    if not 0 < ones < n:
+        return []
+    counted = train.select("label", "text").mapInArrow(run, "feature long, pos long, n long").groupBy("feature").agg(F.sum("pos").alias("pos"), F.sum("n").alias("n")).where(F.col("n") >= least)
+    expect = F.col("n") * (ones / n)
+    scored = counted.select("feature", F.abs((F.col("pos") - expect) / F.sqrt(expect * (1 - ones / n) + 1e-9)).alias("z")).where(F.col("z") >= z)
+    return [r["feature"] for r in scored.orderBy(F.desc("z"), "feature").limit(keep).collect()]
+
+
 class Rows:
     """Sparse 0/1 rows."""
 
@@ -99,29 +158,32 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
 
 
 class Model:
-    """A weight for each feature number that has one; the score of a text is a calibrated sigmoid of their sum."""
+    """A weight for each feature number that has one; the score of a text is a calibrated sigmoid of their sum.
+
+    The sum enters by its inverse hyperbolic sine: long texts with much evidence have
+    sums far out, which would flatten a calibration that is straight in the sum.
+    """
 
     def __init__(self, weights: dict[int, float], bias: float, scale: float = 1.0, shift: float = 0.0):
         self.weights, self.bias, self.scale, self.shift = weights, bias, scale, shift
+        #: How many counterfactual pairs the sample holds, and how many of them have a feature that may have a weight.
+        self.pairs = self.live = 0
 
-    def word(self, word: str) -> float:
-        get = self.weights.get
-        return sum(get(f, 0.0) for f in word_features(word))
+    def word(self, word: str) -> tuple[int, ...]:
+        return tuple(f for f in word_features(word) if f in self.weights)
 
-    def logit(self, text: str, kept: dict[str, float] | None = None) -> float:
+    def logit(self, text: str, kept: dict[str, tuple[int, ...]] | None = None) -> float:
+        """The sum over the features of every distinct word, as in training; in order, so that equal texts give equal sums."""
         kept = {} if kept is None else kept
-        total = self.bias
-        # sorted: the same sum for the same text, whatever the order of the set
-        for s in sorted(s for w in words(text) if (s := kept[w] if w in kept else kept.setdefault(w, self.word(w)))):
-            total += s
-        return self.scale * total + self.shift
+        found = [f for w in words(text) for f in (kept[w] if w in kept else kept.setdefault(w, self.word(w)))]
+        return self.scale * asinh(self.bias + sum(self.weights[f] for f in sorted(found))) + self.shift
 
-    def score(self, text: str, kept: dict[str, float] | None = None) -> float:
+    def score(self, text: str, kept: dict[str, tuple[int, ...]] | None = None) -> float:
         return float(_sigmoid(np.array(self.logit(text, kept))))
 
 
-def fit(rows: list[list[int]], labels: list[int], pairs: list[tuple[list[int], list[int]]], sparsity: float = 2e-4, fairness: float = 1.0, steps: int = 400, least: int = 3, keep: int = 30_000) -> Model:
-    """Proximal gradient descent; a fifth of the rows only calibrates.
+def fit(rows: list[list[int]], labels: list[int], held: list[bool], pairs: list[tuple[list[int], list[int]]], sparsity: float = 2e-4, fairness: float = 1.0, steps: int = 400) -> Model:
+    """Proximal gradient descent on the features that the rows hold; rows with `held` only calibrate.
 
     With one label only, or no rows, the model gives every text the share of label 1
     (1/2 without rows).
@@ -130,25 +192,15 @@ def fit(rows: list[list[int]], labels: list[int], pairs: list[tuple[list[int], l
     if len(y) == 0 or y.min() == y.max():
         share = float(np.clip(y.mean() if len(y) else 0.5, 1e-3, 1 - 1e-3))
         return Model({}, float(np.log(share / (1 - share))))
-    held = np.arange(len(y)) % 5 == 4
+    held = np.array(held, bool)
     if len(set(y[held])) < 2 or len(set(y[~held])) < 2:
         held[:] = False
     train = np.flatnonzero(~held)
     each = [np.array(r, np.int64) for r in rows]
-    every = np.concatenate([each[i] for i in train])
-    label = np.repeat(y[train], [len(each[i]) for i in train])
-    numbers, inverse = np.unique(every, return_inverse=True)
-    pos, n = np.bincount(inverse, label), np.bincount(inverse)
-    ones, N = y[train].sum(), len(train)
-    # features whose share among label 1 differs most, against chance
-    expect = n * ones / N
-    z = (pos - expect) / np.sqrt(expect * (1 - ones / N) + 1e-9)
-    z[n < least] = 0
-    chosen = np.argsort(-np.abs(z), kind="stable")[: min(keep, int((np.abs(z) >= 2.5).sum()))]
-    place = {int(f): i for i, f in enumerate(numbers[chosen])}
+    place = {int(f): i for i, f in enumerate(np.unique(np.concatenate(each)))}
     d = len(place)
-    to = lambda r: np.array([place[f] for f in r if f in place], np.int64)
-    x = Rows([to(each[i].tolist()) for i in train], d)
+    to = lambda r: np.array([place[int(f)] for f in r if int(f) in place], np.int64)
+    x = Rows([to(each[i]) for i in train], d)
     a, b = Rows([to(p) for p, _ in pairs], d), Rows([to(q) for _, q in pairs], d)
     yt = y[train]
     weight = np.where(yt == 1, 0.5 / max(1, yt.sum()), 0.5 / max(1, (1 - yt).sum()))
@@ -181,8 +233,7 @@ def fit(rows: list[list[int]], labels: list[int], pairs: list[tuple[list[int], l
     weights = {int(f): float(w[i]) for f, i in place.items() if w[i]}
     model = Model(weights, float(bias))
     if held.any():
-        # a text's logit as Model.logit sums it is over words; features of several words count once in training
-        zs = np.array([bias + sum(weights.get(int(f), 0.0) for f in each[i]) for i in np.flatnonzero(held)])
+        zs = np.arcsinh([bias + sum(weights.get(int(f), 0.0) for f in each[i]) for i in np.flatnonzero(held)])
         model.scale, model.shift = calibration(zs, y[held])
     return model
 
@@ -226,38 +277,46 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     picked = known.where("label = 1").orderBy(*order).limit(sample).unionByName(known.where("label = 0").orderBy(*order).limit(sample))
     texts = docs.select(F.col(doc_id).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text")).where(F.length("text") <= max_chars)
     # at most 2 * sample ids of 8 bytes and a label: a proven bound
-    rows = texts.join(F.broadcast(picked), "id").select("id", "label", "text")
+    fold = F.floor(F.crc32(F.col("id").cast("string").cast("binary")) / 3) % 5 == 4
+    rows = written(texts.join(F.broadcast(picked), "id").select("id", "label", fold.alias("held"), "text"))
+    swaps = swaps_of(learned_names(rows))
+    chosen = {*chosen_features(rows)}
     numbers = pa.list_(pa.int32())
 
     def run(batches):
+        cut = lambda r: sorted(f for f in r if f in chosen)
         for batch in batches:
-            texts = [v.as_py() for v in batch.column(2)]
-            swaps = [counterfactuals(t) for t in texts]
-            columns = [pa.array([features(words(t)) for t in texts], numbers), pa.array([[p for p, _ in s] for s in swaps], pa.list_(numbers)), pa.array([[q for _, q in s] for s in swaps], pa.list_(numbers))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["id", "label", "features", "here", "there"])
-
-    got = rows.mapInArrow(run, "id long, label int, features array<int>, here array<array<int>>, there array<array<int>>").collect()
-    got = list({r["id"]: r for r in sorted(got, key=lambda r: (r["id"], sorted(r["features"])))}.values())
-    # a fixed order in which both labels take turns through the fifths
-    got.sort(key=lambda r: (zlib.crc32(str(r["id"]).encode()), r["id"]))
+            texts = [v.as_py() for v in batch.column(3)]
+            # a swap without a feature that has a weight changes no score
+            every = [counterfactuals(t, swaps) for t in texts]
+            changed = [[(p, q) for p, q in ((cut(p), cut(q)) for p, q in s) if p or q] for s in every]
+            columns = [pa.array([len(s) for s in every], pa.int64()), pa.array([cut(features(words(t))) for t in texts], numbers), pa.array([[p for p, _ in s] for s in changed], pa.list_(numbers)), pa.array([[q for _, q in s] for s in changed], pa.list_(numbers))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *columns], ["id", "label", "held", "pairs", "features", "here", "there"])
+
+    got = rows.mapInArrow(run, "id long, label int, held boolean, pairs long, features array<int>, here array<array<int>>, there array<array<int>>").collect()
+    got = [*{r["id"]: r for r in sorted(got, key=lambda r: (r["id"], sorted(r["features"])))}.values()]
     pairs = [p for r in got for p in zip(r["here"], r["there"])]
-    return fit([r["features"] for r in got], [r["label"] for r in got], pairs)
+    model = fit([r["features"] for r in got], [r["label"] for r in got], [r["held"] for r in got], pairs)
+    model.pairs, model.live = sum(r["pairs"] for r in got), len(pairs)
+    return model
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", column: str = "score") -> DataFrame:
-    """Every row and column of `docs` with a score from 0 to 1; a null text is scored as empty.
+    """Every row and column of `docs` with a score from 0 to 1.
 
-    A column of `docs` with the name of the score is replaced.
+    A null text is scored as empty, a text of any length as a whole; repeated rows are
+    scored each; an empty table gives none.  A column of `docs` with the name of the
+    score, in either case, is replaced.
     """
-    rows = docs.drop(column)
+    rows = docs.select(*[c for c in docs.columns if c.lower() != column.lower()])
     at = rows.columns.index(text)
 
     def run(batches):
-        kept: dict[str, float] = {}
+        kept: dict[str, tuple[int, ...]] = {}
         for batch in batches:
             scores = []
             for v in batch.column(at):
-                if len(kept) > 400_000:
+                if len(kept) > 50_000:
                     kept.clear()
                 scores.append(model.score(v.as_py() or "", kept))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], [*batch.schema.names, column])
@@ -266,7 +325,10 @@ def score(docs: DataFrame, model: Model, text: str = "text", column: str = "scor
 
 
 def reject(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of `docs` whose score is under the threshold, columns as they were."""
+    """The rows of `docs` whose score is under the threshold, columns as they were, whatever their names.
+
+    Rows with a null id or text are scored like others; repeated rows share their fate.
+    """
     model = train(docs, labels, doc_id, text)
-    name = "__score"
+    name = fresh(docs, "score")
     return score(docs, model, text, name).where(F.col(name) < threshold).drop(name)
