@@ -18,10 +18,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import fresh, written
 
 RATIO = 0.05
-MIN_PAGES = 4
+#: A line that one page alone has is no repeat, however few pages its host has.
+REPEATED = 2
 
 
 def _lines(text: Column) -> Column:
@@ -32,12 +33,12 @@ def _digest(line: Column) -> Column:
     return F.unhex(F.md5(F.trim(line)))
 
 
-def boilerplate_lines(pages: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
+def boilerplate_lines(pages: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, min_pages: int = REPEATED) -> DataFrame:
     """(host, digest, n_pages, host_pages) of the lines over the ratio.
 
     Lines are compared after trimming blanks; blank lines never count.  A null host is
-    a host of its own.  `min_pages` keeps lines of tiny hosts, where any line has a
-    large share.  Repeated rows count as separate pages.
+    a host of its own.  A line must be on `min_pages` pages: at 1, a host of fewer than
+    1 / ratio pages would lose every line.  Repeated rows count as separate pages.
     """
     rows = pages.select(F.col(host).alias("host"), F.col(text).alias("text"))
     digests = F.array_distinct(F.transform(F.filter(_lines(F.col("text")), lambda x: F.trim(x) != ""), _digest))
@@ -52,7 +53,7 @@ def boilerplate_lines(pages: DataFrame, host: str = "source", text: str = "text"
     )
 
 
-def drop_boilerplate(pages: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES, never_empty: bool = False) -> DataFrame:
+def drop_boilerplate(pages: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, min_pages: int = REPEATED, never_empty: bool = False) -> DataFrame:
     """Every row and column of `pages`, with boilerplate lines taken out of `text`.
 
     Adds n_lines (lines before; 0 for a null text) and n_dropped.  A null text stays
@@ -62,22 +63,22 @@ def drop_boilerplate(pages: DataFrame, host: str = "source", text: str = "text",
     With `never_empty`, a text all of whose lines that are not blank would go stays as it
     is: where copies of one page are over the ratio, each of its lines is.
     """
-    per_host = written(
-        boilerplate_lines(pages, host, text, ratio, min_pages).groupBy("host").agg(F.collect_set("digest").alias("digests")).select(F.col("host").alias("__host"), F.col("digests").alias("__digests"))
-    )
-    joined = pages.join(per_host, pages[host].eqNullSafe(per_host["__host"]), "left")
+    own_host, digests, own_kept = (fresh(pages, c) for c in ("host_of_lines", "digests", "kept"))
+    found = boilerplate_lines(pages, host, text, ratio, min_pages).groupBy("host").agg(F.collect_set("digest").alias("digests"))
+    per_host = written(found.select(F.col("host").alias(own_host), F.col("digests").alias(digests)))
+    joined = pages.join(per_host, pages[host].eqNullSafe(per_host[own_host]), "left")
     lines = _lines(F.col(text))
-    kept = F.filter(lines, lambda x: (F.trim(x) == "") | ~F.array_contains(F.col("__digests"), _digest(x)))
-    some = F.col("__digests").isNotNull() & F.col(text).isNotNull()
+    kept = F.filter(lines, lambda x: (F.trim(x) == "") | ~F.array_contains(F.col(digests), _digest(x)))
+    some = F.col(digests).isNotNull() & F.col(text).isNotNull()
     if never_empty:
         kept = F.when(F.exists(kept, lambda x: F.trim(x) != ""), kept).otherwise(lines)
-    out = joined.withColumn("__kept", F.when(some, kept))
-    columns = [c for c in pages.columns if c not in ("n_lines", "n_dropped")]
+    out = joined.withColumn(own_kept, F.when(some, kept))
+    columns = [c for c in pages.columns if c.lower() not in ("n_lines", "n_dropped")]
     n_lines = F.when(F.col(text).isNull(), 0).otherwise(F.size(lines)).cast("long")
     return out.select(
-        *[F.when(some, F.array_join("__kept", "\n")).otherwise(F.col(c)).alias(c) if c == text else F.col(c) for c in columns],
+        *[F.when(some, F.array_join(own_kept, "\n")).otherwise(F.col(c)).alias(c) if c == text else F.col(c) for c in columns],
         n_lines.alias("n_lines"),
-        F.when(some, n_lines - F.size("__kept")).otherwise(F.lit(0)).cast("long").alias("n_dropped"),
+        F.when(some, n_lines - F.size(own_kept)).otherwise(F.lit(0)).cast("long").alias("n_dropped"),
     )
 
 
@@ -93,7 +94,7 @@ counts AS (
 totals AS (SELECT source, count(*) AS host_pages FROM documents GROUP BY 1),
 boiler AS (
   SELECT c.source, c.line FROM counts c JOIN totals t ON c.source IS NOT DISTINCT FROM t.source
-  WHERE n_pages >= {MIN_PAGES} AND n_pages > {RATIO} * host_pages),
+  WHERE n_pages >= {REPEATED} AND n_pages > {RATIO} * host_pages),
 marked AS (
   SELECT l.doc_id, l.line, l.pos, b.line IS NULL AS keep
   FROM lines l LEFT JOIN boiler b ON l.source IS NOT DISTINCT FROM b.source AND trim(l.line, ' ') = b.line),
