@@ -1,16 +1,22 @@
 """Secret scans: base patterns, and a character convolutional network for the rest.
 
 Base kinds are assignments to secret-like names, access key ids and long hexadecimal
-runs.  Beyond them, every other candidate - a run of 16 or more token characters - is
-scored from its characters and those around it by a small convolutional network in
-numpy: character embedding, one convolution, maximum over positions, a hidden layer.  A
-run longer than the network is wide has the highest score of all windows of that width
-in it, one character apart.  The network is trained on labelled findings, made by rule with a
-fixed seed: secrets of several forms in the contexts that hold them, and the look-alikes
-that are none (words with numbers, versions, dates, paths, identifiers, card and phone
-numbers, rules, long words of letters only).  Scores are calibrated on held-out findings,
-and the threshold is the highest that meets the recall asked for on yet other findings,
-scanned as texts are, or CERTAIN where that is higher still.
+runs.  Every candidate is scored from its characters and those around it by a small
+convolutional network in numpy: character embedding, one convolution, maximum over
+positions, a hidden layer.  Candidates are the base matches, all runs of LONG or more
+token characters, and those of SHORT or more that are no plain word: with a digit, a
+sign inside, or capitals and small letters mixed.  A run longer than the network is wide
+has the highest score of all windows of that width in it, one character apart.  Base
+spans stay whatever their score, which says whether the network confirms them; another
+run is a span (kind `model`) from the threshold on.
+
+The network is trained on labelled findings, made by rule with a fixed seed: secrets of
+several forms, base matches and short ones included, in the contexts that hold them, and
+the look-alikes that are none (hashes of commits and files, identifiers,
+words with numbers, versions, dates, paths, card and phone numbers, rules, long words).
+Scores are calibrated on held-out findings; the thresholds, one each for short runs, long
+ones and those longer than the network is wide, are the highest that meet the recall
+asked for on yet other findings, scanned as texts are, or CERTAIN where that is lower.
 
 The network is trained once on the driver from the fixed findings, whose number is a
 parameter, and is a few kilobytes of weights; scanning moves no rows.
@@ -29,15 +35,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 KINDS = ("assign", "access", "hex")
-FINDINGS = 4000
-RECALL = 0.95
-CERTAIN = 0.99
+FINDINGS = 10_000
+RECALL = 0.97
+CERTAIN = 0.995
 WIDTH, AROUND = 48, 24
+SHORT, LONG = 8, 16
 
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{32,}+")
-_CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}+")
+_CANDIDATE = re.compile(rf"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{{{SHORT},}}+")
 #: What stands for a secret.
 MASK = "[SECRET]"
 
@@ -57,16 +64,13 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return [(KINDS[k], a, b) for a, k, b in sorted(out)]
 
 
-def candidates(text: str, base: list[tuple[str, int, int]]) -> list[tuple[int, int]]:
-    """Runs of token characters that no base span touches."""
-    out, ends, i = [], sorted((a, b) for _, a, b in base), 0
+def candidates(text: str) -> list[tuple[int, int]]:
+    """Runs of token characters, but for plain words shorter than LONG."""
+    out = []
     for m in _CANDIDATE.finditer(text):
-        a, b = m.span()
-        while i < len(ends) and ends[i][1] <= a:
-            i += 1
-        if i < len(ends) and ends[i][0] < b:
-            continue
-        out.append((a, b))
+        run = m[0]
+        if len(run) >= LONG or not (run.isalpha() and (run[1:].islower() or run.isupper())):
+            out.append(m.span())
     return out
 
 
@@ -92,7 +96,7 @@ def _codes(text: str, start: int, end: int) -> np.ndarray:
 class CharCnn:
     """Embedding, convolution, maximum over positions, hidden layer, one score."""
 
-    def __init__(self, seed: int = 7, size: int = 12, filters: int = 32, span: int = 5, hidden: int = 16):
+    def __init__(self, seed: int = 7, size: int = 12, filters: int = 48, span: int = 5, hidden: int = 24):
         r = np.random.default_rng(seed)
         self.span = span
         self.w = {
@@ -150,8 +154,9 @@ class CharCnn:
             best = max(best, float((np.maximum(pooled @ w["h"] + w["hb"], 0) @ w["o"]).max()))
         return float(1 / (1 + np.exp(-np.clip(self.scale * (best + w["ob"][0]) + self.shift, -40, 40))))
 
-    def fit(self, x: np.ndarray, y: np.ndarray, epochs: int = 6, rate: float = 0.005, batch: int = 64, seed: int = 3) -> None:
+    def fit(self, x: np.ndarray, y: np.ndarray, epochs: int = 9, rate: float = 0.004, batch: int = 64, seed: int = 3) -> None:
         r = np.random.default_rng(seed)
+        self.w, y = {k: v.astype(np.float32) for k, v in self.w.items()}, y.astype(np.float32)
         m1 = {k: np.zeros_like(v) for k, v in self.w.items()}
         m2 = {k: np.zeros_like(v) for k, v in self.w.items()}
         t = 0
@@ -164,6 +169,7 @@ class CharCnn:
                     m1[k] = 0.9 * m1[k] + 0.1 * v
                     m2[k] = 0.999 * m2[k] + 0.001 * v * v
                     self.w[k] -= rate * (m1[k] / (1 - 0.9**t)) / (np.sqrt(m2[k] / (1 - 0.999**t)) + 1e-8)
+        self.w = {k: v.astype(float) for k, v in self.w.items()}
 
     def _gradient(self, x: np.ndarray, y: np.ndarray) -> dict:
         w, n = self.w, len(x)
@@ -225,7 +231,19 @@ def labelled_findings(n: int = FINDINGS, seed: int = 11) -> list[tuple[str, int,
         return r.choice([str.lower, str.lower, str.capitalize, str.upper])(own)
 
     def secret() -> tuple[str, str, str]:
-        kind = r.randrange(9)
+        kind = r.randrange(15)
+        kind = 6 if kind >= 12 else kind
+        if kind >= 9:
+            # what base patterns find as well, and short ones
+            name = r.choice(["token", "password", "secret", "api_key", "apikey", "Passwd", "TOKEN"])
+            lead = r.choice([f"{name} = \"", f"{name}: ", f"{name}='", f"\"{name}\": \"", f"{name} := "])
+            if kind == 9:
+                return prose() + " " + lead, pick("0123456789abcdef", r.choice([32, 40, 64])), r.choice(['"', "'", "", "\n"]) + " " + prose()
+            if kind == 10:
+                return prose() + " " + r.choice([lead, "aws ", "key id "]), "AKIA" + pick(_UPPER + _DIGITS, 16), r.choice(['"', "", "\n"]) + " " + prose()
+            lead = r.choice([lead, lead, "pwd ", "pwd: ", "passphrase ", "my password is ", "passwort: ", "log in with "])
+            own = pick(_LOWER + _UPPER, 3) + pick(_DIGITS, 2) + pick(_LOWER + _UPPER + _DIGITS, r.randint(3, 10))
+            return prose() + " " + lead, own, r.choice(['"', "'", "", "\n", " "]) + " " + prose()
         if kind == 0:
             own = r.choice(["ghp_", "sk-", "xoxb-", "pk_live_", "glpat-", "npm_"]) + pick(_UPPER + _LOWER + _DIGITS, r.randint(20, 40))
         elif kind == 1:
@@ -241,14 +259,27 @@ def labelled_findings(n: int = FINDINGS, seed: int = 11) -> list[tuple[str, int,
         elif kind == 6:
             # in the middle of a path or joined run
             joint = r.choice("/=-_")
-            own = joint.join([*(word() for _ in range(r.randint(2, 8))), pick(_UPPER + _LOWER + r.choice(["", _DIGITS]), r.randint(20, 40)), *(word() for _ in range(r.randint(2, 8)))])
+            own = joint.join([*(word() for _ in range(r.randint(2, 8))), pick(_UPPER + _LOWER + r.choice(["", "", _DIGITS]), r.randint(20, 40)), *(word() for _ in range(r.randint(2, 8)))])
         else:
             own = pick(_UPPER + _LOWER + _DIGITS, r.randint(20, 48))
         lead = r.choice(["key: ", "Authorization: Bearer ", "private ", "export KEY=", "credential ", "auth = '", '"', "", "use ", "pwd "])
         return prose() + " " + lead, own, r.choice(["", "'", '"', ".", "\n"]) + " " + prose()
 
     def plain() -> tuple[str, str, str]:
-        kind = r.randrange(19)
+        kind = r.randrange(34)
+        kind = (10, 10, 10, 9, 9, 13, 13, 14)[kind - 26] if kind >= 26 else kind
+        if kind >= 19:
+            hexes = lambda k: pick("0123456789abcdef", k)
+            lead, own = [
+                lambda: (r.choice(["commit ", "revision ", "merge ", "cherry-picked from ", "parent "]), hexes(40)),
+                lambda: (r.choice(["sha1 ", "sha256: ", "md5: ", "checksum ", "digest ", "etag: ", "hash "]), hexes(r.choice([32, 40, 64]))),
+                lambda: (r.choice(["id ", "uuid ", "guid: ", "request "]), "-".join(map(hexes, (8, 4, 4, 4, 12)))),
+                lambda: (r.choice(["page ", "", "etag "]), word(2) + "-" + pick(_DIGITS, r.randint(5, 12))),
+                lambda: (r.choice(["call ", "phone ", "tel: ", "", "fax ", f"+{r.randint(1, 99)} ({pick(_DIGITS, 3)}) "]), "-".join(pick(_DIGITS, k) for k in r.choice([(3, 4), (3, 3, 4), (4, 5), (2, 4, 4)])) + r.choice(["", pick(_DIGITS, 2)])),
+                lambda: (r.choice(["version ", "see ", "", "part ", "model "]), r.choice([f"v{r.randint(1, 9)}-{word()}{r.randint(1, 99)}-{word()}", f"{pick(_UPPER, 2)}-{pick(_DIGITS, 4)}-{pick(_DIGITS, 2)}", word(3).capitalize() + word(2).capitalize() + word(1), word(3) + word(2) + pick(_DIGITS, 2), f"{r.randint(1900, 2030)}-{r.randint(1900, 2030)}"])),
+                lambda: (r.choice(["the ", "", "on ", "by "]), r.choice([pick(_UPPER, 2) + word(4), word(3) + "-" + word(2) + "-" + word(2), f"{r.randint(1900, 2030)}-0{r.randint(1, 9)}-{r.randint(10, 28)}", pick(_DIGITS, r.randint(8, 15)), word(3) + "/" + word(3), word(3) + "_" + word(3)])),
+            ][kind - 19]()
+            return prose() + " " + lead, own, r.choice(["", "'", ".", ",", "\n"]) + " " + prose()
         if kind == 0:
             own = "_".join(word() for _ in range(r.randint(3, 6))) + "_" + pick(_DIGITS, r.randint(2, 4))
         elif kind == 1:
@@ -280,7 +311,7 @@ def labelled_findings(n: int = FINDINGS, seed: int = 11) -> list[tuple[str, int,
         else:
             own = word(3) + pick(_DIGITS, 2) + word(4) + pick(_DIGITS, 2) + word(5)
         lead = r.choice(["key: ", "see ", "http://" + word() + ".com/", "file ", "", "id ", "version ", "'", '"', "the "])
-        return prose() + " " + lead, own.ljust(16, "0"), r.choice(["", "'", '"', ".", ",", "\n"]) + " " + prose()
+        return prose() + " " + lead, own, r.choice(["", "'", '"', ".", ",", "\n"]) + " " + prose()
 
     out = []
     for i in range(n):
@@ -291,7 +322,7 @@ def labelled_findings(n: int = FINDINGS, seed: int = 11) -> list[tuple[str, int,
 
 def _own(text: str, start: int, end: int) -> list[tuple[int, int]]:
     """The candidates of a text that a finding is in."""
-    return [(a, b) for a, b in candidates(text, base_spans(text)) if a < end and b > start]
+    return [(a, b) for a, b in candidates(text) if a < end and b > start]
 
 
 def _probabilities(net: CharCnn, text: str, some: list[tuple[int, int]]) -> list[float]:
@@ -315,51 +346,84 @@ def _windows(rows: list[tuple[str, int, int, int]], seed: int = 5) -> tuple[np.n
 
 
 @lru_cache(maxsize=4)
-def trained(findings: int = FINDINGS, recall: float = RECALL) -> tuple[CharCnn, float]:
-    """The network and its threshold: fitted on 60 %, calibrated on 20 %, threshold set on 20 % of the findings.
+def trained(findings: int = FINDINGS, recall: float = RECALL) -> tuple[CharCnn, tuple[float, ...]]:
+    """The network and its thresholds by `size_class`: fitted on 60 %, calibrated on 20 %, thresholds set on 20 % of the findings.
 
-    The threshold is set on findings scanned as texts are: one that has no candidate and
-    no base span counts as missed.
+    The thresholds are set on findings scanned as texts are: one that has no candidate
+    counts as missed.
     """
     rows = labelled_findings(findings)
     a, b = int(0.6 * len(rows)) // 2 * 2, int(0.8 * len(rows)) // 2 * 2
     net = CharCnn()
     net.fit(*_windows(rows[:a]))
     net.calibrate(*_windows(rows[a:b]))
-    p = sorted(finding_score(net, *row[:3]) for row in rows[b:] if row[3])
-    return net, min(CERTAIN, p[int((1 - recall) * len(p))])
+    scores: list[list[float]] = [[], [], []]
+    for row in rows[b:]:
+        if row[3]:
+            own = _own(*row[:3])
+            scores[size_class(max((y - x for x, y in own), default=0))].append(finding_score(net, *row[:3]))
+    return net, tuple(min(CERTAIN, sorted(p)[int((1 - recall) * len(p))]) if p else CERTAIN for p in scores)
+
+
+def size_class(length: int) -> int:
+    """0 for short runs, 1 for long ones, 2 for those longer than the network is wide."""
+    return (length >= LONG) + (length > WIDTH)
 
 
 def finding_score(net: CharCnn, text: str, start: int, end: int) -> float:
-    """The highest probability that a scan of the text gives a finding: 1 for one that a base span touches, 0 without a candidate."""
-    if any(a < end and b > start for _, a, b in base_spans(text)):
-        return 1.0
+    """The highest probability that a scan of the text gives a finding; 0 without a candidate."""
     return max(_probabilities(net, text, _own(text, start, end)), default=0.0)
 
 
-def find_secrets(text: str, net: CharCnn, threshold: float) -> tuple[list, list]:
+def find_secrets(text: str, net: CharCnn, thresholds: tuple[float, ...]) -> tuple[list, list, int, int]:
+    """Base spans, spans of the network beyond them, how many candidates were scored, and how many base spans the network confirms.
+
+    A run that lies in a base span is scored for that span; a base span without such a
+    run is scored as it stands.
+    """
     base = base_spans(text)
-    some = candidates(text, base)
-    return base, [("model", a, b) for (a, b), p in zip(some, _probabilities(net, text, some)) if p >= threshold]
+    some = candidates(text)
+    if not base and not some:
+        return [], [], 0, 0
+    spans_of: list[list[tuple[int, int]]] = [[] for _ in base]
+    inside, ends, i = set(), sorted((a, b, k) for k, (_, a, b) in enumerate(base)), 0
+    longest = max((b - a for _, a, b in base), default=0)
+    for at, (a, b) in enumerate(some):
+        while i < len(ends) and ends[i][0] + longest <= a:
+            i += 1
+        for x, y, k in ends[i:]:
+            if x >= b:
+                break
+            if y > a:
+                spans_of[k].append((a, b))
+                if x <= a and b <= y:
+                    inside.add(at)
+    extra = sorted({(a, b) for (_, a, b), own in zip(base, spans_of) if not own})
+    found = dict(zip(some + extra, _probabilities(net, text, some + extra)))
+    good = {s for s, p in found.items() if p >= thresholds[size_class(s[1] - s[0])]}
+    confirmed = sum(any(s in good for s in own or [(a, b)]) for (_, a, b), own in zip(base, spans_of))
+    return base, [("model", a, b) for at, (a, b) in enumerate(some) if (a, b) in good and at not in inside], len(found), confirmed
 
 
 def spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", findings: int = FINDINGS, recall: float = RECALL) -> DataFrame:
-    """(doc_id, base, model) for every row: spans as structs, in code points.
+    """(doc_id, base, model, scored, confirmed) for every row: spans as structs, in code points, and counts of `find_secrets`.
 
-    A null text counts as empty; repeated rows are scanned each, other columns are
-    ignored, and an empty table gives no rows.
+    A null text counts as empty, a null id stays null; repeated rows are scanned each,
+    texts of any length as a whole; other columns are ignored, and an empty table gives
+    no rows.
     """
-    net, threshold = trained(findings, recall)
+    net, thresholds = trained(findings, recall)
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
     rows = lambda s: [{"kind": k, "start": a, "end": b} for k, a, b in s]
 
     def run(batches):
         for batch in batches:
-            found = [find_secrets(v.as_py() or "", net, threshold) for v in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([rows(a) for a, _ in found], kind), pa.array([rows(b) for _, b in found], kind)], ["doc_id", "base", "model"])
+            found = [find_secrets(v.as_py() or "", net, thresholds) for v in batch.column(1)]
+            counts = [pa.array([f[i] for f in found], pa.int64()) for i in (2, 3)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([rows(f[0]) for f in found], kind), pa.array([rows(f[1]) for f in found], kind), *counts], ["doc_id", "base", "model", "scored", "confirmed"])
 
     struct = "array<struct<kind:string,start:int,end:int>>"
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, f"doc_id long, base {struct}, model {struct}")
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, f"doc_id long, base {struct}, model {struct}, scored long, confirmed long")
 
 
 def mask(text: str | None, found: list[tuple[str, int, int]]) -> str | None:
@@ -375,13 +439,17 @@ def mask(text: str | None, found: list[tuple[str, int, int]]) -> str | None:
 
 
 def redact(docs: DataFrame, text: str = "text", findings: int = FINDINGS, recall: float = RECALL) -> DataFrame:
-    """Every row and column of `docs`, with MASK for each secret in `text`; a null text stays null."""
-    net, threshold = trained(findings, recall)
+    """Every row and column of `docs`, with MASK for each secret in `text`.
+
+    A null text stays null, an empty one empty; repeated rows are masked each; an empty
+    table gives none.
+    """
+    net, thresholds = trained(findings, recall)
     at = docs.columns.index(text)
 
     def run(batches):
         for batch in batches:
-            masked = [None if (t := v.as_py()) is None else mask(t, sum(find_secrets(t, net, threshold), [])) for v in batch.column(at)]
+            masked = [None if (t := v.as_py()) is None else mask(t, sum(find_secrets(t, net, thresholds)[:2], [])) for v in batch.column(at)]
             columns = batch.columns
             columns[at] = pa.array(masked, pa.string())
             yield pa.RecordBatch.from_arrays(columns, batch.schema.names)
@@ -390,13 +458,17 @@ def redact(docs: DataFrame, text: str = "text", findings: int = FINDINGS, recall
 
 
 def report(found: DataFrame) -> DataFrame:
-    """Counts by kind and digests of the spans of `spans`."""
+    """Counts by kind and digests of the spans of `spans`, by start, then kind (`model` last)."""
     each = lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))
     count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")
+    order = F.array(*map(F.lit, (*KINDS, "model")))
+    every = F.sort_array(F.transform(F.concat("base", "model"), lambda s: F.struct(s["start"].alias("at"), F.array_position(order, s["kind"]).alias("k"), each(s).alias("span"))))
     return found.select(
         "doc_id",
         *[count(k).alias(f"n_{k}") for k in KINDS],
         F.sha2(F.array_join(F.transform("base", each), ",").cast("binary"), 256).alias("base_sha256"),
-        F.array_join(F.transform(F.concat("base", "model"), each), ",").alias("spans"),
+        F.array_join(F.transform(every, lambda s: s["span"]), ",").alias("spans"),
         F.size("model").cast("long").alias("n_model"),
+        F.col("scored").alias("n_scored"),
+        F.col("confirmed").alias("n_confirmed"),
     )
