@@ -8,12 +8,16 @@ inside links, and the page body's lcb and cb, the density is
 
 (zeroes count as one).  The sum of a node's children's densities is taken for every
 node, the one with the largest sum is the content, and the smallest density on the path
-from it to the body is the threshold that its parts must reach.  Elements without
-readable text, such as scripts and hidden ones, are left out of the tree beforehand.
-Navigation, footers and asides by element (BESIDE) are left out if anything else has
-text.  Forms, adverts, comments and the like, known by element, role and the words in
-class and id, are left out only where they hold at most MINOR of the body's text and
-anything else has text; else their densities decide.
+from it to the body is the threshold that its parts, and what stands beside the path,
+must reach.  Elements without readable text, such as scripts and hidden ones, are left out
+of the tree beforehand; no other element is, so densities choose among all that is on
+the page.
+
+Names break ties only: navigation, footers, page headers and asides by element (BESIDE),
+and forms, adverts, comments and the like by element, role and the words in class and
+id, are no content beside the path.  In the chosen subtree they are left out where they
+hold at most MINOR of its text, and they are not chosen themselves while they hold at
+most MINOR of the body's and anything else has text.
 
 Each page is parsed for itself inside a task; no rows move.  Parsing is one pass over
 the tags with an explicit stack, linear in the page, however deep the nesting.
@@ -36,7 +40,7 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 ENDS_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 #: What holds no article text: elements, roles, and words of class and id.
-NO_TEXT = frozenset("head script style noscript template iframe object svg canvas form button select input textarea nav footer aside menu dialog noembed noframes math audio video".split())
+NO_TEXT = frozenset("head script style noscript template iframe object svg canvas form button select input textarea nav footer aside menu dialog noembed noframes audio video".split())
 #: Of them, those that hold readable text beside an article, and those that may stand around one.
 BESIDE = frozenset("nav footer aside menu dialog".split())
 AROUND = BESIDE | {"form"}
@@ -67,7 +71,7 @@ def _unwanted(tag: str, attributes: str) -> tuple[bool, bool]:
     """Whether an element is left out, and whether it is if its share of the text is minor."""
     if tag in NO_TEXT and tag not in AROUND:
         return True, False
-    doubt = tag in AROUND
+    doubt = tag in AROUND or tag == "header"
     for m in _ATTRIBUTE.finditer(attributes or ""):
         name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
         if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and _HIDDEN.search(value):
@@ -171,22 +175,24 @@ def _density(x: Node, body: Node) -> float:
     return c / t * log(max(c / lc * t / lt, 1.0)) / log(base) if base > 1.000001 else c / t * log(max(c / lc * t / lt, 1.0)) / 1e-6
 
 
-def _blocks(x: Node, least: float) -> list[str]:
-    """Texts of the blocks under a node, in page order; blocks and line breaks part them."""
+def _blocks(top: Node, skip) -> list[str]:
+    """Texts of the blocks under a node, in page order, but for those that `skip` names; blocks and line breaks part them."""
     out: list[str] = []
     run: list[str] = []
 
     def end() -> None:
         if run:
-            text = " ".join(html.unescape("".join(run)).split())
+            # references end with the piece of text that they stand in
+            text = " ".join("".join(map(html.unescape, run)).split())
             if text:
                 out.append(text)
             run.clear()
 
-    stack: list = [iter(x.parts)]
+    stack: list = [(top, iter(top.parts))]
     ends: list[bool] = [True]
     while stack:
-        p = next(stack[-1], None)
+        x, parts = stack[-1]
+        p = next(parts, None)
         if p is None:
             stack.pop()
             if ends.pop():
@@ -197,59 +203,67 @@ def _blocks(x: Node, least: float) -> list[str]:
             block = p.tag not in INLINE
             if block:
                 end()
-            if block and p.link_chars * 2 > p.chars and p.density < least:
-                continue  # a list of links
-            stack.append(iter(p.parts))
-            ends.append(block)
+            if not skip(x, p, block):
+                stack.append((p, iter(p.parts)))
+                ends.append(block)
     end()
     return out
 
 
-def main_text(page: str) -> str:
-    """The article's text: blocks joined by one space; empty if the page has none."""
+def main_text(page: str, named: bool = True) -> str:
+    """The article's text: blocks joined by one space; empty if the page has none.
+
+    With `named` off, names of elements, roles and classes count for nothing.
+    """
     root = parse(page)
     order = _nodes(root)
     _measure(order)
-    doubtful = [x for x in order if x.doubt]
-    if doubtful:
-        whole = next((x for x in order if x.tag == "body"), root).chars
-        beside = [x for x in doubtful if x.tag in BESIDE]
-        minor = [x for x in doubtful if x.tag not in BESIDE and x.tag != "body" and x.chars <= MINOR * whole]
-        # with nothing else on the page, what was left out is the text
-        for gone in (beside + minor, beside, minor, []):
-            for x in doubtful:
-                x.drop = False
-            for x in gone:
-                x.drop = True
-            order = _nodes(root)
-            _measure(order)
-            if root.chars:
-                break
-    body = next((x for x in order if x.tag == "body"), root)
     if not root.chars:
         return ""
+    body = next((x for x in order if x.tag == "body"), root)
+    doubtful = [x for x in order if x.doubt and named and x is not body]
     for x in order:
-        x.density = _density(x, body)
-    # inline elements that hold no block are text of their block
+        x.density, x.doubt = _density(x, body), False
+    for x in doubtful:
+        x.doubt = x.tag in BESIDE or x.chars <= MINOR * body.chars
+    # inline elements that hold no block are text of their block; nothing of a doubtful element is chosen
     blocks: set[int] = set()
     for x in reversed(order):
         below = [p for p in x.parts if isinstance(p, Node) and id(p) in blocks and not p.drop]
         if below or x.tag not in INLINE and x.tag not in VOID:
             blocks.add(id(x))
         x.total = sum(p.density for p in below) + x.density * (x.chars - sum(p.chars for p in below)) / max(1, x.chars)
-    inside = [x for x in order if id(x) in blocks] or order
-    best = max(inside, key=lambda x: x.total)
-    least, x = best.density, best
+    apart: set[int] = set()
+    for x in order:
+        if x.doubt or x.parent is not None and id(x.parent) in apart:
+            apart.add(id(x))
+    inside = [x for x in order if id(x) in blocks]
+    free = [x for x in inside if id(x) not in apart]
+    if not any(x.chars - sum(p.chars for p in x.parts if isinstance(p, Node) and id(p) in apart) > 0 for x in free):
+        free, apart = inside, set()  # with nothing else on the page, what is doubtful is the text
+        for x in order:
+            x.doubt = False
+    best = max(free or order, key=lambda x: x.total)
+    least, x, path = best.density, best, set()
     while x is not body and x.parent is not None:
         x = x.parent
+        path.add(id(x))
         least = min(least, x.density) if x.chars else least
     # what stands beside the path and reaches its threshold is content as well, as is text of the path's own nodes
     top = x = best
     while x is not body and x.parent is not None:
         below, x = x, x.parent
-        if any(p.strip() if isinstance(p, str) else p is not below and not p.drop and p.chars and p.density >= least for p in x.parts):
+        if any(p.strip() if isinstance(p, str) else p is not below and not p.drop and not p.doubt and p.chars and p.density >= least for p in x.parts):
             top = x
-    return " ".join(_blocks(top, least))
+
+    def skip(x: Node, p: Node, block: bool) -> bool:
+        if id(p) in path or p is best or not p.chars and p.tag != "br":
+            return False
+        if id(x) in path and (block or p.doubt):
+            return p.doubt or p.density < least
+        return p.doubt and (p.tag in BESIDE or p.chars <= MINOR * best.chars) or block and p.link_chars * 2 > p.chars and p.density < least
+
+    return " ".join(_blocks(top, skip))
 
 
 SCHEMA = "page_id long, url string, text string, n_chars long"
@@ -259,7 +273,8 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", page:
     """(page_id, url, text, n_chars) for every row.
 
     A null page has no text, which gives an empty text; a null id or url stays null;
-    repeated rows are extracted each; other columns are ignored.
+    repeated rows are extracted each, pages of any length as a whole; other columns are
+    ignored; an empty table gives no rows.
     """
 
     def run(batches):
