@@ -72,7 +72,8 @@ class SumOfSquares:
         size = total - start
         if not size:
             return out
-        piece, counts = (doc, start, ids[start:], total), self.counts
+        # a copy: a view would keep all ids of the document as long as the window is open
+        piece, counts = (doc, start, ids[start:].copy(), total), self.counts
         # half of the change in the sum of squares, by the level h that the piece goes to
         change = counts[size:] - counts[: w + 1 - size] + 1
         change[-1] -= 0.5
