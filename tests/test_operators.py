@@ -1,6 +1,8 @@
 """Rules of single operators on rows written out here."""
 
 import datetime as dt
+import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -70,8 +72,44 @@ def test_band_join_matches_brute_force(spark):
 
 
 def test_similarity_of_multisets(spark):
-    rows = spark.createDataFrame([("a a b", "a b b"), ("", None)], "x string, y string")
-    assert [(r["overlap"], r["similarity"]) for r in similar.similarity(rows, "x", "y").collect()] == [(2, pytest.approx(2 / 3)), (0, 0.0)]
+    texts = spark.createDataFrame([(1, "a a b"), (2, "A b b"), (3, ""), (4, None)], "entry_id long, text string")
+    pairs = spark.createDataFrame([(1, 2), (3, 4), (1, 3)], "a long, b long")
+    got = {(r["a"], r["b"]): (r["overlap"], r["similarity"]) for r in similar.similarity(pairs, texts).collect()}
+    assert got == {(1, 2): (2, pytest.approx(2 / 3)), (3, 4): (0, 0.0), (1, 3): (0, 0.0)}
+
+
+def test_endings_leave_blank_lines_out(spark):
+    rows = [(i, "ann", "d", f"text {i}\nRegards\n" + "\n" * i + "Ann\n \n") for i in range(4)]
+    got = similar.endings(spark.createDataFrame(rows, "id long, author string, domain string, text string"), "id", "author", "domain", "text").collect()
+    assert {(r["entry_id"], r["lines"], r["count"]) for r in got} == {(i, 2, 4) for i in range(4)}
+
+
+def test_nearest_rank_over_ranges(spark):
+    rows = [("a", float(i * 7 % 101)) for i in range(101)] + [("b", 1.0)] * 9 + [("b", 2.0), (None, 3.0), ("c", None)]
+    got = {(r["k"], r["share"]): r["value"] for r in relate.nearest_rank(spark.createDataFrame(rows, "k string, v double"), "k", "v", [0.0, 0.5, 0.9, 1.0]).collect()}
+    assert [got["a", s] for s in (0.0, 0.5, 0.9, 1.0)] == [0.0, 50.0, 90.0, 100.0]
+    assert [got["b", s] for s in (0.5, 0.9, 1.0)] == [1.0, 1.0, 2.0] and got[None, 0.5] == 3.0 and ("c", 0.5) not in got
+
+
+def test_postings_give_the_scores_of_the_scan(spark, tmp_path):
+    texts = spark.createDataFrame([(i, f"alpha beta w{i % 7} " + "alpha " * (i % 3)) for i in range(60)] + [(90, None), (91, "")], "entry_id long, text string")
+    search.write_postings(texts, str(tmp_path / "index"), buckets=4)
+    for terms in (["alpha", "w3"], ["beta"], ["nowhere"], []):
+        want = {r["entry_id"]: r["score"] for r in search.bm25(texts, terms).collect()}
+        got = {r["entry_id"]: r["score"] for r in search.bm25_postings(spark, str(tmp_path / "index"), terms).collect()}
+        assert got == pytest.approx(want)
+
+
+def test_metrics_of_scores_match_ranks(spark):
+    rng = random.Random(5)
+    rows = [(q, e, round(rng.random(), 1), rng.random() < 0.2) for q in range(6) for e in range(80)]
+    scored = spark.createDataFrame(rows, "query long, entry_id long, s double, relevant boolean")
+    got = {r["query"]: (r["recall"], r["ndcg"], r["rr"]) for r in evaluate.metrics_of_scores(scored, 10).collect()}
+    for q in range(6):
+        ranked = sorted((r for r in rows if r[0] == q), key=lambda r: (-r[2], r[1]))
+        hits = [i for i, r in enumerate(ranked, 1) if r[3]]
+        dcg, ideal = sum(1 / math.log2(i + 1) for i in hits if i <= 10), sum(1 / math.log2(i + 1) for i in range(1, min(len(hits), 10) + 1))
+        assert got[q] == pytest.approx((sum(i <= 10 for i in hits) / len(hits), dcg / ideal, 1 / hits[0]))
 
 
 def test_endings_scope(spark):

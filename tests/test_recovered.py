@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from threadloom.operators import identity, peel, search, timeline, twins
+from threadloom.operators.groups import groups
 
 BODIES = [
     (1, "Hi\n-- \nsig\n\nOn Tue, 14 Apr 2026 at 16:35, Tom Hill <tom@x.org> wrote:\n> earlier\n> On 13 Sept 2026, at 9:05 am NZST, Ann\n> <ann@y.org> wrote:\n>> first\n>> text"),
@@ -71,13 +72,35 @@ def test_twins(spark):
     rows = [(1, "p", 0, text, False, 0), (2, "p", 7200, text + " more", True, 0), (3, "p", 7260 + 400, text, True, 0), (4, "q", 0, text, True, 0), (5, "p", 900, "short", True, 0), (6, "q", 60, text, True, 2), (7, None, 0, text, True, 0)]
     copies = spark.createDataFrame(rows, "entry_id long, person string, wall long, text string, quoted boolean, attachments int")
     found = twins.pairs(copies)
-    assert {(r["a"], r["b"]): r["reason"] for r in found.collect()} == {(1, 2): None, (1, 3): "no zone explains the gap", (2, 3): None, (1, 5): "too few words", (5, 2): "too few words", (5, 3): "too few words", (4, 6): None}
-    assert {r["entry_id"]: (r["decision"], r["keep_id"]) for r in twins.plan(copies, found).collect()} == {1: ("keep", 1), 2: ("drop", 1), 3: ("drop", 1), 4: ("refuse", None), 6: ("refuse", None)}
+    assert {(r["a"], r["b"]): r["reason"] for r in found.collect()} == {(1, 2): None, (1, 3): "no zone explains the gap", (2, 3): "no zone explains the gap", (1, 5): "too few words", (5, 2): "too few words", (5, 3): "too few words", (4, 6): None}
+    assert {r["entry_id"]: (r["decision"], r["keep_id"]) for r in twins.plan(copies, found).collect()} == {1: ("keep", 1), 2: ("drop", 1), 4: ("refuse", None), 6: ("refuse", None)}
+
+
+def test_twin_offsets_have_a_sign_and_slack(spark):
+    minutes = {(-780, False, True): None, (-780, True, False): 780, (-721, False, True): -720, (780, False, True): 780, (841, False, True): 840, (842, False, True): None, (-1500, True, True): -1500, (8, True, True): None, (16, True, True): 15, (17, True, True): None}
+    rows = [(i, 60 * m, a, b) for i, (m, a, b) in enumerate(minutes)]
+    got = spark.createDataFrame(rows, "i int, gap long, a boolean, b boolean").select("i", twins.twin_offset(F.col("gap"), F.col("a"), F.col("b")).alias("o")).collect()
+    assert [r["o"] for r in sorted(got)] == [*minutes.values()]
+
+
+def test_merges_and_chains_of_any_length(spark):
+    merges = spark.createDataFrame([(i, i - 1) for i in range(1, 200)] + [(900, 901), (901, 900)], "drop_id long, keep_id long")
+    got = identity.survivors(merges).collect()
+    assert len(got) == 199 and {r["keep_id"] for r in got} == {0}
+    chain = spark.createDataFrame([(i, i - 1 if i else None) for i in range(200)] + [(500, 7777), (600, None)], "entry_id long, parent_id long")
+    seeds = spark.createDataFrame([(150,), (500,)], "entry_id long")
+    assert {r["entry_id"] for r in timeline.closure(chain, seeds).collect()} == {*range(200), 500}
+
+
+def test_lone_returns_part_lines_and_marks_stay(spark):
+    body = "Hi\rthere\r\n\rOn Tue, 14 Apr 2026 at 16:35, Tom Hill <tom@x.org> wrote:\r> earlier \x01\x02 \x02\x01 \x01"
+    a, b = peel.recover(spark.createDataFrame([(1, body)], "entry_id long, text string")).orderBy("block").collect()
+    assert a["text"] == "Hi\nthere" and (b["kind"], b["address"]) == ("attribution", "tom@x.org") and b["text"] == "earlier \x01 \x02 \x02 \x01 \x01"
 
 
 def test_groups_of_a_long_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101)], "a long, b long")
-    got = {r["entry_id"]: r["group"] for r in twins.groups(links).collect()}
+    got = {r["entry_id"]: r["group"] for r in groups(links, node="entry_id").collect()}
     assert got == {**{i: 0 for i in range(61)}, 100: 100, 101: 100}
 
 
@@ -85,6 +108,15 @@ def test_lanes(spark):
     rows = [("d", "a", 0, 5), ("d", "b", 1, 2), ("d", "c", 3, 9), ("d", "e", 6, 7), ("d", "f", 6, 6)]
     got = timeline.lanes(spark.createDataFrame(rows, "k string, i string, s long, e long"), "k", "s", "e", "i")
     assert {r["i"]: r["lane"] for r in got.collect()} == {"a": 0, "b": 1, "c": 1, "e": 0, "f": 2}
+    # against one pass over the spans by start
+    rng = random.Random(9)
+    rows = [("xy"[i % 2], f"{i:03d}", (s := rng.randrange(300)), s + rng.randrange(12)) for i in range(160)]
+    want, ends = {}, {"x": [], "y": []}
+    for k, i, s, e in sorted(rows, key=lambda r: (r[0], r[2], r[1])):
+        lane = next((n for n, x in enumerate(ends[k]) if x < s), len(ends[k]))
+        ends[k][lane:lane + 1] = [e]
+        want[i] = lane
+    assert {r["i"]: r["lane"] for r in timeline.lanes(spark.createDataFrame(rows, "k string, i string, s long, e long"), "k", "s", "e", "i").collect()} == want
 
 
 def test_query_terms():

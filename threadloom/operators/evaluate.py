@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.clock import zone_offset
@@ -26,6 +26,23 @@ def metrics(ranked: DataFrame, relevant: DataFrame, k: int) -> DataFrame:
     return out.select("query", zero(F.col("found") / F.col("wanted")).alias("recall"), zero(F.col("dcg") / ideal).alias("ndcg"), zero(1 / F.col("first")).alias("rr"))
 
 
+def metrics_of_scores(scored: DataFrame, k: int, score: str = "s") -> DataFrame:
+    """`metrics` of rows (query, entry_id, s, relevant), ranked by score, then the smaller id.
+
+    Only the k best of a query are put in order, which Spark does in partial limits; the
+    place of the best relevant one is a count of those before it, so no query's rows are
+    sorted or gathered whole.
+    """
+    order = F.struct(F.col(score), -F.col("entry_id"))
+    best = scored.groupBy("query").agg(F.count_if("relevant").alias("wanted"), F.max(F.when(F.col("relevant"), order)).alias("best")).where("wanted > 0")
+    first = scored.join(best, "query").groupBy("query", "wanted").agg((F.count_if(order > F.col("best")) + 1).alias("first"))
+    rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc(score), "entry_id"))
+    top = scored.withColumn("rank", rank).where(F.col("rank") <= k).where("relevant").groupBy("query").agg(F.count("*").alias("found"), F.sum(1 / F.log2(F.col("rank") + 1)).alias("dcg"))
+    ideal = F.aggregate(F.sequence(F.lit(1), F.least(F.col("wanted"), F.lit(k)).cast("int")), F.lit(0.0), lambda s, i: s + 1 / F.log2(i + 1.0))
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    return first.join(top, "query", "left").select("query", zero(F.col("found") / F.col("wanted")).alias("recall"), zero(F.col("dcg") / ideal).alias("ndcg"), (1 / F.col("first")).alias("rr"))
+
+
 def fit_zones(observed: DataFrame, zones: list[str]) -> DataFrame:
     """(person, verdict, zones): which zones give every stated offset of a person.
 

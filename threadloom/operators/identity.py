@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import base_address, collapse, mail_domain, normalise_identity
-from .chains import roots
+from .groups import groups
 
 #: Local parts that stand for a role and not for a person.
 ROLES = ("admin", "billing", "contact", "hello", "help", "info", "mail", "no-reply", "noreply", "office", "sales", "security", "support", "team")
@@ -81,10 +81,15 @@ def first_name_plan(people: DataFrame) -> DataFrame:
 
 
 def survivors(merges: DataFrame) -> DataFrame:
-    """(drop_id, keep_id) with chains of merges followed to their last survivor; each id is dropped once at most."""
-    every = merges.select(F.col("drop_id").alias("entry_id"), F.col("keep_id").alias("parent_id"))
-    ends = every.select(F.col("parent_id").alias("entry_id")).distinct().join(every, "entry_id", "left_anti").withColumn("parent_id", F.lit(None).cast("long"))
-    return roots(every.unionByName(ends)).where("entry_id <> root_id").select(F.col("entry_id").alias("drop_id"), F.col("root_id").alias("keep_id"))
+    """(drop_id, keep_id) with chains of merges of any length followed to their last survivor.
+
+    Each id is dropped once at most, so a group of merges has one id that none drops; a
+    circle of merges has none and is left out.
+    """
+    members = groups(merges, "drop_id", "keep_id")
+    dropped = merges.select(F.col("drop_id").alias("node"))
+    last = members.join(dropped, "node", "left_anti").select("group", F.col("node").alias("keep_id"))
+    return members.join(dropped.distinct(), "node", "left_semi").join(last, "group").select(F.col("node").alias("drop_id"), "keep_id")
 
 
 def repoint(rows: DataFrame, column: str, mapping: DataFrame, once: bool = False) -> DataFrame:

@@ -64,8 +64,11 @@ def blocks(body: Column) -> Column:
     A part with neither a boundary nor text is left out.  `--` alone on a line ends the
     text of its part.  `kind` is visible, forward, attribution or header.
     """
-    start, end = "\x01", "\x02"
-    body = F.regexp_replace(F.translate(F.coalesce(body, F.lit("")), start + end + "\r", ""), " ", " ")
+    # marks that no text has: a body's own pair of these characters is parted by a space
+    start, end = "\x01\x02", "\x02\x01"
+    body = F.regexp_replace(F.coalesce(body, F.lit("")), "\r\n?", "\n")
+    body = F.regexp_replace(body, "(?<=\x01)(?=\x02)|(?<=\x02)(?=\x01)", " ")
+    body = F.regexp_replace(body, "\u00a0", " ")
     parts = F.split(F.regexp_replace(body, _BOUNDARY, f"{start}$0{end}"), start, -1)
 
     def one(part: Column) -> Column:

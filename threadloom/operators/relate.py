@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..tables import written
+
 
 def band_join(rows: DataFrame, key: str, at: str, entry: str, width: int) -> DataFrame:
     """(key, a, b, gap): pairs of rows of a key at most `width` apart in `at` (a number), a before b.
@@ -49,7 +51,13 @@ def nearest_rank(rows: DataFrame, key: str, value: str, shares: list[float]) ->
     Equal values are counted before they are ordered, so the ordered rows are the distinct ones.
     """
     counts = rows.where(F.col(value).isNotNull()).groupBy(key, value).agg(F.count("*").alias("c"))
-    w = Window.partitionBy(key).orderBy(value)
-    upto = counts.withColumn("hi", F.sum("c").over(w)).withColumn("n", F.sum("c").over(Window.partitionBy(key)))
+    # ranges of (key, value): a key is spread over many, and only their sums are put in order
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = written(counts.repartitionByRange(parts, key, value).withColumn("part", F.spark_partition_id()))
+    sums = dealt.groupBy(key, "part").agg(F.sum("c").alias("held"))
+    w = Window.partitionBy(key).orderBy("part")
+    sums = sums.select(F.col(key).alias("of"), "part", (F.sum("held").over(w) - F.col("held")).alias("before"), F.sum("held").over(Window.partitionBy(key)).alias("n"))
+    upto = dealt.join(sums, F.col(key).eqNullSafe(F.col("of")) & (dealt["part"] == sums["part"])).drop(sums["part"])
+    upto = upto.withColumn("hi", F.col("before") + F.sum("c").over(Window.partitionBy(key, "part").orderBy(value)))
     at = upto.withColumn("share", F.explode(F.array(*map(F.lit, shares)))).withColumn("place", F.floor(F.col("share") * (F.col("n") - 1)))
     return at.where("place < hi AND place >= hi - c").select(key, "share", F.col(value).alias("value"))

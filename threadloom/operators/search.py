@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
@@ -35,6 +35,34 @@ def bm25(entries: DataFrame, terms: list[str], entry: str = "entry_id", text: st
     return every.join(F.broadcast(stats)).select("entry_id", sum((_gain(i) for i in range(len(terms))), F.lit(0.0)).alias("score"))
 
 
+def write_postings(entries: DataFrame, path: str, entry: str = "entry_id", text: str = "text", buckets: int = 256) -> None:
+    """Index texts for `bm25_postings`: (token, entry_id, tf, dl) by bucket of the token, and the counts of the whole table.
+
+    A text is tokenised once; counts of words are whole before the shuffle, which deals
+    each bucket's rows over several files by entry, so a frequent word is never one task's.
+    """
+    own = entries.select(F.col(entry).alias("entry_id"), tokens(F.col(text)).alias("w"))
+    rows = own.select("entry_id", F.size("w").alias("dl"), F.explode("w").alias("token")).groupBy("entry_id", "dl", "token").agg(F.count("*").cast("int").alias("tf"))
+    dealt = rows.withColumn("bucket", F.pmod(F.xxhash64("token"), F.lit(buckets)).cast("int"))
+    dealt.repartition("bucket", F.pmod(F.xxhash64("entry_id"), F.lit(4))).sortWithinPartitions("bucket", "token").write.partitionBy("bucket").parquet(f"{path}/postings")
+    own.agg(F.count("*").alias("n"), F.avg(F.size("w")).alias("avgdl"), F.lit(buckets).alias("buckets")).write.parquet(f"{path}/stats")
+
+
+def bm25_postings(spark: SparkSession, path: str, terms: list[str]) -> DataFrame:
+    """(entry_id, score) as `bm25` gives, from an index: only the buckets and row groups of the query's words are read."""
+    wanted = sorted(set(terms))
+    stats = spark.read.parquet(f"{path}/stats")
+    size = stats.first()["buckets"]
+    # xxhash64 of a word is the same here as where the index was written; one row for each term
+    asked = spark.createDataFrame([(t,) for t in wanted], "token string").select(F.pmod(F.xxhash64("token"), F.lit(size)).cast("int").alias("b")).distinct().collect() if wanted else []
+    found = spark.read.parquet(f"{path}/postings").where(F.col("bucket").isin([r["b"] for r in asked]) & F.col("token").isin(wanted))
+    holders = found.groupBy("token").agg(F.count("*").alias("held"))
+    gain = F.greatest(F.log((F.col("n") - F.col("held") + 0.5) / (F.col("held") + 0.5)), F.lit(LEAST_IDF)) * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+    # one row for each term, and one of statistics
+    rows = found.join(F.broadcast(holders), "token").join(F.broadcast(stats))
+    return rows.groupBy("entry_id").agg(F.sum(gain).alias("score"), F.count("*").alias("matched")).where(F.col("matched") == len(wanted)).select("entry_id", "score")
+
+
 def containing(entries: DataFrame, needle: str, entry: str = "entry_id", text: str = "text") -> DataFrame:
     """(entry_id, score): how often each text holds a string of three characters or more, whatever its case."""
     low = F.lower(F.col(text))

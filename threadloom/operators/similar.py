@@ -6,18 +6,32 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
+from ..tables import written
 
 
-def similarity(pairs: DataFrame, a: str, b: str) -> DataFrame:
-    """Pairs with `overlap` (size of the multiset intersection of tokens) and `similarity` (Dice, 0 for two empty texts)."""
-    ta, tb = tokens(F.col(a)), tokens(F.col(b))
-    count = lambda t: F.transform(F.array_distinct(t), lambda x: F.struct(x.alias("k"), F.size(F.array_remove(t, x)).alias("rest")))
-    ca, cb = F.map_from_entries(count(ta)), F.map_from_entries(count(tb))
-    na, nb = F.size(ta), F.size(tb)
-    shared = F.map_zip_with(ca, cb, lambda k, x, y: F.least(F.coalesce(na - x, F.lit(0)), F.coalesce(nb - y, F.lit(0))))
-    overlap = F.aggregate(F.map_values(shared), F.lit(0), lambda s, x: s + x)
-    out = pairs.withColumn("overlap", overlap)
-    return out.withColumn("similarity", F.when(na + nb > 0, 2.0 * F.col("overlap") / (na + nb)).otherwise(0.0))
+def word_counts(texts: DataFrame, entry: str = "entry_id", text: str = "text") -> DataFrame:
+    """(entry_id, token, k) of every text, tokenised once; counts are whole before anything is shuffled."""
+    return texts.select(F.col(entry).alias("entry_id"), F.explode(tokens(F.col(text))).alias("token")).groupBy("entry_id", "token").agg(F.count("*").alias("k"))
+
+
+def similarity(pairs: DataFrame, texts: DataFrame, entry: str = "entry_id", text: str = "text") -> DataFrame:
+    """Pairs (a, b) of entries with their numbers of words `na` and `nb`, `overlap` (size of the multiset intersection of tokens) and `similarity` (Dice, 0 for two empty texts).
+
+    Only texts that are in a pair are tokenised, each once; what is joined are counts of words.
+    """
+    used = pairs.select(F.col("a").alias("used")).unionByName(pairs.select(F.col("b").alias("used"))).distinct()
+    counts = written(word_counts(texts.join(used, texts[entry] == used["used"], "left_semi"), entry, text))
+    sizes = counts.groupBy("entry_id").agg(F.sum("k").alias("n"))
+    ends = pairs.select("a", "b").distinct()
+    x = ends.join(counts.select(F.col("entry_id").alias("a"), "token", F.col("k").alias("ka")), "a")
+    y = counts.select(F.col("entry_id").alias("b"), "token", F.col("k").alias("kb"))
+    met = x.join(y, ["b", "token"]).groupBy("a", "b").agg(F.sum(F.least("ka", "kb")).alias("overlap"))
+    out = pairs.join(met, ["a", "b"], "left")
+    for s in "ab":
+        out = out.join(sizes.select(F.col("entry_id").alias(s), F.col("n").alias(f"n{s}")), s, "left")
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
+    out = out.select(*pairs.columns, zero("na"), zero("nb"), zero("overlap"))
+    return out.withColumn("similarity", F.when(F.col("na") + F.col("nb") > 0, 2.0 * F.col("overlap") / (F.col("na") + F.col("nb"))).otherwise(0.0))
 
 
 def endings(messages: DataFrame, entry: str, author: str, domain: str, text: str, least: int = 2, most: int = 25, repeats: int = 3) -> DataFrame:
@@ -25,14 +39,16 @@ def endings(messages: DataFrame, entry: str, author: str, domain: str, text: str
 
     An ending of n lines, never the whole message, counts for its author if `repeats`
     messages of the author end so, or for the domain if as many of the domain do, from
-    two authors, and it is strictly longer than the author's.  Blank lines at the end do
-    not count.  What is grouped are digests, with partial counts.
+    two authors, and it is strictly longer than the author's.  Blank lines count for
+    nothing, at the end or inside.  What is grouped are digests, with partial counts, and
+    the digests of all endings are written once.
     """
-    lines = F.split(F.regexp_replace(F.coalesce(F.col(text), F.lit("")), r"\s+$", ""), "\n", -1)
+    lines = F.filter(F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1), lambda x: ~x.rlike(r"^\s*$"))
     rows = messages.select(F.col(entry).alias("entry_id"), F.col(author).alias("author"), F.col(domain).alias("domain"), lines.alias("lines"))
     lengths = F.sequence(F.lit(least), F.least(F.lit(most), F.size("lines") - 1))
     each = rows.where(F.size("lines") > least).withColumn("n", F.explode(lengths))
     each = each.select("entry_id", "author", "domain", "n", F.md5(F.array_join(F.transform(F.slice("lines", F.size("lines") - F.col("n") + 1, F.col("n")), F.trim), "\n")).alias("key"))
+    each = written(each)
     by_author = each.groupBy("author", "n", "key").agg(F.count("*").alias("count")).where(F.col("count") >= repeats).select("author", "n", "key", "count", F.lit(1).cast("long").alias("senders"), F.lit("author").alias("scope"))
     by_domain = each.groupBy("domain", "n", "key", "author").agg(F.count("*").alias("c")).groupBy("domain", "n", "key").agg(F.sum("c").alias("count"), F.count("*").alias("senders")).where((F.col("count") >= repeats) & (F.col("senders") >= 2)).withColumn("scope", F.lit("domain"))
     found = each.join(by_author, ["author", "n", "key"]).select("entry_id", "n", "count", "senders", "scope").unionByName(each.join(by_domain, ["domain", "n", "key"]).select("entry_id", "n", "count", "senders", "scope"))

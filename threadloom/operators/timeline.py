@@ -6,13 +6,20 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import collapse
-from .chains import roots
+from .groups import groups
 
 
 def closure(entries: DataFrame, seeds: DataFrame) -> DataFrame:
-    """Entries of every chain that holds a seed (entry_id), once each."""
-    of = roots(entries)
-    return entries.join(of.join(of.join(seeds.select("entry_id").distinct(), "entry_id").select("root_id").distinct(), "root_id").select("entry_id"), "entry_id", "left_semi")
+    """Entries of every chain that holds a seed (entry_id), once each, however long the chain.
+
+    A chain is what parents connect, so entries without a parent or an answer among the
+    entries are taken for themselves.
+    """
+    known = entries.select(F.col("entry_id").alias("parent_id"))
+    of = groups(entries.select("entry_id", "parent_id").join(known, "parent_id"), "entry_id", "parent_id", "entry_id")
+    asked = seeds.select("entry_id").distinct()
+    whole = of.join(of.join(asked, "entry_id").select("group").distinct(), "group").select("entry_id")
+    return entries.join(whole.unionByName(asked), "entry_id", "left_semi")
 
 
 def messages(selected: DataFrame, chain: DataFrame) -> DataFrame:
@@ -32,12 +39,16 @@ def messages(selected: DataFrame, chain: DataFrame) -> DataFrame:
 
 
 def documents(placed: DataFrame) -> DataFrame:
-    """One nested row for each chain: its messages in order, its cast and the count of orphans.
+    """What heads each document (root_id): count, first and last time, subject, cast in order, orphans.
 
-    A document is what a reader opens, so it is one row by intent.
+    The messages themselves stay the rows of `messages`, by root_id and place, so no
+    chain is ever one row.
     """
-    each = F.struct("place", "entry_id", "parent_id", "person", "ts", "subject", "text")
-    return placed.groupBy("root_id").agg(F.array_sort(F.collect_list(each)).alias("messages"), F.sort_array(F.collect_set("person")).alias("cast"), F.count_if("orphan").alias("orphans"))
+    at = F.struct("place", "entry_id")
+    return placed.groupBy("root_id").agg(
+        F.count("*").alias("messages"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.min_by("subject", at).alias("subject"),
+        F.array_join(F.sort_array(F.collect_set("person")), ",").alias("cast"), F.count_if("orphan").alias("orphans"),
+    )
 
 
 def threads(selected: DataFrame) -> DataFrame:
@@ -48,10 +59,15 @@ def threads(selected: DataFrame) -> DataFrame:
 def lanes(spans: DataFrame, key: str, start: str, end: str, lane_of: str) -> DataFrame:
     """Rows with `lane`: by start, each interval takes the first lane that is free before it.
 
-    The spans of one document are the threads that a reader sees side by side.
+    Each key is cut where no span is open; there all lanes are free, so only spans that
+    overlap one another are gathered.
     """
     each = F.struct(F.col(start).alias("s"), F.col(lane_of).alias("i"), F.col(end).alias("e"))
-    packed = spans.groupBy(key).agg(F.array_sort(F.collect_list(each)).alias("spans"))
+    w = Window.partitionBy(key).orderBy(start, lane_of)
+    before = F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    cut = F.coalesce(before < F.col(start), F.lit(True)).cast("int")
+    runs = spans.withColumn("cut", cut).withColumn("run", F.sum("cut").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    packed = runs.groupBy(key, "run").agg(F.array_sort(F.collect_list(each)).alias("spans"))
     none = F.struct(F.array().cast("array<bigint>").alias("ends"), F.array().cast("array<int>").alias("at"))
 
     def put(state, span):

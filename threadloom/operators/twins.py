@@ -2,19 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.clock import LEAST, MOST, nearest_offset
 from ..functions.text import tokens
+from ..tables import written
+from .groups import groups
 from .relate import band_join
 from .similar import similarity
 
 WINDOW, WORDS, RECALL, HEAD = 26 * 3600, 25, 0.85, 0.75
-RUN, REACH = 8, 48
+RUN, REACH, SLACK = 8, 48, 1
 
 
 def common_length(a: Column, b: Column) -> Column:
@@ -39,58 +38,40 @@ def head_similarity(a: Column, b: Column) -> Column:
     return F.when(F.size(head) > 0, common_length(head, F.slice(b, 1, REACH)) / F.size(head)).otherwise(0.0)
 
 
+def twin_offset(gap: Column, quoted_a: Column, quoted_b: Column) -> Column:
+    """The offset in minutes that a gap of b behind a, in seconds, can be; null if it can be none.
+
+    Against a direct copy, whose clock is the true instant, it is the stated clock less
+    that instant and lies within the bounds of zones; between two quoted copies it is a
+    difference of offsets, which only the lattice of quarter hours binds.  A minute of
+    slack is left on either.
+    """
+    minutes = F.round(gap / 60) * F.when(quoted_a & ~quoted_b, -1).otherwise(1)
+    near = nearest_offset(minutes)
+    bound = (quoted_a & quoted_b) | minutes.between(LEAST - SLACK, MOST + SLACK)
+    return F.when(bound & (F.abs(minutes - near) <= SLACK), near)
+
+
 def pairs(copies: DataFrame) -> DataFrame:
     """(a, b, gap, reason) of copies (entry_id, person, wall, text, quoted) of a person at most 26 hours apart.
 
     `reason` is null where the pair are twins, else the first gate that it fails.  Texts
     are joined only to pairs near in time, and word counts come before similarities.
     """
-    near = band_join(copies.where("person IS NOT NULL"), "person", "wall", "entry_id", WINDOW)
-    own = copies.select("entry_id", "quoted", "text")
+    near = written(band_join(copies.where("person IS NOT NULL"), "person", "wall", "entry_id", WINDOW))
+    own = copies.select("entry_id", "quoted", F.slice(tokens(F.col("text")), 1, REACH).alias("head"))
     side = lambda s: own.select(*[F.col(c).alias(s if c == "entry_id" else f"{c}_{s}") for c in own.columns])
-    both = similarity(near.join(side("a"), "a").join(side("b"), "b"), "text_a", "text_b")
-    ta, tb = tokens(F.col("text_a")), tokens(F.col("text_b"))
-    minutes = F.col("gap") / 60
-    lattice = (F.abs(minutes - nearest_offset(minutes)) <= 1) & minutes.between(LEAST, MOST)
+    both = similarity(near, copies).join(side("a"), "a").join(side("b"), "b")
     reason = (
         F.when(~F.col("quoted_a") & ~F.col("quoted_b"), "two direct copies")
-        .when(F.least(F.size(ta), F.size(tb)) < WORDS, "too few words")
-        .when((~F.col("quoted_a") | ~F.col("quoted_b")) & ~lattice, "no zone explains the gap")
-        .when(F.col("overlap") < RECALL * F.least(F.size(ta), F.size(tb)), "words differ")
-        .when((head_similarity(ta, tb) < HEAD) | (head_similarity(tb, ta) < HEAD), "beginnings differ")
+        .when(F.least("na", "nb") < WORDS, "too few words")
+        .when(twin_offset(F.col("gap"), F.col("quoted_a"), F.col("quoted_b")).isNull(), "no zone explains the gap")
+        .when(F.col("overlap") < RECALL * F.least("na", "nb"), "words differ")
+        .when((head_similarity(F.col("head_a"), F.col("head_b")) < HEAD) | (head_similarity(F.col("head_b"), F.col("head_a")) < HEAD), "beginnings differ")
     )
     return both.select("a", "b", "gap", reason.alias("reason"))
 
 
-def _kept(df: DataFrame) -> DataFrame:
-    """Rows written to the shared folder of the cluster and read again."""
-    where = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        where = _kept.local = getattr(_kept, "local", None) or "file://" + tempfile.mkdtemp(prefix="threadloom-")
-    path = f"{where.rstrip('/')}/threadloom/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def groups(links: DataFrame) -> DataFrame:
-    """(entry_id, group): the smallest id reachable by links (a, b); entries without links are left out.
-
-    Each round takes the least label of the neighbours and then the label's own label,
-    so long chains halve; the driver sees one number a round.
-    """
-    edges = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    edges = _kept(edges)
-    labels = _kept(edges.groupBy(F.col("a").alias("entry_id")).agg(F.least(F.first("a"), F.min("b")).alias("group")))
-    while True:
-        near = edges.join(labels, edges["b"] == labels["entry_id"]).groupBy("a").agg(F.min("group").alias("least"))
-        spread = labels.join(near, labels["entry_id"] == near["a"]).select("entry_id", F.col("group").alias("old"), F.least("group", "least").alias("next"))
-        onward = labels.select(F.col("entry_id").alias("at"), F.col("group").alias("jump"))
-        moved = _kept(spread.join(onward, spread["next"] == onward["at"]).select("entry_id", "old", F.least("next", "jump").alias("group")))
-        labels = moved.select("entry_id", "group")
-        if moved.where("group <> old").isEmpty():
-            return labels
-
-
 def plan(copies: DataFrame, links: DataFrame) -> DataFrame:
     """(entry_id, group, keep_id, decision) for members of twin groups; copies may have `attachments`.
 
@@ -98,7 +79,7 @@ def plan(copies: DataFrame, links: DataFrame) -> DataFrame:
     direct copy stays; with none, the one of most words, then of the smallest id.
     """
     own = copies.select("entry_id", "quoted", F.size(tokens(F.col("text"))).alias("words"), (F.coalesce("attachments", F.lit(0)) if "attachments" in copies.columns else F.lit(0)).alias("attachments"))
-    members = groups(links.where("reason IS NULL")).join(own, "entry_id")
+    members = groups(links.where("reason IS NULL"), node="entry_id").join(own, "entry_id")
     best = F.max_by("entry_id", F.struct(~F.col("quoted"), F.col("words"), -F.col("entry_id"))).alias("keep_id")
     ends = members.groupBy("group").agg(best, F.count_if(~F.col("quoted")).alias("direct"))
     each = members.join(ends, "group")

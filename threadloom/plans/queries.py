@@ -162,10 +162,10 @@ def eval_metrics(spark, sf_dir):
     rows = _read(spark, sf_dir, "embeddings")
     asked = rows.groupBy("label").agg(F.min_by(F.struct("vec_id", "embedding"), "vec_id").alias("q")).select("label", F.col("q.vec_id").alias("query"), F.col("q.embedding").alias("asked"))
     # a row for each label
-    sims = rows.select("vec_id", "embedding").join(asked.select("query", "asked")).where("vec_id <> query").select("query", F.col("vec_id").alias("entry_id"), F.round(vector.dot(F.col("embedding"), F.col("asked")), 6).alias("s"))
-    ranked = sims.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("s"), "entry_id")))
-    relevant = rows.join(asked.select("label", "query"), "label").where("vec_id <> query").select("query", F.col("vec_id").alias("entry_id"))
-    return evaluate.metrics(ranked, relevant, 10).select("query", *[F.round(c, 6).alias(c) for c in ("recall", "ndcg", "rr")])
+    # stated queries against all rows: one query for each label
+    sims = rows.join(asked.select(F.col("label").alias("of"), "query", "asked")).where("vec_id <> query")
+    scored = sims.select("query", F.col("vec_id").alias("entry_id"), F.round(vector.dot(F.col("embedding"), F.col("asked")), 6).alias("s"), F.col("label").eqNullSafe(F.col("of")).alias("relevant"))
+    return evaluate.metrics_of_scores(scored, 10).select("query", *[F.round(c, 6).alias(c) for c in ("recall", "ndcg", "rr")])
 
 
 @query(r"SELECT doc_id, sha256(trim(regexp_replace(coalesce(text, ''), '[ \t\n\x0B\f\r]+', ' ', 'g'), ' ') || chr(0)) AS body_sha FROM documents")
@@ -186,12 +186,12 @@ SELECT e.entry_id, coalesce(o.overlap, 0)::INT AS overlap, round(CASE WHEN coale
 FROM entries e JOIN entries p ON p.entry_id = e.parent_id LEFT JOIN o ON o.entry_id = e.entry_id LEFT JOIN n x ON x.entry_id = e.entry_id LEFT JOIN n y ON y.entry_id = e.parent_id""")
 def reply_similarity(spark, sf_dir):
     e = entries(spark, sf_dir)
-    above = e.select(F.col("entry_id").alias("p"), F.col("text").alias("above"))
-    pairs = e.join(above, e["parent_id"] == above["p"]).select("entry_id", "text", "above")
-    return similar.similarity(pairs, "text", "above").select("entry_id", "overlap", F.round("similarity", 6).alias("similarity"))
+    known = e.select(F.col("entry_id").alias("b"))
+    pairs = e.select(F.col("entry_id").alias("a"), F.col("parent_id").alias("b")).join(known, "b", "left_semi").select("a", "b")
+    return similar.similarity(pairs, e).select(F.col("a").alias("entry_id"), F.col("overlap").cast("int"), F.round("similarity", 6).alias("similarity"))
 
 
-@query("""WITH l AS (SELECT doc_id, source, lang, string_split(regexp_replace(coalesce(text, ''), '\\s+$', ''), chr(10)) AS l FROM documents),
+@query("""WITH l AS (SELECT doc_id, source, lang, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: NOT regexp_full_match(x, '[ \\t\\x0B\\f\\r]*')) AS l FROM documents),
 e AS (SELECT doc_id, source, lang, n, array_to_string(list_transform(l[len(l) - n + 1 :], lambda x: trim(x, ' ')), chr(10)) AS key FROM (SELECT *, unnest(range(2, least(25, len(l) - 1) + 1)) AS n FROM l WHERE len(l) > 2)),
 a AS (SELECT source, n, key, count(*) AS c FROM e GROUP BY ALL HAVING count(*) >= 3),
 d AS (SELECT lang, n, key, count(*) AS c, count(DISTINCT source) AS s FROM e GROUP BY ALL HAVING count(*) >= 3 AND count(DISTINCT source) >= 2),

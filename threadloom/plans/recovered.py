@@ -158,7 +158,11 @@ def timeline_threads(spark, sf_dir):
     return timeline.threads(timeline.closure(rows, search.containing(rows, "tion")))
 
 
-@query()
+@query(f"""WITH RECURSIVE {_SELECTED}, m AS (
+  SELECT x.*, p.entry_id AS pid, CASE WHEN p.entry_id IS NULL OR p.subject IS DISTINCT FROM x.subject THEN x.subject END AS shown
+  FROM sel x LEFT JOIN sel p ON p.entry_id = x.parent_id AND (p.ts, p.entry_id) < (x.ts, x.entry_id))
+SELECT root_id, count(*) AS messages, min(ts) AS first_ts, max(ts) AS last_ts, arg_min(shown, (ts, entry_id)) AS subject,
+ array_to_string(list_sort(list(DISTINCT person)), ',') AS "cast", count(*) FILTER (WHERE parent_id IS NOT NULL AND pid IS NULL) AS orphans FROM m GROUP BY 1""")
 def timeline_documents(spark, sf_dir):
     rows = _selected(spark, sf_dir)
     return timeline.documents(timeline.messages(rows, chains.roots(rows)))
