@@ -35,8 +35,9 @@ def clean_subject(subject: Column) -> Column:
 
 
 def base_address(address: Column) -> Column:
-    """user+tag@host as user@host; other addresses as they are."""
-    return F.regexp_replace(address, r"^([^+@]+)\+[^@]*@", "$1@")
+    """user+tag@host as user@host; other addresses, and those whose tag spells another mailbox, as they are."""
+    other = F.regexp_extract(address, r"^[^+@]+\+([^@]*)@", 1).rlike(r"(?i)^caf_|[A-Za-z0-9._%+\-]+=[A-Za-z0-9.\-]+\.[A-Za-z]{2,}")
+    return F.when(other, address).otherwise(F.regexp_replace(address, r"^([^+@]+)\+[^@]*@", "$1@"))
 
 
 def mail_domain(address: Column) -> Column:

@@ -9,12 +9,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.address import contradiction, is_role, local_part
 from ..functions.text import base_address, collapse, mail_domain, normalise_identity
 from .groups import groups
 
-#: Local parts that stand for a role and not for a person.
-ROLES = ("admin", "billing", "contact", "hello", "help", "info", "mail", "no-reply", "noreply", "office", "sales", "security", "support", "team")
-
 
 def resolve(mentions: DataFrame) -> DataFrame:
     """(kind, value, person_id, name) of mentions (kind, value, name, ts).
@@ -43,12 +41,22 @@ def plus_plan(identities: DataFrame) -> DataFrame:
     return tagged.join(holders, "base", "left").select("person_id", "value", "base", decision.alias("decision"), "keep_id")
 
 
-def domain_plan(identities: DataFrame, old: str, to: str) -> DataFrame:
-    """(drop_id, keep_id, value): holders of an address at the old domain and of the same local part at the new one."""
+def domain_plan(identities: DataFrame, old: str, to: str, names: DataFrame | None = None) -> DataFrame:
+    """(drop_id, keep_id, value): holders of an address at the old domain and of the same local part at the new one.
+
+    With `names` (person_id, name) there is `refused` too: the local part is a role's, or
+    the names of the two cannot be of one human; null where nothing speaks against it.
+    """
     mails = identities.where("kind = 'email'").select("person_id", "value", mail_domain(F.col("value")).alias("domain"))
     a = mails.where(F.col("domain") == old).select(F.col("person_id").alias("drop_id"), F.concat(F.substring_index("value", "@", 1), F.lit("@" + to)).alias("value"))
     b = mails.where(F.col("domain") == to).select(F.col("person_id").alias("keep_id"), "value")
-    return a.join(b, "value").where("drop_id <> keep_id").select("drop_id", "keep_id", "value").distinct()
+    found = a.join(b, "value").where("drop_id <> keep_id").select("drop_id", "keep_id", "value").distinct()
+    if names is None:
+        return found
+    called = lambda of, name: names.groupBy(F.col("person_id").alias(of)).agg(F.min("name").alias(name))
+    both = found.join(called("drop_id", "dropped"), "drop_id", "left").join(called("keep_id", "kept"), "keep_id", "left")
+    refused = F.when(is_role(local_part(F.col("value"))), "role mailbox").otherwise(contradiction(F.col("dropped"), F.col("kept")))
+    return both.select("drop_id", "keep_id", "value", refused.alias("refused"))
 
 
 def merge_candidates(identities: DataFrame, names: DataFrame) -> DataFrame:
@@ -60,7 +68,7 @@ def merge_candidates(identities: DataFrame, names: DataFrame) -> DataFrame:
     """
     local = F.substring_index("value", "@", 1)
     mails = identities.where("kind = 'email'").select("person_id", local.alias("key"), F.lit("same local part").alias("reason"))
-    keyed = mails.where(~F.col("key").isin(*ROLES)).unionByName(names.where("name IS NOT NULL").select("person_id", F.lower("name").alias("key"), F.lit("same name").alias("reason"))).distinct()
+    keyed = mails.where(~is_role(F.col("key"))).unionByName(names.where("name IS NOT NULL").select("person_id", F.lower("name").alias("key"), F.lit("same name").alias("reason"))).distinct()
     first = keyed.groupBy("reason", "key").agg(F.min("person_id").alias("a"), F.count("*").alias("n")).where("n > 1").drop("n")
     pairs = keyed.join(first, ["reason", "key"]).where("person_id > a")
     return pairs.groupBy("a", F.col("person_id").alias("b")).agg(F.array_join(F.sort_array(F.collect_set("reason")), "; ").alias("reasons"))

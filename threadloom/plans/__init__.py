@@ -1 +1 @@
-from . import queries, recovered  # noqa: F401  both register their queries
+from . import corpus, queries, recovered  # noqa: F401  all register their queries
