@@ -2,9 +2,11 @@
 
 Vectors are turned to integers.  Candidates are dealt by descending norm into blocks of
 bounded size; queries into blocks as well.  The first block, of the longest vectors,
-gives each query a k-th best score.  Every other pair of a query block and a candidate
-block is worked through by a task of its own: a block is skipped if even (length of the
-query) * (longest vector of the block) is under the query's k-th score; inside a block,
+gives each query a k-th best score.  Of the other pairs of a query block and a candidate
+block, those are left out, before vectors are sent anywhere, whose (longest query) *
+(longest candidate) is under the k-th score of each query of the block; each other pair
+is worked through by a task of its own, where a query is skipped if its own length
+allows no better score; inside a block,
 vectors are rotated by the right singular vectors of a sample, so that the first few
 components hold most of the length, and (partial product) + (length of the query's
 rest) * (length of the candidate's rest) bounds the score (Cauchy-Schwarz).  Only the
@@ -28,7 +30,7 @@ from .common import written
 SAMPLE = 2048
 SCALE = 1024.0
 CANDIDATES, QUERIES = 4096, 1024
-BLOCK = "block long, ids binary, vectors binary"
+BLOCK = "block long, longest double, ids binary, vectors binary"
 FOUND = "q long, query_id long, vec_id long, score long"
 LOWS = "array<struct<query_id:bigint,low:bigint>>"
 
@@ -69,8 +71,8 @@ def _blocks(rows: DataFrame, size: int, width: int) -> tuple[int, DataFrame]:
         part, out = TaskContext.get().partitionId(), []
         for a in range(0, len(order), size):
             o = order[a : a + size]
-            out.append((part, ids[o].astype("<i8").tobytes(), vectors[o].astype("<i8").tobytes()))
-        yield pa.RecordBatch.from_arrays([pa.array(x, y) for x, y in zip(zip(*out), (pa.int64(), pa.binary(), pa.binary()))], ["block", "ids", "vectors"])
+            out.append((part, float(norms[o[0]]), ids[o].astype("<i8").tobytes(), vectors[o].astype("<i8").tobytes()))
+        yield pa.RecordBatch.from_arrays([pa.array(x, y) for x, y in zip(zip(*out), (pa.int64(), pa.float64(), pa.binary(), pa.binary()))], ["block", "longest", "ids", "vectors"])
 
     return parts, written(rows.repartitionByRange(parts, F.col("norm").desc(), F.col("vec_id")).mapInArrow(run, BLOCK))
 
@@ -175,9 +177,15 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 10, vec_id: str = "vec_i
     if parts > 1:
         kth = seeds.groupBy("q", "query_id").agg(F.when(F.count("*") >= k, F.min("score")).alias("low")).where("low is not null")
         lows = kth.groupBy("q").agg(F.collect_list(F.struct("query_id", "low")).alias("lows"))
-        others = F.explode(F.sequence(F.lit(1), F.lit(parts - 1)).cast("array<bigint>"))
-        left = asked.drop("lows").join(lows, "q", "left").withColumn("block", others)
-        every = seeds.unionByName(pairs(left, candidates.where("block > 0").withColumn("q", each_q)))
+        # pairs of blocks are told apart by lengths alone, before any vector is sent
+        have = kth.groupBy("q").agg(F.count("*").alias("have"), F.min("low").alias("least"))
+        own = asked.groupBy("q").agg(F.max("longest").alias("norm"), F.sum(F.length("ids") / 8).alias("n")).join(have, "q", "left")
+        others = own.withColumn("block", F.explode(F.sequence(F.lit(1), F.lit(parts - 1)).cast("array<bigint>")))
+        sizes = candidates.groupBy("block").agg(F.max("longest").alias("longest"))
+        open_ = F.col("least").isNull() | (F.col("have") < F.col("n")) | (F.col("norm") * F.col("longest") * (1 + 1e-9) + 1 >= F.col("least"))
+        left_over = written(others.join(sizes, "block").where(open_).select("q", "block"))
+        left = asked.drop("lows", "longest").join(lows, "q", "left").join(left_over, "q")
+        every = seeds.unionByName(pairs(left, candidates.join(left_over, "block")))
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return every.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
