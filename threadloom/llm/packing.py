@@ -5,6 +5,8 @@ windows filled to level h.  A document goes to the level that makes the sum of
 squared counts smallest (ties: the fullest level), or opens a window where that is
 smaller.  Documents longer than a window first fill whole windows of their own.
 
+While few windows are open, many levels are empty and the rule opens new ones, so of a
+short stream most windows that hold several documents are closed at its end.
 At the end of its stream a partition tops its fullest open windows up with pieces cut
 from its emptiest ones, so at most one of its windows stays part filled.  State is the
 level array plus the open windows; no rows move between partitions, a retried task
