@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
+from ..tables import written  # noqa: F401
+
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     """A table of the data folder, with the named columns only (all if none are named)."""
@@ -14,35 +13,9 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     return df.select(*columns) if columns else df
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share.
-
-    The cluster names it in `spark.checkpoint.dir`.  Only where that is unset, as in
-    tests on one machine, a temporary folder takes its place.
-    """
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        where = getattr(shared_dir, "local", None) or "file://" + tempfile.mkdtemp(prefix="threadloom-")
-        shared_dir.local = where
-    return where.rstrip("/")
-
-
 def fresh(df: DataFrame, name: str) -> str:
     """A column name that no column of `df` has, in either case."""
     taken = {c.lower() for c in df.columns}
     while name.lower() in taken:
         name += "_"
     return name
-
-
-def written(df: DataFrame) -> DataFrame:
-    """Cut the lineage: write the rows as Parquet to the shared folder and read them back.
-
-    What is read back has a known size, so that Spark's own broadcast threshold
-    applies to a measured figure and not to an estimate.  The files outlive any
-    executor.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/threadloom/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)

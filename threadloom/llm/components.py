@@ -1,36 +1,12 @@
-"""Connected components of a table of links, without gathering any component in one place."""
+"""Connected components of a table of links between documents."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from .common import written
+from ..operators.groups import groups
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """(node, component) of every node that has a link to another; the component is its smallest node.
-
-    Each round, every node points to the smallest of its neighbours and itself, pointers
-    are followed twice, and links are drawn between what they point to.  Links of a
-    round are counted by partial sums and joined by node, so a node with very many links
-    is split by adaptive execution; the number of rounds grows with the logarithm of the
-    longest chain.  Null ends are no links; no links give no rows.
-    """
-    pairs = links.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a <> b")
-    both = written(pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = written(both.select(F.col("a").alias("node")).distinct().withColumn("component", F.col("node")))
-    while not both.isEmpty():
-        least = both.groupBy("a").agg(F.min("b").alias("b")).select("a", F.least("a", "b").alias("to"))
-        least = written(least)
-        far = written(least.alias("x").join(least.alias("y"), F.col("x.to") == F.col("y.a"), "left").select("x.a", F.coalesce("y.to", "x.to").alias("to")))
-        labels = written(labels.join(far, labels["component"] == far["a"], "left").select("node", F.coalesce("to", "component").alias("component")))
-        both = written(
-            both.alias("e")
-            .join(far.alias("x"), F.col("e.a") == F.col("x.a"))
-            .join(far.alias("y"), F.col("e.b") == F.col("y.a"))
-            .select(F.col("x.to").alias("a"), F.col("y.to").alias("b"))
-            .where("a <> b")
-            .distinct()
-        )
-    return labels
+    """(node, component) of every node that has a link to another; the component is its smallest node."""
+    return groups(links, a, b, group="component")
