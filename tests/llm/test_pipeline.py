@@ -48,3 +48,32 @@ def test_one_of_many_copies_keeps_its_text(spark):
     assert got[0] == got[39] == (copy, len(copy)) and got[100][0] == "own words 0 of page 0 go here 0" and got[200][0] == "\n \n"
     left = [r["text"] for r in corpus_pipeline.drop_near_copies(spark, lines, "").collect()]
     assert left.count(copy) == 1 and len(left) == 62
+
+
+def test_odd_rows_go_through_every_stage(spark, tmp_path):
+    nasty = ["you are a vile worthless idiot", "what a disgusting stupid moron", "shut up you pathetic idiot scum"]
+    kind = ["the garden was lovely in spring", "they met at the old market", "we share a table by the sea"]
+    own = lambda i: " ".join(f"w{(i * k) % 97}" for k in range(1, 12))
+    rows = [(i, f"{(nasty if i % 2 else kind)[i % 3]} {own(i)}", "s", "n", 1) for i in range(240)]
+    odd = [(500, None, "s", "n", 1), (501, "", None, "n", 1), (None, "no id " + own(3) + " and more", "s", "n", 1), (502, "long " + "word and other " * 60_000, "s", None, 1), (503, "same words here as there", "s", "n", 1), (503, "same words here as there", "s", "n", 1), (504, "token: abcdefgh1 is the key", "s", "n", 1)]
+    docs = spark.createDataFrame(rows + odd, "doc_id long, text string, source string, Score string, gone int").repartition(3)
+    spark.createDataFrame([(i, i % 2) for i in range(240)] + [(None, 1), (500, None)], "doc_id long, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    from threadloom.llm.common import written
+
+    before = docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        after = written(stage(spark, before, str(tmp_path)))
+        assert after.columns == docs.columns, name
+        before = after
+    left = before.collect()
+    ids = [r["doc_id"] for r in left]
+    text = {r["doc_id"]: r["text"] for r in left}
+    assert sum(i is not None and i < 240 and i % 2 for i in ids) == 0 and sum(i is not None and i < 240 for i in ids) >= 100
+    assert ids.count(503) == 2 and text[500] is None and text[501] == "" and text[None].startswith("no id") and len(text[502]) > 800_000
+    assert text[504] == "[SECRET] is the key"
+    packed = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert {r["doc_id"] for r in packed} == set(ids)
+    empty = docs.limit(0)
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty, str(tmp_path)).count() == 0, name
