@@ -11,8 +11,9 @@ least NUM / DEN.  The join works in four steps, none of which emits the pairs of
    with equal sets become one class.  A class whose tokens are to over a quarter its own
    can link with nothing and is done.
 2. Leaders.  Classes with the same min-hash are compared with the most central one of
-   them; the links found make components, which become the groups.  Groups that meet on
-   a token of the matrix then compare their own most central classes and join likewise.
+   them; the links found make components, which become the groups.  In rounds, classes
+   are then compared with one class of another group on each of their probe tokens, and
+   groups joined, until a round finds no link.
 3. Token-group matrix.  Groups are split into blocks of about BLOCK classes; each keeps
    the union of its tokens.  The matrix holds which blocks have which tokens in the
    members' index prefixes (rarest tokens first).  A class looks up its probe prefix, in
@@ -26,6 +27,7 @@ Any grouping gives the same components; a poor one only opens more blocks.
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,14 +36,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import fresh, written
 from .components import components
 
 WORDS = 5
 NUM, DEN = 3, 4
 HOT = 64
 BLOCK = 16
-CHUNK_TOKENS, CHUNK_DOCS = 2_000_000, 60_000
+CHUNK_TOKENS, CHUNK_DOCS = 600_000, 60_000
 BUCKET_TOKENS = 1_000_000
 BITS = 48
 _U = np.uint64
@@ -109,26 +111,29 @@ _FOUND = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64(
 
 
 def _postings(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
-    """Rows of postings for each token range, and a row that lists the chunk's documents."""
+    """Rows of postings for each token range, and a row that lists the chunk's documents; `buckets` is a power of two."""
+    shift = BITS - (buckets - 1).bit_length()
     context = TaskContext.get()
     chunk = (context.partitionId() if context else 0) << 20
     ids, sizes, digests, packed, seen, held = [], [], [], [], set(), 0
 
     def flush() -> pa.RecordBatch:
         nonlocal chunk, held
-        x = np.sort(np.concatenate([np.empty(0, _U), *packed]))
+        x = np.concatenate([np.empty(0, _U), *packed])
+        packed.clear()
+        x.sort()
         token = x >> _U(64 - BITS)
         first = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1]))) if len(x) else np.empty(0, np.int64)
         count = np.diff(np.append(first, len(x)))
         hot = np.repeat(count >= HOT, count)
         cold, cold_token = x[~hot], token[~hot]
         hot_token, hot_count = token[first][count >= HOT], count[count >= HOT].astype(np.uint32)
-        at = np.array([(b << BITS) // buckets for b in range(buckets + 1)], _U)
-        cut, hot_cut = np.searchsorted(cold_token, at), np.searchsorted(hot_token, at)
+        some = np.unique(np.concatenate([cold_token, hot_token]) >> _U(shift))
+        low, high = some << _U(shift), (some + _U(1)) << _U(shift)
+        cuts = [np.searchsorted(t, at).tolist() for t in (cold_token, hot_token) for at in (low, high)]
         rows = [
             (b, chunk, False, _squeeze(cold_token[i:j]), (cold[i:j] & _U(0xFFFF)).astype("<u2").tobytes(), hot_token[k:m].tobytes(), hot_count[k:m].tobytes())
-            for b, (i, j, k, m) in enumerate(zip(cut[:-1], cut[1:], hot_cut[:-1], hot_cut[1:]))
-            if j > i or m > k
+            for b, i, j, k, m in zip(some.tolist(), *cuts)
         ]
         listed = pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary())], ["doc_id", "n", "digest"])
         sink = pa.BufferOutputStream()
@@ -214,10 +219,10 @@ def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = [x.split()[0] for x in CLASS.split(", ")]
     for batch in batches:
         rows = []
-        for r in batch.to_pylist():
-            token, count, n = np.frombuffer(r["tokens"], _U), np.frombuffer(r["counts"], np.uint8), r["n"]
-            if r["copies"] < HOT:
-                token, count = token[count > r["copies"]], count[count > r["copies"]]
+        for node, n, copies, tokens, counts in zip(*(batch.column(c) for c in ("node", "n", "copies", "tokens", "counts"))):
+            token, count, n, copies = np.frombuffer(tokens.as_buffer(), _U), np.frombuffer(counts.as_buffer(), np.uint8), n.as_py(), copies.as_py()
+            if copies < HOT:
+                token, count = token[count > copies], count[count > copies]
             own = n - len(token)
             if own >= _own(n) or not len(token):
                 continue
@@ -226,7 +231,7 @@ def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             # the smaller of two linked documents shares 2 NUM / (NUM + DEN) of its tokens at least
             least = -(-2 * NUM * n // (NUM + DEN))
             keys = [int(_mix(token ^ s).min().astype(np.int64)) for s in _SEEDS]
-            rows.append((r["node"], n, own, float(count.sum()) / n, keys, at[: _own(n) - own].tolist(), at[: max(0, n - least + 1 - own)].tolist(), token.tobytes()))
+            rows.append((node.as_py(), n, own, float(count.sum()) / n, keys, at[: _own(n) - own].tolist(), at[: max(0, n - least + 1 - own)].tolist(), token.tobytes()))
         yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), types)] if rows else [pa.array([], t) for t in types], names)
 
 
@@ -236,7 +241,8 @@ def _overlap(a: np.ndarray, b: np.ndarray) -> int:
 
 def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows = [(r["a"], r["b"]) for r in batch.to_pylist() if links(_overlap(np.frombuffer(r["ta"], _U), np.frombuffer(r["tb"], _U)), r["na"], r["nb"])]
+        sides = zip(*(batch.column(c) for c in ("a", "b", "na", "nb", "ta", "tb")))
+        rows = [(a.as_py(), b.as_py()) for a, b, na, nb, ta, tb in sides if links(_overlap(np.frombuffer(ta.as_buffer(), _U), np.frombuffer(tb.as_buffer(), _U)), na.as_py(), nb.as_py())]
         yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in rows], pa.int64()), pa.array([x for _, x in rows], pa.int64())], ["a", "b"])
 
 
@@ -264,10 +270,6 @@ def _union(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(unions, pa.binary())], ["block", "least", "members", "union"])
 
 
-def _with_component(classes: DataFrame, found: DataFrame) -> DataFrame:
-    return classes.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-
-
 def _compared(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     """Those of the pairs (a, b) of classes that link."""
     x, y = (classes.select(F.col("node").alias(s), F.col("n").alias(f"n{s}"), F.col("tokens").alias(f"t{s}")) for s in "ab")
@@ -307,13 +309,35 @@ def _meeting(grouped: DataFrame, matrix: DataFrame) -> DataFrame:
     )
 
 
-def _by_group_leaders(grouped: DataFrame) -> DataFrame:
-    """Links between the most central classes of groups that meet."""
-    meet = _meeting(grouped, _matrix(grouped.withColumn("block", F.col("component"))))
-    tops = grouped.groupBy("component").agg(F.max(F.struct("central", "node")).alias("top")).select("component", F.col("top.node").alias("node"))
-    x, y = tops.select(F.col("component").alias("own"), F.col("node").alias("a")), tops.select(F.col("component").alias("other"), F.col("node").alias("b"))
-    pairs = meet.select(F.least("own", "other").alias("own"), F.greatest("own", "other").alias("other")).distinct()
-    return _compared(pairs.join(x, "own").join(y, "other").select("a", "b"), grouped)
+def _by_stars(classes: DataFrame, led: DataFrame) -> DataFrame:
+    """(node, component) of the classes, after groups that meet on a token have been joined by stars.
+
+    On each token of a probe prefix, one class that holds it is the leader, and every
+    class of another group that holds it is compared with the leader: one row a posting,
+    never a pair of groups.  The leader is the most central class in the first round and
+    one by hash, another for each token and round, later on.  What links becomes one
+    group, tokens that only one group holds are put aside, and rounds follow until none
+    finds a link.  A pair is compared once.  Links that no star sees are left to the matrix.
+    """
+    labels = written(classes.select("node").join(components(led), "node", "left").select("node", F.coalesce("component", "node").alias("component")))
+    # exploded twice rather than written: most tokens are of one group and go with the leaders
+    held = _prefix(classes.drop("keys", "index", "tokens").join(labels, "node"), "probe", "node", "central")
+    tried = None
+    for turn in itertools.count():
+        lead = F.xxhash64("token", "node", F.lit(turn)) if turn else F.col("central")
+        top = F.max(F.struct(lead.alias("lead"), "node", "n", "component")).alias("top")
+        leaders = held.groupBy("token").agg(top, F.min("component").alias("least"), F.max("component").alias("most")).where("least < most")
+        leaders = written(leaders.select("token", F.col("top.node").alias("b"), F.col("top.n").alias("nb"), F.col("top.component").alias("of")))
+        held = written(held.join(leaders, "token"))
+        stars = held.where(f"component <> of AND nb <= most AND least(n, nb) * {DEN} >= greatest(n, nb) * {NUM}").groupBy(F.col("node").alias("a"), "b").agg(F.first("component").alias("ca"), F.first("of").alias("cb"))
+        stars = written(stars.join(tried, ["a", "b"], "left_anti") if tried else stars)
+        found = written(stars.join(_compared(stars.select("a", "b"), classes), ["a", "b"]).select("ca", "cb"))
+        if turn and found.isEmpty():
+            return labels
+        tried = stars.select("a", "b") if tried is None else tried.unionByName(stars.select("a", "b"))
+        moved = written(components(found, "ca", "cb").select(F.col("node").alias("component"), F.col("component").alias("to")))
+        labels = written(labels.join(moved, "component", "left").select("node", F.coalesce("to", "component").alias("component")))
+        held = written(held.drop("b", "nb", "of").join(moved, "component", "left").withColumn("component", F.coalesce("to", "component")).drop("to"))
 
 
 def _by_matrix(grouped: DataFrame) -> DataFrame:
@@ -345,21 +369,21 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
     no component.  Other columns are ignored; an empty table gives no rows.
     """
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    chars = rows.agg(F.sum(F.length("text"))).first()[0] or 0
-    buckets = max(64, chars // 6 // BUCKET_TOKENS)
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = 1 << max(6, (size // 6 // BUCKET_TOKENS).bit_length())
     postings = rows.mapInArrow(lambda x: _postings(x, buckets), ROW)
     shared = postings.groupBy("bucket").applyInArrow(_shared, ROW)
     found = written(shared.groupBy("chunk").applyInArrow(_documents, FOUND))
     sets = found.where("tokens IS NOT NULL").groupBy("digest").agg(F.min("row").alias("node"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("tokens").alias("tokens"), F.first("counts").alias("counts"))
     classes = written(sets.select("node", "n", "copies", "tokens", "counts").mapInArrow(_classes, CLASS))
-    led = written(_by_leaders(classes))
-    led = written(led.unionByName(_by_group_leaders(_with_component(classes, components(led)))))
-    more = _by_matrix(_with_component(classes, components(led)))
-    of = components(led.unionByName(more))
+    grouped = _by_stars(classes, written(_by_leaders(classes)))
+    more = written(_by_matrix(classes.join(grouped, "node")).join(grouped.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a").join(grouped.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b"))
+    moved = components(more, "ca", "cb").select(F.col("node").alias("component"), F.col("component").alias("to"))
+    of = written(grouped.join(moved, "component", "left").select("node", F.coalesce("to", "component").alias("component")))
     ids = found.groupBy("digest").agg(F.min("row").alias("least"), F.min(F.when(F.col("tokens").isNotNull(), F.col("row"))).alias("node"), F.min("doc_id").alias("doc_id"))
     ids = written(ids.join(of, "node", "left").select("digest", "doc_id", F.coalesce("component", "least").alias("component")))
-    smallest = ids.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    ids = ids.join(smallest, "component").select("digest", "component_id")
+    smallest = written(ids.groupBy("component").agg(F.min("doc_id").alias("component_id")))
+    ids = written(ids.join(smallest, "component").select("digest", "component_id"))
     out = found.select("doc_id", "n", "digest").join(ids, "digest")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
@@ -369,5 +393,6 @@ def first_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
 
     Rows that share a doc_id stay together; rows without one stay.
     """
-    others = written(join(docs, doc_id, text).where("component_id < doc_id").select(F.col("doc_id").alias("__gone")).distinct())
-    return docs.join(others, F.col(doc_id) == F.col("__gone"), "left_anti")
+    gone = fresh(docs, "gone")
+    others = written(join(docs, doc_id, text).where("component_id < doc_id").select(F.col("doc_id").alias(gone)).distinct())
+    return docs.join(others, docs[doc_id] == others[gone], "left_anti")
