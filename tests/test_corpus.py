@@ -6,8 +6,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from threadloom.functions import address
-from threadloom.operators import embed, retrieve
+from threadloom.functions import address, clock, text
+from threadloom.operators import chrono, embed, evaluate, identity, retrieve
 from threadloom.sources import corpus
 
 
@@ -147,3 +147,46 @@ def test_labels_and_reasons(spark):
     assert {tuple(r) for r in got.collect()} == {("C1", "#general"), ("@U1", "Ann"), ("@U9", "@U9"), ("mail", "mail")}
     row = spark.range(1).select(retrieve.why(F.lit(2), F.lit(None).cast("int"), F.lit(4), F.lit(0.711)).alias("w"), retrieve.subject_of(F.lit(" "), F.lit(None).cast("string"), F.lit("#g")).alias("s")).first()
     assert tuple(row) == ("[prose 2, similar 4 @ 0.71]", "#g")
+
+
+def test_blocks_by_date(spark):
+    at = lambda *a: dt.datetime(2024, 3, *a)
+    rows = [(1, 0, at(10, 9), 0), (1, 1, at(11, 9), 0), (1, 2, None, None), (1, 3, at(9, 12), None), (2, 0, at(5, 12), None), (2, 1, at(6, 13), None), (2, 2, at(6, 15), None), (3, 0, at(5, 0), 60), (3, 1, at(5, 20), 60)]
+    df = spark.createDataFrame(rows, "entry_id long, block int, sent timestamp, offset int")
+    got = {(r["entry_id"], r["block"]): (r["nested"], r["dated"]) for r in chrono.order(df).collect()}
+    assert [got[1, i] for i in range(4)] == [(1, 2), (2, 1), (None, None), (3, 3)]
+    assert {tuple(r) for r in chrono.moved(chrono.order(df)).collect()} == {(1, 3, 2), (2, 3, 3 - 1), (3, 2, 2)}
+    # 2: 25 hours can be zones, 27 cannot; 3: midnight takes the day
+    assert {tuple(r) for r in chrono.impossible(df).collect()} == {(1, 1, 0, 24 * 3600), (2, 2, 0, 3600)}
+    minutes = each(spark, ["AEST", "edt", "+05:30", "-0800", "z", "XYZ", "+1500"], clock.offset_minutes)
+    assert minutes == [600, -240, 330, -480, 0, None, None]
+
+
+def test_people_who_share_everything(spark):
+    part = spark.createDataFrame([(1, 1), (2, 1), (1, 2), (2, 2), (1, 3), (3, 3), (4, 4), (4, 5)], "entry_id long, person_id long")
+    entries = spark.createDataFrame([(1, "a"), (2, "b"), (3, "b"), (4, None)], "entry_id long, container string")
+    asked = spark.createDataFrame([(1, 2), (1, 3), (4, 5), (9, 1)], "person_id long, other long")
+    of = lambda by: {tuple(r) for r in identity.shares_every(asked, part, entries, by).collect()}
+    assert of("entry_id") == {(1, 2), (4, 5)} and of("container") == {(1, 2), (1, 3)}
+    assert {tuple(r) for r in identity.weights(part).collect()} == {(1, 2), (2, 2), (3, 2), (4, 1), (5, 1)}
+    ids = spark.createDataFrame([("email", "a@old.x", 1), ("email", "a@new.x", 1), ("email", "b@y", 2), ("email", "b@z", 2), ("uid", "U", 3)], "kind string, value string, person_id long")
+    assert {tuple(r) for r in identity.sole_domains(ids, spark.createDataFrame([("old.x", "new.x")], "old string, to string")).collect()} == {(1, "new.x")}
+
+
+def test_evaluation_reports(spark):
+    cases = spark.createDataFrame([("a", 1.0, 0.5, 1.0, False), ("b", 0.0, 0.0, 0.0, False), ("c", None, None, None, True), ("d", None, None, None, True)], "query string, recall double, ndcg double, rr double, expect_empty boolean")
+    results = spark.createDataFrame([("a", 0.9), ("c", 0.4), ("c", 0.6)], "query string, similarity double")
+    assert tuple(evaluate.report(cases, results).first()) == (2, 0.5, 0.25, 0.5, 2, 1, 2, 0.6)
+    sims = spark.createDataFrame([(True, 0.9), (True, 0.5), (False, 0.6), (False, 0.3)], "hit boolean, similarity double")
+    assert {tuple(r) for r in evaluate.floor_sweep(sims, [0.4, 0.6, 0.95]).collect()} == {(0.4, 0, 1), (0.6, 1, 1), (0.95, 2, 0)}
+    (r,) = evaluate.compared(cases.where("query = 'b'"), cases.where("query = 'a'").withColumn("query", F.lit("b")), ["recall"]).collect()
+    assert tuple(r) == ("b", 0.0, 1.0, 1.0)
+
+
+def test_meetings_and_sources(spark):
+    rows = [(None, None, "Accepted: lunch", ""), (None, None, "We accepted it", "<p>Notes: x</p>"), (False, "note", "", ""), (None, "note", None, None), (None, None, "plan", "Bob shared a recap for Monday")]
+    got = [r["m"] for r in spark.createDataFrame(rows, "f boolean, k string, s string, b string").select(text.is_meeting(*map(F.col, "fksb")).alias("m")).collect()]
+    assert got == [True, True, False, True, True]
+    assert each(spark, ["mail:<a>", "slack:c:1", "mail: a", "quote:x", ""], text.is_ext_id) == [True, True, False, False, False]
+    got = each(spark, ["unspooled from msg 12, mail:<a>", "slack:c:1", "from a friend"], text.provenance)
+    assert [tuple(g) for g in got] == [("ids", ["12", "mail:<a>"]), ("ids", ["slack:c:1"]), ("prose", None)]

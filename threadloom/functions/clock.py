@@ -7,6 +7,11 @@ from pyspark.sql import functions as F
 
 #: The least and largest offset of a zone, in minutes.
 LEAST, MOST = -720, 840
+#: Minutes of the labels of zones that are read.
+LABELS = {
+    "AEST": 600, "AEDT": 660, "NZST": 720, "NZDT": 780, "AWST": 480, "ACST": 570, "ACDT": 630, "GMT": 0, "UTC": 0, "Z": 0, "BST": 60,
+    "CET": 60, "CEST": 120, "IST": 330, "PST": -480, "PDT": -420, "EST": -300, "EDT": -240,
+}
 
 
 def zone_offset(instant: Column, zone: Column) -> Column:
@@ -25,9 +30,10 @@ def format_offset(minutes: Column) -> Column:
 
 
 def offset_minutes(label: Column) -> Column:
-    """Minutes of +hh:mm, +hhmm, Z, UTC and GMT; null for others and beyond the bounds."""
+    """Minutes of +hh:mm, +hhmm, Z and the known labels; null for others and beyond the bounds."""
     sign = F.when(label.startswith("-"), -1).otherwise(1)
     of = lambda g: F.regexp_extract(label, r"^[+-](\d{2}):?(\d{2})$", g)
     numeric = F.when(of(1) != "", sign * (of(1).cast("int") * 60 + of(2).cast("int")))
-    out = F.when(F.upper(label).isin("Z", "UTC", "GMT"), 0).otherwise(numeric)
+    known = F.create_map(*[F.lit(x) for p in LABELS.items() for x in p])
+    out = F.coalesce(F.try_element_at(known, F.upper(F.trim(label))), numeric)
     return F.when(out.between(LEAST, MOST), out)

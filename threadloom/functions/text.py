@@ -62,3 +62,26 @@ def excerpt(text: Column, n: int) -> Column:
     """The first n characters, collapsed, with an ellipsis where something is left out."""
     short = collapse(F.substring(text, 1, n))
     return F.when(F.length(text) > n, F.concat(short, F.lit("…"))).otherwise(short)
+
+
+#: Words that lead the messages around a meeting.
+_MEETING = r"(?i)^\s*(?:invitation|invite|updated invitation|canceled event|cancelled event|accepted|declined|tentative|notes|recap|note taker)\b[:\s]|^\s*\S.*\bshared (?:a|the) recap for\b"
+
+
+def is_meeting(flag: Column, kind: Column, subject: Column, body: Column) -> Column:
+    """Whether an entry is about a meeting only: as its flag says, else a note, or what its subject or its body without markup begins with."""
+    plain = F.trim(F.regexp_replace(F.regexp_replace(F.coalesce(body, F.lit("")), "<[^>]+>", " "), "(?i)&[a-z]+;", " "))
+    return F.coalesce(flag, (F.coalesce(kind, F.lit("")) == "note") | F.coalesce(subject, F.lit("")).rlike(_MEETING) | plain.rlike(_MEETING))
+
+
+def is_ext_id(value: Column) -> Column:
+    """Whether a value names an entry: mail: or slack: and no blanks."""
+    return value.rlike(r"^(?:mail|slack):[^ \t]*$")
+
+
+def provenance(source: Column) -> Column:
+    """struct<kind, ids>: the ids that a source lists, or prose."""
+    text = F.trim(source)
+    parts = F.split(F.regexp_replace(text, r"^unspooled from ", ""), ", ")
+    ids = F.forall(parts, lambda p: p.rlike(r"^(?:msg \S+|(?:mail|slack|quote):\S+)$"))
+    return F.struct(F.when(ids, "ids").otherwise("prose").alias("kind"), F.when(ids, F.transform(parts, lambda p: F.regexp_replace(p, "^msg ", ""))).alias("ids"))

@@ -56,3 +56,32 @@ def fit_zones(observed: DataFrame, zones: list[str]) -> DataFrame:
     people = observed.where("offset IS NOT NULL").select("person").distinct()
     verdict = F.when(F.col("zones").isNull(), "utc").when(F.size("zones") == 0, "moved").otherwise("placed")
     return people.join(good, "person", "left").select("person", verdict.alias("verdict"), F.coalesce("zones", F.array().cast("array<string>")).alias("zones"))
+
+
+def report(cases: DataFrame, results: DataFrame) -> DataFrame:
+    """One row of means over the judged cases, and of what the cases without an answer let through.
+
+    `cases` has query, recall, ndcg, rr and expect_empty; `results` query and similarity
+    of every result.  A case without an answer is clean if nothing was returned.
+    """
+    counts = results.groupBy("query").agg(F.count("*").alias("n"), F.max("similarity").alias("top"))
+    rows = cases.join(counts, "query", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    mean = lambda c: F.avg(F.when(~F.col("expect_empty"), F.col(c))).alias(c)
+    return rows.agg(
+        F.count_if(~F.col("expect_empty")).alias("judged"), mean("recall"), mean("ndcg"), mean("rr"), F.count_if("expect_empty").alias("negative"),
+        F.count_if(F.col("expect_empty") & (F.col("n") == 0)).alias("clean"), F.coalesce(F.sum(F.when(F.col("expect_empty"), F.col("n"))), F.lit(0)).alias("leaked"), F.max(F.when(F.col("expect_empty"), F.col("top"))).alias("top_noise"),
+    )
+
+
+def floor_sweep(similarities: DataFrame, floors: list[float]) -> DataFrame:
+    """(floor, lost, left): how many true results (`hit`) lie below each floor, and how many of the others do not."""
+    wanted = F.explode(F.array(*[F.lit(float(f)) for f in floors])).alias("floor")
+    below = F.col("similarity") < F.col("floor")
+    return similarities.select("hit", "similarity", wanted).groupBy("floor").agg(F.count_if(F.col("hit") & below).alias("lost"), F.count_if(~F.col("hit") & ~below).alias("left"))
+
+
+def compared(before: DataFrame, after: DataFrame, columns: list[str]) -> DataFrame:
+    """Rows of two reports by query, with the change of each column."""
+    old = before.select("query", *[F.col(c).alias(f"{c}_before") for c in columns])
+    both = old.join(after.select("query", *columns), "query", "full")
+    return both.select("query", *[x for c in columns for x in (F.col(f"{c}_before"), F.col(c), (F.col(c) - F.col(f"{c}_before")).alias(f"{c}_change"))])

@@ -105,3 +105,29 @@ def repoint(rows: DataFrame, column: str, mapping: DataFrame, once: bool = False
     name: Column = F.coalesce("keep_id", column).alias(column)
     out = rows.join(mapping, F.col(column) == F.col("drop_id"), "left").select(*[name if c == column else F.col(c) for c in rows.columns])
     return out.distinct() if once else out
+
+
+def shares_every(asked: DataFrame, participants: DataFrame, entries: DataFrame, by: str = "entry_id") -> DataFrame:
+    """Pairs of `asked` (person_id, other) whose other takes part in every entry of the person, or for `by` container in the thread of each.
+
+    Participants are (entry_id, person_id), entries (entry_id, container).  A person on no
+    entry has no such pair, and neither has one of an entry without a container.
+    """
+    part = participants.select("entry_id", "person_id").distinct()
+    where = part.join(entries.select("entry_id", "container"), "entry_id") if by == "container" else part
+    own = asked.distinct().join(where.select("person_id", by).distinct(), "person_id")
+    there = where.select(F.col("person_id").alias("other"), by, F.lit(True).alias("met")).where(F.col(by).isNotNull()).distinct()
+    met = own.join(there, ["other", by], "left").groupBy("person_id", "other").agg(F.bool_and(F.coalesce("met", F.lit(False))).alias("all"))
+    return met.where("all").select("person_id", "other")
+
+
+def weights(participants: DataFrame) -> DataFrame:
+    """(person_id, weight): how many entries each person takes part in."""
+    return participants.select("entry_id", "person_id").distinct().groupBy("person_id").agg(F.count("*").alias("weight"))
+
+
+def sole_domains(identities: DataFrame, aliases: DataFrame) -> DataFrame:
+    """(person_id, domain) of people with one mail domain only, once the aliases (old, to) are followed one step."""
+    mails = identities.where("kind = 'email'").select("person_id", mail_domain(F.col("value")).alias("domain")).where("domain <> ''")
+    named = mails.join(aliases.select(F.col("old").alias("domain"), "to"), "domain", "left").select("person_id", F.coalesce("to", "domain").alias("domain"))
+    return named.groupBy("person_id").agg(F.min("domain").alias("domain"), F.max("domain").alias("last")).where("domain = last").select("person_id", "domain")

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import clock, text, vector
-from ..operators import chains, evaluate, relate, search, similar
+from ..operators import chains, chrono, evaluate, relate, search, similar
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -309,20 +309,28 @@ def anchors(spark, sf_dir):
 _LINE = ("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
 
 
-@query("""WITH r AS (SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS nested, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_shipdate DESC, l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS dated FROM lineitem)
-SELECT l_orderkey, count(*) AS blocks, count(*) FILTER (WHERE nested <> dated) AS moved FROM r GROUP BY 1""")
+_LINES = """b AS (SELECT l_orderkey AS entry_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS block,
+  l_shipdate AS sent, CASE WHEN l_returnflag = 'R' THEN 600 WHEN l_returnflag = 'A' THEN -300 END AS off FROM lineitem)"""
+
+
+def _stamped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines as the quoted blocks of a body: place, stated clock, and an offset on some."""
+    block = F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*_LINE))
+    off = F.when(F.col("l_returnflag") == "R", 600).when(F.col("l_returnflag") == "A", -300)
+    return _read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("entry_id"), block.alias("block"), F.col("l_shipdate").cast("timestamp_ntz").alias("sent"), off.alias("offset"))
+
+
+@query(f"""WITH {_LINES}, r AS (SELECT entry_id, row_number() OVER (PARTITION BY entry_id ORDER BY block) AS nested, row_number() OVER (PARTITION BY entry_id ORDER BY sent - to_minutes(coalesce(off, 60)) DESC, block) AS dated FROM b)
+SELECT entry_id, count(*) AS blocks, count(*) FILTER (WHERE nested <> dated) AS moved FROM r GROUP BY 1""")
 def moved_blocks(spark, sf_dir):
-    w = Window.partitionBy("l_orderkey")
-    rows = _read(spark, sf_dir, "lineitem").select("l_orderkey", F.row_number().over(w.orderBy(*_LINE)).alias("nested"), F.row_number().over(w.orderBy(F.desc("l_shipdate"), *_LINE)).alias("dated"))
-    return rows.groupBy("l_orderkey").agg(F.count("*").alias("blocks"), F.count_if(F.col("nested") != F.col("dated")).alias("moved"))
+    return chrono.moved(chrono.order(_stamped(spark, sf_dir), presumed=60))
 
 
-@query("""WITH b AS (SELECT l_orderkey, l_linenumber, l_shipdate, min(l_shipdate) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS least FROM lineitem)
-SELECT l_orderkey, l_linenumber, date_diff('day', least::DATE, l_shipdate::DATE)::INT AS excess FROM b WHERE l_shipdate > least + INTERVAL 26 HOUR""")
+@query(f"""WITH {_LINES}, w AS (SELECT *, sent - to_minutes(coalesce(off, 840)) AS lo, sent - to_minutes(coalesce(off, -720)) + CASE WHEN sent = date_trunc('day', sent) THEN INTERVAL 24 HOUR ELSE INTERVAL 0 HOUR END AS hi FROM b),
+p AS (SELECT *, min(hi) OVER v AS least, arg_min(block, (hi, block)) OVER v AS "outer" FROM w WINDOW v AS (PARTITION BY entry_id ORDER BY block ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+SELECT entry_id, block, "outer", (epoch(lo) - epoch(least))::BIGINT AS excess FROM p WHERE lo > least""")
 def impossible_blocks(spark, sf_dir):
-    before = Window.partitionBy("l_orderkey").orderBy(*_LINE).rowsBetween(Window.unboundedPreceding, -1)
-    rows = _read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_shipdate", F.min("l_shipdate").over(before).alias("least"))
-    return rows.where("l_shipdate > least + INTERVAL 26 HOURS").select("l_orderkey", "l_linenumber", F.date_diff(F.to_date("l_shipdate"), F.to_date("least")).alias("excess"))
+    return chrono.impossible(_stamped(spark, sf_dir))
 
 
 @query("SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
