@@ -1,13 +1,14 @@
 """Rules of addresses, vectors, search results and of keeping a corpus whole, on rows written out here."""
 
 import datetime as dt
+import random
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from threadloom.functions import address, clock, text
-from threadloom.operators import chrono, embed, evaluate, identity, retrieve
+from threadloom.operators import align, chrono, embed, evaluate, identity, retrieve
 from threadloom.sources import corpus
 
 
@@ -190,3 +191,33 @@ def test_meetings_and_sources(spark):
     assert each(spark, ["mail:<a>", "slack:c:1", "mail: a", "quote:x", ""], text.is_ext_id) == [True, True, False, False, False]
     got = each(spark, ["unspooled from msg 12, mail:<a>", "slack:c:1", "from a friend"], text.provenance)
     assert [tuple(g) for g in got] == [("ids", ["12", "mail:<a>"]), ("ids", ["slack:c:1"]), ("prose", None)]
+
+
+def test_divergences(spark):
+    base = [f"w{i}" for i in range(30)]
+    assert align.divergence(base, ["x", *base, "y", "z"]) == (True, 1, 0, 0, 2, 0)
+    assert align.divergence(base, [*base[:10], *"abcdefg", *base[10:20], "h", *base[20:]]) == (True, 0, 8, 7, 0, 0)
+    assert align.divergence(base, [*base[:10], "a", "b", *base[14:]]) == (True, 0, 0, 0, 0, 2)
+    assert align.divergence(base, []) == (True, 0, 0, 0, 0, 0) and align.divergence(base, ["q"]) == (True, 0, 0, 0, 0, 0)
+    assert align.divergence(["a"] * 2001, ["a"])[0] is False
+    rng = random.Random(2)
+
+    def longest(a, b):
+        return 0 if not a or not b else longest(a[1:], b[1:]) + 1 if a[0] == b[0] else max(longest(a[1:], b), longest(a, b[1:]))
+
+    for _ in range(60):
+        a, b = ([rng.choice("abc") for _ in range(rng.randrange(9))] for _ in range(2))
+        at = align.align(a, b)
+        assert len(at) == longest(a, b) and all(a[i] == b[j] for i, j in at) and (np.diff(at, axis=0) > 0).all()
+
+
+def test_answers_inside_a_copy_are_told(spark):
+    words = [f"word{i}" for i in range(60)]
+    text = " ".join(words)
+    inside = " ".join([*words[:20], "no we do not want that at all", *words[20:]])
+    far = " ".join(f"v{i}" for i in range(2100))
+    copies = spark.createDataFrame([(1, text, False), (2, inside, True), (3, text + " sent from my phone <http://x.org/a> photo.jpg", True), (4, far + " own", True), (5, far, False), (6, far, True)], "entry_id long, text string, quoted boolean")
+    plan = spark.createDataFrame([(1, 1, "keep"), (2, 1, "drop"), (3, 1, "drop"), (4, 5, "drop"), (6, 5, "drop"), (5, 5, "keep")], "entry_id long, keep_id long, decision string")
+    got = {r["entry_id"]: (r["inside"], r["longest"], r["reason"]) for r in align.annotated(plan, copies).collect()}
+    assert got == {2: (8, 8, "answered inside"), 4: (0, 0, "too long to place")}
+    assert each(spark, ["see https://a.b/c mailto:x@y.z [cid:1] <img> pic.PNG end"], lambda v: F.array_join(align.prose_words(v, F.lit(True)), " ")) == ["see end"]
