@@ -450,6 +450,32 @@ def test_pii_terms_match_brute_force(spark):
     assert shown > 40
 
 
+def brute_pii(text):
+    """Base spans by the patterns as they are written."""
+    import re
+
+    def luhn(d):
+        double = [int(c) * (1 + i % 2) for i, c in enumerate(reversed(d))]
+        return sum(x - 9 * (x > 9) for x in double) % 10 == 0
+
+    digits = lambda x: re.sub("[^0-9]", "", x)
+    kinds = [
+        ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda x: True),
+        ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda x: all(int(n) <= 255 for n in x.split("."))),
+        ("card", r"[0-9]([\x20-]?[0-9])+", lambda x: 13 <= len(digits(x)) <= 19 and luhn(digits(x))),
+        ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", lambda x: 9 <= len(digits(x)) <= 15),
+    ]
+    return [(k, *m.span()) for k, p, good in kinds for m in re.finditer(p, text) if good(m[0])]
+
+
+def test_pii_base_matches_brute_force():
+    r = np.random.default_rng(13)
+    parts = ["ann", "@", "b.org", ".", "x-y", "%+", "1", "25", "255", "256", "0", "4111 1111 1111 1111", "4111-1111", "+49", " ", "-", "(30)", "555", "12345678", "é", "\n", "_", "+"]
+    for _ in range(4000):
+        text = "".join(r.choice(parts, r.integers(1, 16)))
+        assert pii.base_spans(text) == brute_pii(text), text
+
+
 def test_pii_generalises_or_removes(spark):
     texts = [f"Firma7 of page {i} writes from u{i}@firm.example.org and qqzx" for i in range(5)] + [f"firm{i} other page {i} of text" for i in range(300)] + [None, ""]
     got = {r["doc_id"]: r for r in pii.sanitised(table(spark, texts)).collect()}
