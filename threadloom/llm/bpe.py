@@ -296,7 +296,8 @@ def _settings(vocabulary: str | None, pattern: str | None) -> tuple[str, str]:
 def encode(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", vocabulary: str | None = None, pattern: str | None = None) -> DataFrame:
     """(doc_id, ids array<int>) for every row; a null or empty text has no ids.
 
-    Repeated rows give repeated results, other columns are ignored.
+    A null id stays null; repeated rows give repeated results; a text of any length is
+    encoded whole; other columns are ignored; an empty table gives none.
     """
     path, pattern = _settings(vocabulary, pattern)
 
@@ -310,7 +311,11 @@ def encode(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", vocabula
 
 
 def decode(encoded: DataFrame, doc_id: str = "doc_id", ids: str = "ids", vocabulary: str | None = None, pattern: str | None = None) -> DataFrame:
-    """(doc_id, text) of rows of ids; null ids give a null text, an id that the vocabulary lacks is an error."""
+    """(doc_id, text) of rows of ids.
+
+    Null ids give a null text and none an empty one; an id that the vocabulary lacks is an
+    error; repeated rows are decoded each; an empty table gives none.
+    """
     path, pattern = _settings(vocabulary, pattern)
 
     def run(batches):
@@ -325,7 +330,8 @@ def decode(encoded: DataFrame, doc_id: str = "doc_id", ids: str = "ids", vocabul
 def round_trip(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", vocabulary: str | None = None, pattern: str | None = None) -> DataFrame:
     """Counts and digests of each text's ids, and of the bytes that the ids decode to.
 
-    A null text counts as empty.  No rows move; each task works through its own.
+    A null text counts as empty, a null id stays null; repeated rows count each; texts are
+    taken whole; an empty table gives none.  No rows move; each task works through its own.
     """
     path, pattern = _settings(vocabulary, pattern)
 
