@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import zlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, html_text, line_dedup, media, ngram_join, packing, pii, secrets, topk, toxicity
+from . import bpe, decontaminate, divergence, html_text, line_dedup, media, ngram_join, packing, periods, pii, secrets, topk, toxicity
 from .common import table
 
 
@@ -53,9 +55,29 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(secrets.spans(table(spark, sf_dir, "documents", "doc_id", "text")))
 
 
+def op11_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    return decontaminate.report(decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark", "item_id", "text")))
+
+
+def repeated_tail(doc_id: int | None, n: int) -> tuple[int, int] | None:
+    """From which word on, and with which period, a tenth of the documents repeat themselves; a null id never."""
+    h = zlib.crc32(str(doc_id).encode()) if doc_id is not None else 1
+    a = h // 10 % n
+    return None if h % 10 else (a, 1 + (n - a) // (3 + h // 10 % 8))
+
+
+def op12_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periods.report(periods.find_runs(table(spark, sf_dir, "documents", "doc_id", "text"), rewrite=repeated_tail))
+
+
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents", "lang", "source", "text"))
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": line_dedup.ORACLE_SQL, "op6_exact_top_k": topk.ORACLE_SQL}
+    return {"op1_line_dedup": line_dedup.ORACLE_SQL, "op6_exact_top_k": topk.ORACLE_SQL, "op11_decontamination": decontaminate.ORACLE_SQL, "op13_divergence": divergence.ORACLE_SQL}
