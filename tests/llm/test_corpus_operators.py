@@ -224,7 +224,7 @@ def test_packing_encodes_as_the_json_file():
     from tokenizers import Tokenizer
 
     whole = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    for text in [t for t in TEXTS if t] + ["a<|endoftext|>b", "tab\there  two"]:
+    for text in [t for t in TEXTS if t] + ["a<|endoftext|>b", "tab\there  two", " " * 2_000_000, "a" + "\n" * 1_000_000 + "b", "a" * 1_000_000, "漢字" * 300_000]:
         assert packing.encoder(packing.default_vocabulary())(text).tolist() == whole.encode(text, add_special_tokens=False).ids
 
 

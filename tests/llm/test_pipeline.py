@@ -55,7 +55,7 @@ def test_odd_rows_go_through_every_stage(spark, tmp_path):
     kind = ["the garden was lovely in spring", "they met at the old market", "we share a table by the sea"]
     own = lambda i: " ".join(f"w{(i * k) % 97}" for k in range(1, 12))
     rows = [(i, f"{(nasty if i % 2 else kind)[i % 3]} {own(i)}", "s", "n", 1) for i in range(240)]
-    odd = [(500, None, "s", "n", 1), (501, "", None, "n", 1), (None, "no id " + own(3) + " and more", "s", "n", 1), (502, "long " + "word and other " * 60_000, "s", None, 1), (503, "same words here as there", "s", "n", 1), (503, "same words here as there", "s", "n", 1), (504, "token: abcdefgh1 is the key", "s", "n", 1)]
+    odd = [(500, None, "s", "n", 1), (501, "", None, "n", 1), (None, "no id " + own(3) + " and more", "s", "n", 1), (502, "long " + "word and other " * 60_000, "s", None, 1), (503, "same words here as there", "s", "n", 1), (503, "same words here as there", "s", "n", 1), (504, "token: abcdefgh1 is the key", "s", "n", 1), (505, "a" + "\n" * 1_200_000 + "b", "s", "n", 1), (506, " " * 1_200_000, "s", "n", 1)]
     docs = spark.createDataFrame(rows + odd, "doc_id long, text string, source string, Score string, gone int").repartition(3)
     spark.createDataFrame([(i, i % 2) for i in range(240)] + [(None, 1), (500, None)], "doc_id long, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     docs.write.parquet(str(tmp_path / "documents.parquet"))

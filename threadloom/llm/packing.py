@@ -16,6 +16,7 @@ gives the same windows, and ids are unique because they carry the partition's nu
 from __future__ import annotations
 
 import base64
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -26,6 +27,8 @@ from pyspark.sql import DataFrame
 
 WINDOW = 1024
 SPECIAL, SPECIAL_ID = "<|endoftext|>", 50256
+#: White space that is too long for tiktoken's pattern, with room to spare.
+LONG_BLANK = re.compile(r"\s{100000}")
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 _encoders: dict[str, object] = {}
@@ -41,18 +44,28 @@ def default_vocabulary() -> str:
 def encoder(path: str):
     """text -> ids (uint32 array), as the tokenizers library gives for the JSON file of the vocabulary.
 
-    That library takes the end-of-text string in a text for its special token.
+    That library takes the end-of-text string in a text for its special token.  The ranks
+    at `path` are read by tiktoken, whose pattern gives up on runs of white space of about
+    a megabyte; texts with such a run go to the tokenizers library and the JSON file of
+    the same name.
     """
     if path not in _encoders:
         import public_tokenizers
         import tiktoken
+        import tokenizers
 
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         bpe = tiktoken.Encoding("packing", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={SPECIAL: SPECIAL_ID})
 
+        slower: list[tokenizers.Tokenizer] = []
+
         def encode(text: str) -> np.ndarray:
-            return bpe.encode_to_numpy(text, allowed_special="all")
+            if not LONG_BLANK.search(text):
+                return bpe.encode_to_numpy(text, allowed_special="all")
+            if not slower:
+                slower.append(tokenizers.Tokenizer.from_file(path.removesuffix(".tiktoken") + ".json"))
+            return np.array(slower[0].encode(text, add_special_tokens=False).ids, dtype=np.uint32)
 
         _encoders[path] = encode
     return _encoders[path]
