@@ -28,6 +28,8 @@ def test_addresses(spark):
     assert each(spark, ["a@x.org"], lambda v: address.organisation(v, {"x.org": "Xylem"})) == ["Xylem"]
     got = each(spark, ["Ann Ray <ann@x.org", "Ann Ray", "<ann@x.org>", "Ann <a@x.org>"], address.welded)
     assert [tuple(g) if g else None for g in got] == [("Ann Ray", "ann@x.org"), None, None, ("Ann", "a@x.org")]
+    assert each(spark, ["Bob Ray (Sales)", "Bob J Ray", "bob van ray", "B", "", None], lambda v: address.contradiction(F.lit("Bob Ray"), v)) == [None, None, "different surnames: ray, van ray", None, None, None]
+    assert [r and tuple(r) for r in each(spark, ["Ann van Ray | X", "Ann", "a@b", "(x)"], address.name_parts)] == [("ann", "van ray"), ("ann", None), None, None]
     assert each(spark, ["Ann Ray", "Jo Ray", "Ann Lee", "Ann", "a@x"], lambda v: address.contradiction(F.lit("Ann Ray"), v)) == [None, "different first names: ann, jo", "different surnames: lee, ray", None, None]
     agrees = lambda v: address.address_names(F.substring_index(v, "/", 1), F.substring_index(v, "/", -1))
     assert each(spark, ["aking/Ann King", "tdempst/Tom Dempster", "ann.x/Ann King", "ellen/Bo Vantel", "ak/Ann King", "/Ann"], agrees) == [True, True, True, False, False, False]

@@ -87,10 +87,10 @@ def name_words(name: Column) -> Column:
 
 
 def name_parts(name: Column) -> Column:
-    """struct<first, surname> in lower case; null for no words and for addresses, surname null for one word."""
-    words = F.split(F.lower(collapse(name)), " ")
+    """struct<first, surname> of `name_words`: the first of them, and the others, null if there are none; null for no words and for addresses."""
+    words = name_words(name)
     surname = F.when(F.size(words) > 1, F.array_join(F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))), " "))
-    return F.when((collapse(name) != "") & ~name.contains("@"), F.struct(words[0].alias("first"), surname.alias("surname")))
+    return F.when((F.size(words) > 0) & ~name.contains("@"), F.struct(F.get(words, F.lit(0)).alias("first"), surname.alias("surname")))
 
 
 def _squashed(local: Column) -> Column:

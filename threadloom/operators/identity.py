@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.address import contradiction, is_role, local_part
+from ..functions.address import contradiction, is_role, local_part, name_parts
 from ..functions.text import base_address, collapse, mail_domain, normalise_identity
 from .groups import groups
 
@@ -78,10 +78,11 @@ def first_name_plan(people: DataFrame) -> DataFrame:
     """(person_id, group, decision, keep_id) of people (person_id, name, org, messages) who share a first name at an organisation.
 
     refuse: the group has two surnames or more; keep: the survivor, who has a surname,
-    then most messages, then the smallest id; merge: the others.  Groups of one are left out.
+    then most messages, then the smallest id; merge: the others.  Groups of one, and
+    people whose name is an address or has no words, are left out.
     """
-    words = F.split(F.lower(collapse(F.col("name"))), " ")
-    own = people.where("org IS NOT NULL").select("person_id", "messages", F.concat_ws("@", words[0], F.lower("org")).alias("group"), F.when(F.size(words) > 1, F.element_at(words, -1)).alias("surname"))
+    named = people.where("org IS NOT NULL").withColumn("parts", name_parts(F.col("name"))).where("parts IS NOT NULL")
+    own = named.select("person_id", "messages", F.concat_ws("@", "parts.first", F.lower("org")).alias("group"), F.col("parts.surname").alias("surname"))
     best = F.max_by("person_id", F.struct(F.col("surname").isNotNull(), F.coalesce("messages", F.lit(0)), -F.col("person_id"))).alias("keep_id")
     groups = own.groupBy("group").agg(F.count("*").alias("n"), F.countDistinct("surname").alias("surnames"), best).where("n > 1")
     decision = F.when(F.col("surnames") > 1, "refuse").when(F.col("person_id") == F.col("keep_id"), "keep").otherwise("merge")

@@ -1 +1 @@
-from . import corpus, queries, recovered, zoned  # noqa: F401  all register their queries
+from . import corpus, hosted, queries, recovered, zoned  # noqa: F401  all register their queries

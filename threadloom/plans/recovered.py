@@ -104,14 +104,14 @@ def merge_candidates(spark, sf_dir):
 
 
 @query("""WITH m AS (SELECT o_custkey, count(*) AS messages FROM orders GROUP BY 1),
-p AS (SELECT c_custkey AS person_id, 'ann' || c_custkey % 11 || '@' || c_nationkey AS g, CASE WHEN c_custkey % 4 = 0 THEN 'ray' WHEN c_custkey % 90 = 1 THEN 'lee' END AS surname, coalesce(messages, 0) AS messages
-  FROM customer LEFT JOIN m ON o_custkey = c_custkey),
+p AS (SELECT c_custkey AS person_id, 'ann' || c_custkey % 11 || '@' || c_nationkey AS g, CASE WHEN c_custkey % 4 = 0 THEN 'ray' WHEN c_custkey % 90 = 1 THEN 'van ray' END AS surname, coalesce(messages, 0) AS messages
+  FROM customer LEFT JOIN m ON o_custkey = c_custkey WHERE c_custkey % 50 <> 7),
 s AS (SELECT g, count(DISTINCT surname) AS surnames, arg_max(person_id, (surname IS NOT NULL, messages, -person_id)) AS keep_id FROM p GROUP BY 1 HAVING count(*) > 1)
 SELECT person_id, g AS "group", CASE WHEN surnames > 1 THEN 'refuse' WHEN person_id = keep_id THEN 'keep' ELSE 'merge' END AS decision, CASE WHEN surnames <= 1 THEN keep_id END AS keep_id FROM p JOIN s USING (g)""")
 def first_name_merges(spark, sf_dir):
     key = F.col("c_custkey")
     counts = _read(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("*").alias("messages"))
-    name = F.concat(F.lit("Ann"), (key % 11).cast("string"), F.when(key % 4 == 0, " Ray").when(key % 90 == 1, " Lee").otherwise(""))
+    name = F.concat(F.lit("Ann"), (key % 11).cast("string"), F.when(key % 50 == 7, "@x.org").when(key % 8 == 0, " Ray (Sales)").when(key % 4 == 0, " B Ray").when(key % 90 == 1, " van Ray | Acme").when(key % 10 == 3, " R").otherwise(""))
     people = _read(spark, sf_dir, "customer").join(counts, "c_custkey", "left").select(key.alias("person_id"), name.alias("name"), F.col("c_nationkey").cast("string").alias("org"), "messages")
     return identity.first_name_plan(people)
 
