@@ -1 +1 @@
-from . import corpus, hosted, ordered, queries, recovered, zoned  # noqa: F401  all register their queries
+from . import corpus, hosted, indexed, ordered, queries, recovered, zoned  # noqa: F401  all register their queries
