@@ -143,13 +143,13 @@ def domain_merges(spark, sf_dir):
 
 
 @query(f"""WITH {_ENTRIES}, t AS (SELECT entry_id, regexp_replace('talk ' || container || chr(10) || chr(10) || regexp_replace(coalesce(text, ''), '\\n{{3,}}', chr(10) || chr(10), 'g'), '^[ \\t\\n\\x0B\\f\\r]+|[ \\t\\n\\x0B\\f\\r]+$', '', 'g') AS t FROM entries),
-w AS (SELECT *, len(list_filter(string_split_regex(t, '[ \\t\\n\\x0B\\f\\r]+'), lambda x: regexp_matches(x, '\\p{{L}}'))) AS words FROM t)
-SELECT entry_id, CASE WHEN words < {embed.LEAST_WORDS} THEN 'too short' END AS reason, CASE WHEN words < {embed.LEAST_WORDS} THEN md5('') ELSE md5(t) END AS digest FROM w WHERE length(t) <= {embed.MOST_CHARS}""")
+w AS (SELECT *, len(list_filter(string_split_regex(t, '[ \\t\\n\\x0B\\f\\r]+'), lambda x: regexp_matches(x, '\\p{{L}}'))) AS words, substring(t, 1, {embed.MOST_CHARS}) AS cut, substring(t, {embed.MOST_CHARS} + 1, 1) AS next FROM t)
+SELECT entry_id, CASE WHEN words < {embed.LEAST_WORDS} THEN 'too short' END AS reason,
+  md5(CASE WHEN words < {embed.LEAST_WORDS} THEN '' WHEN length(t) <= {embed.MOST_CHARS} THEN t
+    ELSE regexp_replace(CASE WHEN regexp_matches(next, '[ \\t\\n\\x0B\\f\\r]') THEN cut ELSE regexp_replace(cut, '[ \\t\\n\\x0B\\f\\r]+[^ \\t\\n\\x0B\\f\\r]*\\z', '') END, '[ \\t\\n\\x0B\\f\\r]+\\z', '') END) AS digest FROM w""")
 def embed_texts(spark, sf_dir):
     e = entries(spark, sf_dir).withColumn("subject", F.concat(F.lit("Re: AW[2]: talk "), F.col("container").cast("string")))
-    p = embed.prepared(F.lit("chat"), F.col("subject"), F.col("text"))
-    rows = e.select("entry_id", p.alias("p"), F.length(F.col("text")).alias("n"), "container")
-    return rows.where(F.col("n") + F.length(F.col("container").cast("string")) + 7 <= embed.MOST_CHARS).select("entry_id", "p.reason", F.md5("p.text").alias("digest"))
+    return e.select("entry_id", embed.prepared(F.lit("chat"), F.col("subject"), F.col("text")).alias("p")).select("entry_id", "p.reason", F.md5("p.text").alias("digest"))
 
 
 @query(f"""WITH {_ENTRIES}, w AS (SELECT entry_id, len(list_filter(string_split_regex('talk ' || coalesce(text, ''), '[ \\t\\n\\x0B\\f\\r]+'), lambda x: regexp_matches(x, '\\p{{L}}'))) AS words FROM entries)
