@@ -10,7 +10,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
+from ..tables import written
 from .embed import own_words
+from .similar import similarity
 
 #: Most words of a text that is aligned, and the run of inserted words that is an answer.
 MOST, RUN = 2000, 5
@@ -94,8 +96,11 @@ def annotated(plan: DataFrame, copies: DataFrame) -> DataFrame:
     drops = plan.where("decision = 'drop'").select("entry_id", "keep_id")
     own = copies.select("entry_id", prose_words(F.col("text"), F.col("quoted")).alias("words"))
     both = drops.join(own.select("entry_id", F.col("words").alias("later")), "entry_id").join(own.select(F.col("entry_id").alias("keep_id"), F.col("words").alias("base")), "keep_id")
-    counts = lambda w: F.transform(F.array_distinct(w), lambda x: F.struct(x.alias("w"), F.size(F.filter(w, lambda y: y == x)).alias("n")))
-    found = divergences(both, "base", "later")
-    beyond = F.exists(counts(F.col("later")), lambda c: F.size(F.filter("base", lambda y: y == c["w"])) < c["n"])
-    reason = F.when(~F.col("measured"), F.when(beyond, "too long to place")).when(F.col("longest") >= RUN, "answered inside")
+    found = written(divergences(both, "base", "later"))
+    # those too long to align are few: their words are counted, each text once
+    long_ = found.where("NOT measured").select(F.to_json(F.struct(F.lit("later").alias("of"), "entry_id", "keep_id")).alias("a"), F.to_json(F.struct(F.lit("base").alias("of"), "entry_id", "keep_id")).alias("b"), "later", "base", "entry_id", "keep_id")
+    texts = long_.select(F.col("a").alias("entry_id"), F.array_join("later", " ").alias("text")).unionByName(long_.select(F.col("b").alias("entry_id"), F.array_join("base", " ").alias("text")))
+    beyond = similarity(long_.select("a", "b", "entry_id", "keep_id"), texts).where("overlap < na").select("entry_id", "keep_id", F.lit(True).alias("beyond"))
+    found = found.join(beyond, ["entry_id", "keep_id"], "left")
+    reason = F.when(~F.col("measured"), F.when(F.col("beyond"), "too long to place")).when(F.col("longest") >= RUN, "answered inside")
     return found.withColumn("reason", reason).where("reason IS NOT NULL").select("entry_id", "keep_id", "inside", "longest", "reason")

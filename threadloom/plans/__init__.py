@@ -1 +1 @@
-from . import corpus, headed, hosted, indexed, ordered, queries, recovered, zoned  # noqa: F401  all register their queries
+from . import collapsed, corpus, headed, hosted, indexed, ordered, queries, recovered, zoned  # noqa: F401  all register their queries
