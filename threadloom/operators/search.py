@@ -84,12 +84,12 @@ def fuse(lists: list[DataFrame], k: int, constant: int = RRF) -> DataFrame:
     return top(union.groupBy("entry_id").agg(F.sum(F.lit(1.0) / (constant + F.col("rank"))).alias("score"), F.count("*").alias("lists")), k)
 
 
-def chain_scores(hits: DataFrame, found: DataFrame, k: int) -> DataFrame:
-    """Chains by the damped sum of their members' scores: the i-th best counts 1/i."""
+def chain_scores(hits: DataFrame, found: DataFrame, k: int | None) -> DataFrame:
+    """Chains by the damped sum of their members' scores: the i-th best counts 1/i; the k best, or all in no order."""
     place = F.row_number().over(Window.partitionBy("root_id").orderBy(F.desc("score"), "entry_id"))
     rows = hits.join(found, "entry_id").withColumn("i", place)
     chains = rows.groupBy("root_id").agg(F.sum(F.col("score") / F.col("i")).alias("score"), F.count("*").alias("matched"), F.min_by("entry_id", "i").alias("best"))
-    return chains.orderBy(F.desc("score"), "root_id").limit(k)
+    return chains.orderBy(F.desc("score"), "root_id").limit(k) if k is not None else chains
 
 
 def query_terms(asked: str) -> list[str]:
