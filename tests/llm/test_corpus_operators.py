@@ -310,6 +310,7 @@ def test_bpe_matches_the_library(spark):
         text = TEXTS[r["doc_id"]] or ""
         ids = np.array(library.encode_ordinary(text), "<u4")
         assert (r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) == (len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), hashlib.sha256(text.encode()).hexdigest())
+        assert r["n_chars"] == len(text)
     assert bpe.round_trip(table(spark).limit(0)).count() == 0
 
 

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 
 MAX_STATES = 300_000
 MAX_PIECES = 600_000
-SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, n_chars long"
 START = -1
 
 _codecs: dict[str, Codec] = {}
@@ -273,10 +273,16 @@ class Codec:
         kept = self.kept.get
         return b"".join([kept(p) or self._piece(p) for p in self.pieces(text)])
 
-    def decode(self, ids: Iterable[int], at_once: int = 4096) -> Iterator[str]:
-        ids, stream = list(ids), Utf8Stream()
+    def raw(self, ids: Iterable[int], at_once: int = 4096) -> Iterator[bytes]:
+        """The bytes of the ids, some ids at once; a character may be cut between two yields."""
+        ids = list(ids)
         for i in range(0, len(ids), at_once):
-            yield stream.feed(b"".join([self.text[t] for t in ids[i : i + at_once]]))
+            yield b"".join([self.text[t] for t in ids[i : i + at_once]])
+
+    def decode(self, ids: Iterable[int], at_once: int = 4096) -> Iterator[str]:
+        stream = Utf8Stream()
+        for some in self.raw(ids, at_once):
+            yield stream.feed(some)
         yield stream.close()
 
 
@@ -328,7 +334,7 @@ def decode(encoded: DataFrame, doc_id: str = "doc_id", ids: str = "ids", vocabul
 
 
 def round_trip(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", vocabulary: str | None = None, pattern: str | None = None) -> DataFrame:
-    """Counts and digests of each text's ids, and of the bytes that the ids decode to.
+    """Counts and digests of each text's ids, and of the bytes that the ids decode to, with the code points of their text.
 
     A null text counts as empty, a null id stays null; repeated rows count each; texts are
     taken whole; an empty table gives none.  No rows move; each task works through its own.
@@ -338,15 +344,17 @@ def round_trip(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", voca
     def run(batches):
         c = codec(path, pattern)
         for batch in batches:
-            n, coded, decoded = [], [], []
+            n, coded, decoded, chars = [], [], [], []
             for value in batch.column(1):
                 ids = c.encode(value.as_py() or "")
-                back = hashlib.sha256()
-                for some in c.decode(memoryview(ids).cast("I") if ids else ()):
-                    back.update(some.encode())
+                back, stream, length = hashlib.sha256(), Utf8Stream(), 0
+                for some in c.raw(memoryview(ids).cast("I") if ids else ()):
+                    back.update(some)
+                    length += len(stream.feed(some))
+                chars.append(length + len(stream.close()))
                 n.append(len(ids) // 4)
                 coded.append(hashlib.sha256(ids).hexdigest())
                 decoded.append(back.hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(coded, pa.string()), pa.array(decoded, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(coded, pa.string()), pa.array(decoded, pa.string()), pa.array(chars, pa.int64())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "n_chars"])
 
     return docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].alias("text")).mapInArrow(run, SCHEMA)
