@@ -18,7 +18,8 @@ def _hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(host_id, html) of every turn."""
     own = entries(spark, sf_dir).withColumn("text", F.coalesce("text", F.lit("")))
     shown = lambda c: F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
-    up = lambda n: own.select((F.col("entry_id") + n).alias("entry_id"), F.col("text").alias(f"x{n}"))
+    # ids repeat where a conversation has over a thousand turns: each turn stays one host
+    up = lambda n: own.groupBy((F.col("entry_id") + n).alias("entry_id")).agg(F.min("text").alias(f"x{n}"))
     rows = own.join(up(1), "entry_id", "left").join(up(2), "entry_id", "left")
 
     def quote(text, below=None):
