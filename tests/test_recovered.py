@@ -122,3 +122,25 @@ def test_lanes(spark):
 def test_query_terms():
     assert search.query_terms('find "two words" (x-1), "open end') == ["find", "two words", "x-1", "open end"]
     assert search.is_identifier("AB12") and search.is_identifier("a-b") and not search.is_identifier("plain")
+
+
+def test_twin_steps_join_bags_and_bits_not_words(spark, capsys):
+    import numpy as np
+
+    from threadloom.operators import align, similar
+
+    rng = random.Random(3)
+    rows = [([rng.choice("abcd") for _ in range(rng.randrange(12))], [rng.choice("abcd") for _ in range(rng.randrange(60))]) for _ in range(300)]
+    frame = spark.createDataFrame(rows, "a array<string>, b array<string>")
+    head = F.slice("a", 1, twins.RUN)
+    slow = F.when(F.size(head) > 0, twins.common_length(head, F.slice("b", 1, twins.REACH)) / F.size(head)).otherwise(0.0)
+    both = frame.select(twins.head_similarity(F.col("a"), F.col("b")).alias("x"), slow.alias("y")).collect()
+    assert all(r["x"] == r["y"] for r in both)
+    # what both end with costs no row of the table
+    long_ = ["w"] + [str(i) for i in range(40_000)]
+    assert np.array_equal(align.align(long_, ["v", *long_[1:]])[[0, -1]], [[1, 1], [40_000, 40_000]])
+    texts = spark.createDataFrame([(1, "a a b c"), (2, "a a a c d"), (3, None)], "entry_id long, text string")
+    met = similar.similarity(spark.createDataFrame([(1, 2), (1, 3)], "a long, b long"), texts)
+    assert {(r["b"], r["na"], r["nb"], r["overlap"]) for r in met.collect()} == {(2, 4, 5, 3), (3, 4, 0, 0)}
+    met.explain()
+    assert "Aggregate" not in capsys.readouterr().out

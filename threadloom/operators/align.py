@@ -33,8 +33,14 @@ def prose_words(body: Column, quoted: Column) -> Column:
 def align(a: list[str], b: list[str]) -> np.ndarray:
     """(k, 2) places of a longest common subsequence, in order; where either word can be left out, that of a is.
 
-    A row of lengths is a running maximum, so the table takes one vector step for each word of a.
+    A row of lengths is a running maximum, so the table takes one vector step for each
+    word of a.  What both end with is matched word by word and needs no table.
     """
+    whole, same = (len(a), len(b)), 0
+    while same < min(whole) and a[-1 - same] == b[-1 - same]:
+        same += 1
+    tail = np.arange(same)[:, None] + np.array(whole) - same
+    a, b = a[: whole[0] - same], b[: whole[1] - same]
     number = {w: i for i, w in enumerate({*a, *b})}
     x, y = (np.array([number[w] for w in t], np.int64) for t in (a, b))
     table = np.zeros((len(a) + 1, len(b) + 1), np.int16)
@@ -50,7 +56,7 @@ def align(a: list[str], b: list[str]) -> np.ndarray:
             i -= 1
         else:
             j -= 1
-    return np.array(out[::-1], np.int64).reshape(-1, 2)
+    return np.concatenate([np.array(out[::-1], np.int64).reshape(-1, 2), tail])
 
 
 def divergence(base: list[str], later: list[str]) -> tuple:
@@ -94,7 +100,8 @@ def annotated(plan: DataFrame, copies: DataFrame) -> DataFrame:
     copies and their keepers are tokenised.
     """
     drops = plan.where("decision = 'drop'").select("entry_id", "keep_id")
-    own = copies.select("entry_id", prose_words(F.col("text"), F.col("quoted")).alias("words"))
+    used = written(drops.select("entry_id").unionByName(drops.select(F.col("keep_id").alias("entry_id"))).distinct())
+    own = written(copies.join(used, "entry_id", "left_semi").select("entry_id", prose_words(F.col("text"), F.col("quoted")).alias("words")))
     both = drops.join(own.select("entry_id", F.col("words").alias("later")), "entry_id").join(own.select(F.col("entry_id").alias("keep_id"), F.col("words").alias("base")), "keep_id")
     found = written(divergences(both, "base", "later"))
     # those too long to align are few: their words are counted, each text once

@@ -11,14 +11,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.clock import nearest_offset
+from ..tables import written
 from . import align, twins
 from .identity import repoint
 
 
 def mapping(plan: DataFrame, copies: DataFrame) -> DataFrame:
     """(drop_id, keep_id) of a plan of twins, without the copies that hold words of their own."""
+    plan = written(plan)
     own = align.annotated(plan, copies).select("entry_id")
-    return plan.where("decision = 'drop'").join(own, "entry_id", "left_anti").select(F.col("entry_id").alias("drop_id"), "keep_id")
+    return written(plan.where("decision = 'drop'").join(own, "entry_id", "left_anti").select(F.col("entry_id").alias("drop_id"), "keep_id"))
 
 
 def measured_offsets(moved: DataFrame, entries: DataFrame, sightings: DataFrame) -> DataFrame:

@@ -14,23 +14,33 @@ def word_counts(texts: DataFrame, entry: str = "entry_id", text: str = "text") -
     return texts.select(F.col(entry).alias("entry_id"), F.explode(tokens(F.col(text))).alias("token")).groupBy("entry_id", "token").agg(F.count("*").alias("k"))
 
 
+def bags(texts: DataFrame, entry: str = "entry_id", text: str = "text") -> DataFrame:
+    """(entry_id, bag) of every text with words: its tokens as a set, the k-th of equal ones marked by k.
+
+    Two bags share as many elements as the texts' multisets of tokens.  A text goes once
+    to where its entry belongs, and its words are counted there.
+    """
+    parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = texts.select(F.col(entry).alias("entry_id"), F.col(text).alias("text")).repartition(parts, "entry_id")
+    marked = F.transform(F.sequence(F.lit(1), F.col("k").cast("int")), lambda i: F.when(i == 1, F.col("token")).otherwise(F.concat(F.col("token"), F.lit(" "), i.cast("string"))))
+    return word_counts(dealt).groupBy("entry_id").agg(F.flatten(F.collect_list(marked)).alias("bag"))
+
+
 def similarity(pairs: DataFrame, texts: DataFrame, entry: str = "entry_id", text: str = "text") -> DataFrame:
     """Pairs (a, b) of entries with their numbers of words `na` and `nb`, `overlap` (size of the multiset intersection of tokens) and `similarity` (Dice, 0 for two empty texts).
 
-    Only texts that are in a pair are tokenised, each once; what is joined are counts of words.
+    Only texts that are in a pair are tokenised, each once; what is joined are bags of
+    words, one row a pair, and nothing is grouped by pair or word afterwards.
     """
     used = pairs.select(F.col("a").alias("used")).unionByName(pairs.select(F.col("b").alias("used"))).distinct()
-    counts = written(word_counts(texts.join(used, texts[entry] == used["used"], "left_semi"), entry, text))
-    sizes = counts.groupBy("entry_id").agg(F.sum("k").alias("n"))
-    ends = pairs.select("a", "b").distinct()
-    x = ends.join(counts.select(F.col("entry_id").alias("a"), "token", F.col("k").alias("ka")), "a")
-    y = counts.select(F.col("entry_id").alias("b"), "token", F.col("k").alias("kb"))
-    met = x.join(y, ["b", "token"]).groupBy("a", "b").agg(F.sum(F.least("ka", "kb")).alias("overlap"))
-    out = pairs.join(met, ["a", "b"], "left")
+    held = written(bags(texts.join(used, texts[entry] == used["used"], "left_semi"), entry, text))
+    out = pairs
     for s in "ab":
-        out = out.join(sizes.select(F.col("entry_id").alias(s), F.col("n").alias(f"n{s}")), s, "left")
-    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
-    out = out.select(*pairs.columns, zero("na"), zero("nb"), zero("overlap"))
+        out = out.join(held.select(F.col("entry_id").alias(s), F.col("bag").alias(f"bag_{s}")), s, "left")
+    size = lambda c: F.when(F.col(c).isNull(), 0).otherwise(F.size(c)).cast("long")
+    met = F.coalesce(F.size(F.array_intersect("bag_a", "bag_b")), F.lit(0))
+    overlap = F.when(F.col("bag_a").isNull() | F.col("bag_b").isNull(), 0).otherwise(met).cast("long")
+    out = out.select(*pairs.columns, size("bag_a").alias("na"), size("bag_b").alias("nb"), overlap.alias("overlap"))
     return out.withColumn("similarity", F.when(F.col("na") + F.col("nb") > 0, 2.0 * F.col("overlap") / (F.col("na") + F.col("nb"))).otherwise(0.0))
 
 

@@ -33,9 +33,23 @@ def common_length(a: Column, b: Column) -> Column:
 
 
 def head_similarity(a: Column, b: Column) -> Column:
-    """Share of the first words of a that stand, in order, near the start of b."""
+    """Share of the first words of a that stand, in order, near the start of b.
+
+    The length of the common subsequence as bits of one number: a bit of `row` is 0 where
+    the table's row grows, and a word of b moves all of the row by one sum.
+    """
     head = F.slice(a, 1, RUN)
-    return F.when(F.size(head) > 0, common_length(head, F.slice(b, 1, REACH)) / F.size(head)).otherwise(0.0)
+    full = (1 << RUN) - 1
+
+    def step(row: Column, x: Column) -> Column:
+        hits = sum((F.when(F.get(head, F.lit(i)) == x, 1 << i).otherwise(0) for i in range(RUN)), F.lit(0))
+        met = row.bitwiseAND(hits)
+        return (row + met).bitwiseOR(row.bitwiseAND(F.bitwise_not(hits))).bitwiseAND(F.lit(full))
+
+    common = lambda: F.lit(RUN) - F.bit_count(F.aggregate(F.slice(b, 1, REACH), F.lit(full), step))
+    # the same first words, as most twins have: all are common
+    same = head == F.slice(b, 1, RUN)
+    return F.when(F.size(head) > 0, F.when(same, 1.0).otherwise(common() / F.size(head))).otherwise(0.0)
 
 
 def twin_offset(gap: Column, quoted_a: Column, quoted_b: Column) -> Column:
@@ -59,7 +73,7 @@ def pairs(copies: DataFrame) -> DataFrame:
     are joined only to pairs near in time, and word counts come before similarities.
     """
     near = written(band_join(copies.where("person IS NOT NULL"), "person", "wall", "entry_id", WINDOW))
-    own = copies.select("entry_id", "quoted", F.slice(tokens(F.col("text")), 1, REACH).alias("head"))
+    own = written(copies.select("entry_id", "quoted", F.slice(tokens(F.col("text")), 1, REACH).alias("head")))
     side = lambda s: own.select(*[F.col(c).alias(s if c == "entry_id" else f"{c}_{s}") for c in own.columns])
     both = similarity(near, copies).join(side("a"), "a").join(side("b"), "b")
     reason = (
@@ -69,7 +83,7 @@ def pairs(copies: DataFrame) -> DataFrame:
         .when(F.col("overlap") < RECALL * F.least("na", "nb"), "words differ")
         .when((head_similarity(F.col("head_a"), F.col("head_b")) < HEAD) | (head_similarity(F.col("head_b"), F.col("head_a")) < HEAD), "beginnings differ")
     )
-    return both.select("a", "b", "gap", reason.alias("reason"))
+    return written(both.select("a", "b", "gap", reason.alias("reason")))
 
 
 def plan(copies: DataFrame, links: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import collapse, twins
+from ..tables import written
 from .queries import _ENTRIES, entries, query
 
 
@@ -44,7 +45,7 @@ m AS (
 
 
 def _moved(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    copies = _copies(spark, sf_dir)
+    copies = written(_copies(spark, sf_dir))
     clocks = copies.withColumnRenamed("ts", "wall")
     return copies, collapse.mapping(twins.plan(clocks, twins.pairs(clocks)), clocks)
 
