@@ -106,3 +106,9 @@ def test_cast(spark):
         assert got[t] == folded([(p, a or "", n or "", o or [], g or "", nm, d) for tt, _, p, a, n, o, g, nm, d in rows if tt == t])
     assert cast.unseated(df, seated).count() == 0 and cast.unseated(df, seated.where("seat > 1")).count() > 0
     assert cast.people(df.limit(0)).count() == 0
+
+
+def test_parts_of_addresses_are_found_once(spark, capsys):
+    spark.createDataFrame([("a",)], "h string").select(headers.addresses(F.col("h"))).explain(True)
+    shown = capsys.readouterr().out.split("== Physical Plan ==")[1]
+    assert shown.count("regexp_") < 300, shown.count("regexp_")

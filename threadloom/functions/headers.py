@@ -38,7 +38,8 @@ def decoded(text: Column) -> Column:
         text_of = F.when(charset == "ISO-8859-1", F.decode(raw, "ISO-8859-1")).otherwise(F.try_validate_utf8(raw.cast("string")))
         return F.when(known & text_of.isNotNull(), text_of).otherwise(x)
 
-    return F.array_join(F.transform(parts, one), "")
+    # most texts hold none, and are what they are
+    return F.when(text.contains("=?"), F.array_join(F.transform(parts, one), "")).otherwise(text)
 
 
 def _unquoted(name: Column) -> Column:
@@ -57,18 +58,28 @@ def addresses(header: Column) -> Column:
     line = F.regexp_replace(F.coalesce(header, F.lit("")), r"\r?\n[ \t]+", " ")
     items = F.regexp_extract_all(line, F.lit(_ITEM), F.lit(1))
 
-    def one(raw: Column) -> Column:
-        item = F.trim(F.regexp_replace(raw, _GROUP, ""))
-        outside = F.regexp_replace(item, rf"(?s)({_QUOTED})|{_COMMENT}", "$1")
-        comment = F.regexp_extract(item, rf"(?s)^(?:{_QUOTED}|[^()\"])*?\(((?:\\.|[^()\\])*+)\)\s*$", 1)
-        angle = F.regexp_extract(outside, rf'(?s)^(?:{_QUOTED}|[^<"])*+<([^<>]*+)>', 1)
-        opened = F.regexp_extract(outside, rf'(?s)^((?:{_QUOTED}|[^<"])*+)<', 1)
+    # each step is a field of its own, so that what later steps share is found once
+    def parted(item: Column) -> Column:
+        bare = F.regexp_replace(item, rf"(?s)({_QUOTED})|{_COMMENT}", "$1")
+        return F.struct(item.alias("item"), F.when(item.contains("("), bare).otherwise(item).alias("outside"))
+
+    def angled(x: Column) -> Column:
+        angle = F.regexp_extract(x["outside"], rf'(?s)^(?:{_QUOTED}|[^<"])*+<([^<>]*+)>', 1)
+        opened = F.regexp_extract(x["outside"], rf'(?s)^((?:{_QUOTED}|[^<"])*+)<', 1)
         route = F.lower(F.trim(F.regexp_replace(F.regexp_replace(angle, r"(?s)^\s*@[^:]*:", ""), r"\s+", "")))
+        has = x["outside"].contains("<")
+        return F.struct(x["item"].alias("item"), x["outside"].alias("outside"), F.when(has, opened).otherwise("").alias("opened"), F.when(has, route).otherwise("").alias("route"))
+
+    def named(x: Column) -> Column:
+        name = F.when(x["opened"] != "", decoded(_unquoted(F.trim(x["opened"])))).otherwise("")
+        return F.struct(*[x[c].alias(c) for c in ("item", "outside", "opened", "route")], name.alias("name"), F.trim(x["outside"]).alias("bare"))
+
+    def one(x: Column) -> Column:
+        item, outside, opened, route, name, bare = (x[c] for c in ("item", "outside", "opened", "route", "name", "bare"))
+        comment = F.when(item.contains("("), F.regexp_extract(item, rf"(?s)^(?:{_QUOTED}|[^()\"])*?\(((?:\\.|[^()\\])*+)\)\s*$", 1)).otherwise("")
         links = F.regexp_extract_all(F.lower(item), F.lit(f"({_EMAIL})"), F.lit(1))
         is_link = F.lower(item).contains("mailto:") & (F.size(F.array_distinct(links)) == 1)
-        loose = F.regexp_extract(F.lower(outside), f"<[^>]*?({_EMAIL})", 1)
-        bare = F.trim(outside)
-        name = F.coalesce(F.nullif(decoded(_unquoted(F.trim(opened))), F.lit("")), F.lit(""))
+        loose = F.when(outside.contains("<"), F.regexp_extract(F.lower(outside), f"<[^>]*?({_EMAIL})", 1)).otherwise("")
         before = F.regexp_replace(F.regexp_replace(F.trim(F.regexp_extract(item, rf"(?s)^(.*?){_EMAIL}", 1)), r"(?i)mailto:\s*$", ""), r"^[\s<>(\[,:\"']+|[\s<>(\[,:\"']+$", "")
         got = lambda a, n: F.struct(F.nullif(a, F.lit("")).alias("address"), F.trim(n).alias("name"))
         return (
@@ -76,10 +87,13 @@ def addresses(header: Column) -> Column:
             .when(route != "", got(route, F.when(name != "", name).otherwise(decoded(comment))))
             .when(loose != "", got(loose, clean_name(opened)))
             .when(bare.contains("@") & ~bare.rlike(r"\s"), got(F.lower(bare), decoded(comment)))
-            .otherwise(got(F.lit(""), clean_name(decoded(_unquoted(F.trim(F.when(opened != "", opened).otherwise(bare)))))))
+            .otherwise(got(F.lit(""), clean_name(F.when(opened != "", name).otherwise(decoded(_unquoted(bare))))))
         )
 
-    return F.filter(F.transform(items, one), lambda x: x["address"].isNotNull() | (x["name"] != ""))
+    own = F.transform(items, lambda raw: F.trim(F.regexp_replace(raw, _GROUP, "")))
+    for step in (parted, angled, named):
+        own = F.transform(own, step)
+    return F.filter(F.transform(own, one), lambda x: x["address"].isNotNull() | (x["name"] != ""))
 
 
 #: What a year of two or three figures means is added to these.
