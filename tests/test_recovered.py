@@ -144,3 +144,17 @@ def test_twin_steps_join_bags_and_bits_not_words(spark, capsys):
     assert {(r["b"], r["na"], r["nb"], r["overlap"]) for r in met.collect()} == {(2, 4, 5, 3), (3, 4, 0, 0)}
     met.explain()
     assert "Aggregate" not in capsys.readouterr().out
+
+
+def test_searches_read_texts_once(spark, capsys):
+    docs = spark.createDataFrame([(1, "of the of, the of"), (2, "a a a"), (3, "Of-the"), (4, None)], "doc_id long, text string")
+    found = search.phrases(docs, ["of the"], {"text": 1.0}, "doc_id")
+    assert {r["entry_id"] for r in found.collect()} == {1, 3}
+    assert [r["entry_id"] for r in search.phrases(docs, ["a a", "a"], {"text": 1.0}, "doc_id").collect()] == [2]
+    found.explain()
+    assert "regexp" not in capsys.readouterr().out
+    shown = docs.select("doc_id", search.snippet(F.col("text"), ["the", "a"], 2).alias("s"))
+    assert [r["s"] for r in shown.orderBy("doc_id").collect()] == ["of [the] …", "[a] [a] …", None, None]
+    shown.explain()
+    plan = capsys.readouterr().out
+    assert plan.count("split(") <= 3, plan.count("split(")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
+from ..tables import written
 
 K1, B, RRF = 1.2, 0.75, 60
 LEAST_IDF = 1e-6
@@ -110,16 +111,16 @@ def phrases(entries: DataFrame, terms: list[str], fields: dict[str, float], entr
     whole table, over all columns.  The words of a row never leave it.
     """
     wanted = [t for t in (re.findall("[a-z0-9]+", x.lower()) for x in terms) if t]
-    words = {c: tokens(F.col(c)) for c in fields}
+    low = lambda c: F.lower(F.coalesce(F.col(c), F.lit("")))
 
     def often(c: str, phrase: list[str]) -> Column:
-        w, n = F.col(f"w_{c}"), len(phrase)
-        starts = F.filter(F.transform(w, lambda x, i: F.when(x == phrase[0], i)), lambda i: i.isNotNull())
-        return F.size(F.filter(starts, lambda i: F.slice(w, i + 1, n) == F.array(*map(F.lit, phrase)))) if n > 1 else F.size(F.filter(w, lambda x: x == phrase[0]))
+        # where the first word stands as a whole word and the others follow; occurrences may overlap
+        rest = "".join(f"[^a-z0-9]++{w}(?![a-z0-9])" for w in phrase[1:])
+        return F.regexp_count(low(c), F.lit(f"(?<![a-z0-9]){phrase[0]}(?![a-z0-9])(?={rest})"))
 
-    rows = entries.select(F.col(entry).alias("entry_id"), *[w.alias(f"w_{c}") for c, w in words.items()])
-    length = sum((F.size(f"w_{c}") for c in fields), F.lit(0))
-    rows = rows.select("entry_id", length.alias("dl"), *[sum((often(c, p) * F.lit(float(x)) for c, x in fields.items()), F.lit(0.0)).alias(f"t{i}") for i, p in enumerate(wanted)])
+    length = sum((F.size(tokens(F.col(c))) for c in fields), F.lit(0))
+    # numbers only, so texts are read once
+    rows = written(entries.select(F.col(entry).alias("entry_id"), length.alias("dl"), *[sum((often(c, p) * F.lit(float(x)) for c, x in fields.items()), F.lit(0.0)).alias(f"t{i}") for i, p in enumerate(wanted)]))
     stats = rows.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *[F.count_if(F.col(f"t{i}") > 0).alias(f"n{i}") for i in range(len(wanted))])
     every = rows.where(" AND ".join(f"t{i} > 0" for i in range(len(wanted))) or "false")
     # the statistics are one row
@@ -131,7 +132,17 @@ def snippet(text: Column, terms: list[str], width: int = 12) -> Column:
     wanted = [w for t in terms for w in re.findall("[a-z0-9]+", t.lower())]
     w = F.filter(F.split(F.coalesce(text, F.lit("")), r"\s+"), lambda x: x != "")
     hit = lambda x: F.lower(F.regexp_replace(x, "[^A-Za-z0-9]", "")).isin(*wanted)
-    at = F.array_position(F.transform(w, hit), True).cast("int")
-    start = F.greatest(at - width // 2, F.lit(1))
-    shown = F.array_join(F.transform(F.slice(w, start, width), lambda x: F.when(hit(x), F.concat(F.lit("["), x, F.lit("]"))).otherwise(x)), " ")
-    return F.when(at > 0, F.concat(F.when(start > 1, "… ").otherwise(""), shown, F.when(start + width - 1 < F.size(w), " …").otherwise("")))
+
+    def found(w: Column) -> Column:
+        # one pattern over all words; none of them holds a space
+        bare = F.split(F.lower(F.regexp_replace(F.array_join(w, " "), "[^A-Za-z0-9 ]", "")), " ", -1)
+        at = F.array_min(F.filter(F.array(*[F.array_position(bare, x) for x in wanted]), lambda i: i > 0)) if wanted else F.lit(0)
+        return F.struct(w.alias("w"), F.coalesce(at, F.lit(0)).cast("int").alias("at"))
+
+    def shown(x: Column) -> Column:
+        w, at = x["w"], x["at"]
+        start = F.greatest(at - width // 2, F.lit(1))
+        words = F.array_join(F.transform(F.slice(w, start, width), lambda y: F.when(hit(y), F.concat(F.lit("["), y, F.lit("]"))).otherwise(y)), " ")
+        return F.when(at > 0, F.concat(F.when(start > 1, "… ").otherwise(""), words, F.when(start + width - 1 < F.size(w), " …").otherwise("")))
+
+    return F.get(F.transform(F.transform(F.array(w), found), shown), F.lit(0))
