@@ -138,6 +138,20 @@ def test_ngram_join_small_blocks_and_hot_tokens(spark, monkeypatch):
             assert {x for x in whole[r["doc_id"]] if len(holders[x]) > 1} <= own <= whole[r["doc_id"]]
 
 
+def test_ngram_join_rounds_end_while_stragglers_are_found(spark, monkeypatch):
+    texts, real, rounds = near_texts(), ngram_join._compared, []
+
+    def one_link(pairs, classes):
+        rounds.append(1)
+        assert len(rounds) <= ngram_join.FEW + 2
+        return real(pairs, classes).limit(1)
+
+    monkeypatch.setattr(ngram_join, "_by_leaders", lambda classes: spark.createDataFrame([], "a long, b long"))
+    monkeypatch.setattr(ngram_join, "_compared", one_link)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.join(table(spark, texts)).collect()}
+    assert got == brute_components(texts)
+
+
 def test_components_of_chain_and_star(spark):
     from threadloom.llm.components import components
 

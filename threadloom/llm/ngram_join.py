@@ -13,7 +13,7 @@ least NUM / DEN.  The join works in four steps, none of which emits the pairs of
 2. Leaders.  Classes with the same min-hash are compared with the most central one of
    them; the links found make components, which become the groups.  In rounds, classes
    are then compared with one class of another group on each of their probe tokens, and
-   groups joined, until a round finds no link.
+   groups joined, until a round joins few.
 3. Token-group matrix.  Groups are split into blocks of about BLOCK classes; each keeps
    the union of its tokens.  The matrix holds which blocks have which tokens in the
    members' index prefixes (rarest tokens first).  A class looks up its probe prefix, in
@@ -43,6 +43,8 @@ WORDS = 5
 NUM, DEN = 3, 4
 HOT = 64
 BLOCK = 16
+#: Star rounds end when one joins no more than a FEWth of the groups that the rounds before it joined.
+FEW = 8
 CHUNK_TOKENS, CHUNK_DOCS = 600_000, 60_000
 BUCKET_TOKENS = 1_000_000
 BITS = 48
@@ -316,13 +318,16 @@ def _by_stars(classes: DataFrame, led: DataFrame) -> DataFrame:
     class of another group that holds it is compared with the leader: one row a posting,
     never a pair of groups.  The leader is the most central class in the first round and
     one by hash, another for each token and round, later on.  What links becomes one
-    group, tokens that only one group holds are put aside, and rounds follow until none
-    finds a link.  A pair is compared once.  Links that no star sees are left to the matrix.
+    group, tokens that only one group holds are put aside, and rounds follow until one
+    joins no more than a part in FEW of the groups that those before it joined: so their
+    number grows with the logarithm of the groups, where a round for each last straggler
+    of a large group would send the group's postings each time.  A pair is compared once.
+    Links that no star sees are left to the matrix, which finds all of them.
     """
     labels = written(classes.select("node").join(components(led), "node", "left").select("node", F.coalesce("component", "node").alias("component")))
     # exploded twice rather than written: most tokens are of one group and go with the leaders
     held = _prefix(classes.drop("keys", "index", "tokens").join(labels, "node"), "probe", "node", "central")
-    tried = None
+    tried, before = None, 0
     for turn in itertools.count():
         lead = F.xxhash64("token", "node", F.lit(turn)) if turn else F.col("central")
         top = F.max(F.struct(lead.alias("lead"), "node", "n", "component")).alias("top")
@@ -332,11 +337,13 @@ def _by_stars(classes: DataFrame, led: DataFrame) -> DataFrame:
         stars = held.where(f"component <> of AND nb <= most AND least(n, nb) * {DEN} >= greatest(n, nb) * {NUM}").groupBy(F.col("node").alias("a"), "b").agg(F.first("component").alias("ca"), F.first("of").alias("cb"))
         stars = written(stars.join(tried, ["a", "b"], "left_anti") if tried else stars)
         found = written(stars.join(_compared(stars.select("a", "b"), classes), ["a", "b"]).select("ca", "cb"))
-        if turn and found.isEmpty():
-            return labels
-        tried = stars.select("a", "b") if tried is None else tried.unionByName(stars.select("a", "b"))
         moved = written(components(found, "ca", "cb").select(F.col("node").alias("component"), F.col("component").alias("to")))
         labels = written(labels.join(moved, "component", "left").select("node", F.coalesce("to", "component").alias("component")))
+        joined = moved.where("component <> to").count()
+        if turn and joined * FEW <= before:
+            return labels
+        before += joined
+        tried = stars.select("a", "b") if tried is None else tried.unionByName(stars.select("a", "b"))
         held = written(held.drop("b", "nb", "of").join(moved, "component", "left").withColumn("component", F.coalesce("to", "component")).drop("to"))
 
 
