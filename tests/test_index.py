@@ -75,6 +75,16 @@ def test_substrings(spark, tmp_path):
         assert got.keys() == want.keys() and all(math.isclose(got[i], want[i], rel_tol=1e-9) for i in want), needle
 
 
+def test_rows_of_an_index_are_tokens_of_blocks(spark, tmp_path):
+    df = spark.createDataFrame([(i, f"the levy of {i % 10}") for i in range(1000)], "entry_id long, text string").coalesce(1)
+    index.write_index(df, f"file://{tmp_path}/w", ("text",))
+    index.write_grams(df, f"file://{tmp_path}/g")
+    # 13 words and 20 trigrams, not 4 and 11 for each of 1,000 texts
+    assert spark.read.parquet(f"file://{tmp_path}/w/postings").where("token IS NOT NULL").count() == 13
+    assert spark.read.parquet(f"file://{tmp_path}/g/grams").count() == 20
+    assert index.match(spark, f"file://{tmp_path}/w", ["levy of"]).count() == 1000 == index.holding(df, f"file://{tmp_path}/g", "levy").count()
+
+
 def test_empty_and_expressions(spark, tmp_path):
     none = spark.createDataFrame([], "entry_id long, text string")
     index.write_index(none, f"file://{tmp_path}/w", ("text",))

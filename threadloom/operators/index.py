@@ -9,11 +9,13 @@ which three characters; who holds all of a needle's is read again and checked ex
 
 from __future__ import annotations
 
+import itertools
 import re
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,6 +23,8 @@ from pyspark.sql import functions as F
 from .search import K1, LEAST_IDF, B, is_identifier, query_terms
 
 _WORD = re.compile(r"[^\W_]+")
+#: Words, or trigrams of each text, that a task gathers before it hands their rows on.
+BLOCK = 500_000
 
 # Suffixes of Porter's steps 2, 3 and 4 (M. F. Porter, An algorithm for suffix stripping, 1980).
 STEP2 = {"ational": "ate", "tional": "tion", "enci": "ence", "anci": "ance", "izer": "ize", "abli": "able", "alli": "al", "entli": "ent", "eli": "e", "ousli": "ous", "ization": "ize", "ation": "ate", "ator": "ate", "alism": "al", "iveness": "ive", "fulness": "ful", "ousness": "ous", "aliti": "al", "iviti": "ive", "biliti": "ble"}
@@ -96,49 +100,87 @@ def _bucket(token: str, buckets) -> Column:
 def write_index(entries: DataFrame, path: str, fields: tuple[str, ...], entry: str = "entry_id", buckets: int = 64, stemmed: bool = True) -> None:
     """Index the words of the named columns for `match`.
 
-    `path`/postings has (token, entry_id, field, places, dl) by bucket of the token;
-    dl is the number of words over all fields.  Texts are read once, postings shuffled
-    once, a bucket's rows over several files, so a frequent word is never one task's.
+    `path`/postings has, by bucket of the token, a row (token, field, entries, dls, places)
+    for each token of a block of texts: the entries that hold it, their numbers of words
+    over all fields, and its places in each.  So rows are a block's tokens, not each
+    text's.  Texts are read once, postings shuffled once, a bucket's rows over several
+    files, so a frequent word is never one task's.  Rows without a token have words of blocks.
     """
     kind = entries.schema[entry].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: tuple[list, ...] = ([], [], [], [], [])
+            held: list[tuple] = []
+            words = 0
             for ident, *texts in zip(*(c.to_pylist() for c in batch.columns)):
                 read = [index_words(t, stemmed) for t in texts]
                 dl = sum(map(len, read))
-                for field, words in enumerate(read):
-                    places: dict[str, list[int]] = {}
-                    for i, w in enumerate(words):
-                        places.setdefault(w, []).append(i)
-                    for w, at in places.items():
-                        for column, value in zip(out, (w, ident, field, at, dl)):
-                            column.append(value)
-                if len(out[0]) > 100_000:
-                    yield _postings(out, batch.column(0).type)
-                    out = ([], [], [], [], [])
-            yield _postings(out, batch.column(0).type)
+                held += [(ident, field, dl, found) for field, found in enumerate(read) if found]
+                words += dl
+                if words > BLOCK:
+                    yield _postings(held, words, batch.column(0).type)
+                    held, words = [], 0
+            yield _postings(held, words, batch.column(0).type)
 
     own = entries.select(F.col(entry).alias("entry_id"), *[F.col(f) for f in fields])
-    rows = own.mapInArrow(run, f"token string, entry_id {kind}, field int, places array<int>, dl int")
-    dealt = rows.withColumn("bucket", _bucket("token", buckets)).repartition("bucket", F.pmod(F.xxhash64("entry_id"), F.lit(4))).sortWithinPartitions("bucket", "token")
+    rows = own.mapInArrow(run, _columns("postings", kind))
+    bucket = F.when(F.col("token").isNull(), F.lit(-1)).otherwise(_bucket("token", buckets))
+    dealt = rows.withColumn("bucket", bucket).repartition("bucket", F.pmod(F.xxhash64(F.get("entries", F.lit(0))), F.lit(4))).sortWithinPartitions("bucket", "token")
     dealt.write.option("parquet.writer.version", "v2").partitionBy("bucket").parquet(f"{path}/postings")
-    lengths = _all(entries.sparkSession, f"{path}/postings", kind).groupBy("entry_id").agg(F.max("dl").alias("dl"))
+    blocks = _blocks(entries.sparkSession, f"{path}/postings", kind).where("bucket = -1")
     total = entries.agg(F.count("*").alias("n"))
-    stats = lengths.agg(F.coalesce(F.sum("dl"), F.lit(0)).alias("words")).join(total)
+    stats = blocks.agg(F.coalesce(F.sum("words"), F.lit(0)).alias("words")).join(total)
     stats.select("n", (F.col("words") / F.greatest(F.col("n"), F.lit(1))).alias("avgdl"), F.lit(buckets).alias("buckets"), F.lit(stemmed).alias("stemmed"), F.lit(kind).alias("kind"), F.array(*map(F.lit, fields)).alias("fields")).write.parquet(f"{path}/stats")
 
 
-def _postings(columns: tuple[list, ...], ident: pa.DataType) -> pa.RecordBatch:
-    types = (pa.string(), ident, pa.int32(), pa.list_(pa.int32()), pa.int32())
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["token", "entry_id", "field", "places", "dl"])
-
-
-def _all(spark: SparkSession, path: str, kind: str) -> DataFrame:
-    """All postings; the schema is stated, as an index of an empty table has no files."""
-    columns = f"gram string, entry_id {kind}" if path.endswith("grams") else f"token string, entry_id {kind}, field int, places array<int>, dl int"
-    return spark.read.schema(f"{columns}, bucket int").parquet(path)
+def _starts(*keys: np.ndarray) -> np.ndarray:
+    """Where a run of equal keys starts, and the end."""
+    new = np.zeros(len(keys[0]), bool)
+    new[:1] = True
+    for k in keys:
+        new[1:] |= k[1:] != k[:-1]
+    return np.append(np.flatnonzero(new), len(new)).astype(np.int32)
+
+
+def _postings(held: list[tuple], words: int, ident: pa.DataType) -> pa.RecordBatch:
+    """Rows of a block of (entry, field, number of words, words), and one for how many words it has."""
+    coded = pa.array(list(itertools.chain.from_iterable(h[3] for h in held)), pa.string()).dictionary_encode()
+    size = np.array([len(h[3]) for h in held], np.int64)
+    text = np.repeat(np.arange(len(held)), size)
+    place = np.arange(len(text)) - np.repeat(np.cumsum(size) - size, size)
+    field = np.array([h[1] for h in held], np.int32)
+    code = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    order = np.lexsort((field[text], code))  # stable: texts and places ascend
+    code, text = code[order], text[order]
+    entry = _starts(code, field[text], text)
+    row = _starts(code[entry[:-1]], field[text[entry[:-1]]])
+    of, first = text[entry[:-1]], entry[row[:-1]]
+    ends = pa.array(np.append(row, row[-1]), pa.int32())
+    lists = lambda values: pa.ListArray.from_arrays(ends, values)
+    idents = pa.array([h[0] for h in held], ident).take(pa.array(of))
+    dls = pa.array(np.array([h[2] for h in held], np.int32)[of])
+    places = pa.ListArray.from_arrays(pa.array(entry), pa.array(place[order].astype(np.int32)))
+    more = lambda x, last: pa.concat_arrays([x, last])
+    tokens = more(coded.dictionary.take(pa.array(code[first])), pa.nulls(1, pa.string()))
+    fields = more(pa.array(field[text[first]], pa.int32()), pa.nulls(1, pa.int32()))
+    count = more(pa.nulls(len(first), pa.int64()), pa.array([words], pa.int64()))
+    return pa.RecordBatch.from_arrays([tokens, fields, lists(idents), lists(dls), lists(places), count], ["token", "field", "entries", "dls", "places", "words"])
+
+
+def _columns(name: str, kind: str) -> str:
+    return f"gram string, entries array<{kind}>" if name == "grams" else f"token string, field int, entries array<{kind}>, dls array<int>, places array<array<int>>, words long"
+
+
+def _blocks(spark: SparkSession, path: str, kind: str) -> DataFrame:
+    """Rows of blocks; the schema is stated, as an index of an empty table has no files."""
+    return spark.read.schema(f"{_columns(path.rsplit('/', 1)[-1], kind)}, bucket int").parquet(path)
+
+
+def _each(blocks: DataFrame) -> DataFrame:
+    """A row for each entry of a block's row: (token, field, entry_id, dl, places) or (gram, entry_id)."""
+    if "gram" in blocks.columns:
+        return blocks.select("gram", F.explode("entries").alias("entry_id"))
+    return blocks.select("token", "field", F.inline(F.arrays_zip(F.col("entries").alias("entry_id"), F.col("dls").alias("dl"), "places")))
 
 
 def _read(spark: SparkSession, path: str, column: str, wanted: list[str], stats) -> DataFrame:
@@ -146,7 +188,7 @@ def _read(spark: SparkSession, path: str, column: str, wanted: list[str], stats)
     buckets = stats["buckets"]
     # one row for each token of a query
     of = spark.createDataFrame([(w,) for w in wanted], f"{column} string").select(_bucket(column, buckets).alias("b")).distinct().collect()
-    return _all(spark, path, stats["kind"]).where(F.col("bucket").isin([r["b"] for r in of]) & F.col(column).isin(wanted))
+    return _each(_blocks(spark, path, stats["kind"]).where(F.col("bucket").isin([r["b"] for r in of]) & F.col(column).isin(wanted)))
 
 
 def _score(tf: Column, held: Column, dl: Column, n: Column, avgdl: Column) -> Column:
@@ -163,7 +205,7 @@ def match(spark: SparkSession, path: str, terms: list[str], weights: dict[str, f
     stats = spark.read.parquet(f"{path}/stats").first()
     phrases = [index_words(t, stats["stemmed"]) for t in terms]
     if not phrases or not all(phrases):
-        return _all(spark, f"{path}/postings", stats["kind"]).where("false").select("entry_id", F.lit(0.0).alias("score"))
+        return _each(_blocks(spark, f"{path}/postings", stats["kind"]).where("false")).select("entry_id", F.lit(0.0).alias("score"))
     rows = _read(spark, f"{path}/postings", "token", sorted({w for p in phrases for w in p}), stats)
     weight = F.element_at(F.array(*[F.lit(float((weights or {}).get(f, 1.0))) for f in stats["fields"]]), F.col("field") + 1)
     found = None
@@ -191,23 +233,35 @@ def _shifted(places: Column, by: int) -> Column:
 
 
 def write_grams(entries: DataFrame, path: str, entry: str = "entry_id", text: str = "text", buckets: int = 64) -> None:
-    """Index the trigrams of a column for `holding`: (gram, entry_id) by bucket of the gram, and the table's counts."""
+    """Index the trigrams of a column for `holding`: a row (gram, entries) for each gram of a block of texts, by bucket of the gram, and the table's counts."""
     kind = entries.schema[entry].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for ident, text in zip(batch.column(0), batch.column(1).to_pylist()):
+            held: dict[str, list] = {}
+            seen = 0
+            for ident, text in zip(*(c.to_pylist() for c in batch.columns)):
                 low = (text or "").lower()
-                found = sorted({low[i : i + 3] for i in range(len(low) - 2)})
-                yield pa.RecordBatch.from_arrays([pa.array(found, pa.string()), pa.array([ident.as_py()] * len(found), batch.column(0).type)], ["gram", "entry_id"])
-
-    rows = entries.select(F.col(entry).alias("entry_id"), F.col(text).alias("text")).mapInArrow(run, f"gram string, entry_id {kind}")
-    dealt = rows.withColumn("bucket", _bucket("gram", buckets)).repartition("bucket", F.pmod(F.xxhash64("entry_id"), F.lit(4))).sortWithinPartitions("bucket", "gram", "entry_id")
+                for gram in {low[i : i + 3] for i in range(len(low) - 2)}:
+                    held.setdefault(gram, []).append(ident)
+                    seen += 1
+                if seen > BLOCK:
+                    yield _grams(held, batch.column(0).type)
+                    held, seen = {}, 0
+            yield _grams(held, batch.column(0).type)
+
+    rows = entries.select(F.col(entry).alias("entry_id"), F.col(text).alias("text")).mapInArrow(run, _columns("grams", kind))
+    dealt = rows.withColumn("bucket", _bucket("gram", buckets)).repartition("bucket", F.pmod(F.xxhash64(F.get("entries", F.lit(0))), F.lit(4))).sortWithinPartitions("bucket", "gram")
     dealt.write.option("parquet.writer.version", "v2").partitionBy("bucket").parquet(f"{path}/grams")
     size = F.greatest(F.length(F.coalesce(F.col(text), F.lit(""))) - 2, F.lit(0))
     entries.agg(F.count("*").alias("n"), F.coalesce(F.avg(size), F.lit(0.0)).alias("avgdl"), F.lit(buckets).alias("buckets"), F.lit(kind).alias("kind")).write.parquet(f"{path}/stats")
 
 
+def _grams(held: dict[str, list], ident: pa.DataType) -> pa.RecordBatch:
+    ends = pa.array([0, *itertools.accumulate(map(len, held.values()))], pa.int32())
+    return pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.ListArray.from_arrays(ends, pa.array(list(itertools.chain.from_iterable(held.values())), ident))], ["gram", "entries"])
+
+
 def holding(entries: DataFrame, path: str, needle: str, entry: str = "entry_id", text: str = "text") -> DataFrame:
     """(entry_id, score) of the entries whose text holds a string of three characters or more, whatever its case.
 
