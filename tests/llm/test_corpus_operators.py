@@ -152,6 +152,22 @@ def test_ngram_join_rounds_end_while_stragglers_are_found(spark, monkeypatch):
     assert got == brute_components(texts)
 
 
+def test_ngram_join_groups_that_share_passages_meet_as_blocks(spark, monkeypatch):
+    passages = [" ".join(f"p{i}x{k}" for k in range(100)) for i in range(32)]
+    texts = [f"{x} {y}" for x in passages[:16] for y in passages[16:]]  # any two share a half at most
+    texts += [texts[0] + " near", texts[-1] + " copy"]
+    real, rows = ngram_join._meeting, []
+
+    def counted(*args):
+        rows.append(real(*args).count())
+        return real(*args)
+
+    monkeypatch.setattr(ngram_join, "_meeting", counted)
+    got = {r["doc_id"]: r["component_id"] for r in ngram_join.join(table(spark, texts)).collect()}
+    assert got == {i: i for i in range(256)} | {256: 0, 257: 255}
+    assert 0 < rows[0] < 100 * len(texts)
+
+
 def test_components_of_chain_and_star(spark):
     from threadloom.llm.components import components
 

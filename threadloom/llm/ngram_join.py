@@ -1,4 +1,4 @@
-"""Exact n-gram Jaccard join by a token-group matrix.
+"""Exact n-gram Jaccard join by a token-block matrix.
 
 Two documents link when |A n B| / |A u B| of their sets of five-word shingles is at
 least NUM / DEN.  The join works in four steps, none of which emits the pairs of a group.
@@ -14,12 +14,15 @@ least NUM / DEN.  The join works in four steps, none of which emits the pairs of
    them; the links found make components, which become the groups.  In rounds, classes
    are then compared with one class of another group on each of their probe tokens, and
    groups joined, until a round joins few.
-3. Token-group matrix.  Groups are split into blocks of about BLOCK classes; each keeps
-   the union of its tokens.  The matrix holds which blocks have which tokens in the
-   members' index prefixes (rarest tokens first).  A class looks up its probe prefix, in
-   groups other than its own, within the bounds that sizes and own tokens set.
-4. A block is opened only if the class shares enough with the block's union; then the
-   members are compared exactly.  Links join with those of step 2 to components.
+3. Token-block matrix.  Classes are dealt to blocks of about BLOCK: those of a large group
+   to blocks of its own, those of small groups that share their most common token to
+   blocks of many groups, so that groups which share tokens but do not link meet as
+   blocks.  The matrix holds which blocks have which tokens in the members' index
+   prefixes (rarest tokens first).  A block looks up its members' probe prefixes within
+   the bounds that sizes and own tokens set; a pair of blocks of one group is left out.
+4. Of a pair of blocks, classes that share enough with the other block's union are
+   compared exactly, until each two groups have a link.  Links join with those of step 2
+   to components.
 
 Any grouping gives the same components; a poor one only opens more blocks.
 """
@@ -212,12 +215,12 @@ def _documents(table: pa.Table) -> pa.Table:
     return pa.Table.from_arrays([pa.array(at, pa.int64()), listed.column("doc_id"), listed.column("n"), listed.column("digest"), pa.array(tokens, pa.binary()), pa.array(counts, pa.binary())], schema=_FOUND)
 
 
-CLASS = "node long, n long, own long, central double, keys array<long>, probe array<long>, index array<long>, tokens binary"
+CLASS = "node long, n long, own long, central double, common long, keys array<long>, probe array<long>, index array<long>, tokens binary"
 
 
 def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Classes that may have links: tokens shared with other classes, prefixes, min-hashes."""
-    types = [pa.int64()] * 3 + [pa.float64()] + [pa.list_(pa.int64())] * 3 + [pa.binary()]
+    types = [pa.int64()] * 3 + [pa.float64(), pa.int64()] + [pa.list_(pa.int64())] * 3 + [pa.binary()]
     names = [x.split()[0] for x in CLASS.split(", ")]
     for batch in batches:
         rows = []
@@ -233,7 +236,7 @@ def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             # the smaller of two linked documents shares 2 NUM / (NUM + DEN) of its tokens at least
             least = -(-2 * NUM * n // (NUM + DEN))
             keys = [int(_mix(token ^ s).min().astype(np.int64)) for s in _SEEDS]
-            rows.append((node.as_py(), n, own, float(count.sum()) / n, keys, at[: _own(n) - own].tolist(), at[: max(0, n - least + 1 - own)].tolist(), token.tobytes()))
+            rows.append((node.as_py(), n, own, float(count.sum()) / n, int(at[-1]), keys, at[: _own(n) - own].tolist(), at[: max(0, n - least + 1 - own)].tolist(), token.tobytes()))
         yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), types)] if rows else [pa.array([], t) for t in types], names)
 
 
@@ -249,27 +252,29 @@ def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links of a class with a block's members; the block is opened if its union allows one.
+    """Links between the members of two blocks, one for each two groups that have any.
 
-    A class joins its block's group by one link, as all members are of one component.
+    One is enough, as all members of a group are of one component.  Only members are
+    compared that share enough with the union of the other block.
     """
-    for batch in batches:
-        rows = []
-        for node, n, tokens, least, union, members in zip(*(batch.column(c) for c in ("node", "n", "tokens", "least", "union", "members"))):
-            own, n = np.frombuffer(tokens.as_py(), _U), n.as_py()
-            if not links(_overlap(own, np.frombuffer(union.as_py(), _U)), n, least.as_py()):
-                continue
-            for m in members.as_py():
-                if m["n"] <= n and NUM * n <= DEN * m["n"] and links(_overlap(own, np.frombuffer(m["tokens"], _U)), n, m["n"]):
-                    rows.append((node.as_py(), m["node"]))
-                    break
-        yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in rows], pa.int64()), pa.array([x for _, x in rows], pa.int64())], ["a", "b"])
 
+    def near(members: list[dict], others: list[dict]) -> list[dict]:
+        union, least = np.unique(np.concatenate([m["tokens"] for m in others])), min(m["n"] for m in others)
+        return [m for m in members if links(_overlap(m["tokens"], union), m["n"], least)]
 
-def _union(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        unions = [np.unique(np.concatenate([np.frombuffer(m["tokens"], _U) for m in v.as_py()])).tobytes() for v in batch.column(2)]
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(unions, pa.binary())], ["block", "least", "members", "union"])
+        rows = []
+        for sides in zip(batch.column("x"), batch.column("y")):
+            x, y = ([m | {"tokens": np.frombuffer(m["tokens"], _U)} for m in side.as_py()] for side in sides)
+            x = near(x, y)
+            y = near(y, x) if x else []
+            done = set()
+            for p, q in itertools.product(x, y):
+                pair = min(p["component"], q["component"]), max(p["component"], q["component"])
+                if pair[0] < pair[1] and pair not in done and min(p["n"], q["n"]) * DEN >= max(p["n"], q["n"]) * NUM and links(_overlap(p["tokens"], q["tokens"]), p["n"], q["n"]):
+                    done.add(pair)
+                    rows.append((p["node"], q["node"]))
+        yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in rows], pa.int64()), pa.array([x for _, x in rows], pa.int64())], ["a", "b"])
 
 
 def _compared(pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -295,20 +300,49 @@ def _prefix(grouped: DataFrame, prefix: str, *columns: str) -> DataFrame:
     return rows.withColumn("most", F.expr(f"({NUM + DEN} * (n - own - place)) div {NUM} - n"))
 
 
-def _matrix(grouped: DataFrame) -> DataFrame:
-    """(token, component, block, lo, hi, most): which blocks of groups have which tokens in index prefixes."""
-    return _prefix(grouped, "index", "block").groupBy("token", "component", "block").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.max("most").alias("most"))
+def _dealt(grouped: DataFrame) -> DataFrame:
+    """The classes with a bucket and one of its blocks: a large group's own, or that of small groups with the same most common token."""
+    sizes = grouped.groupBy("component").agg(F.count("*").alias("k"), F.max(F.struct("central", "common")).alias("top"))
+    buckets = sizes.select("component", F.when(F.col("k") >= BLOCK, F.xxhash64("component", F.lit(0))).otherwise(F.xxhash64("top.common")).alias("bucket"))
+    dealt = written(grouped.join(buckets, "component"))
+    blocks = dealt.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    return written(dealt.join(blocks, "bucket").withColumn("block", F.xxhash64("bucket", F.pmod(F.xxhash64("node"), "blocks"))))
+
+
+#: Bounds of the sizes and of the groups of the classes in a bucket or block that hold a token.
+BOUNDS = {"lo": F.min, "hi": F.max, "most": F.max, "first": F.min, "last": F.max}
+
+
+def _bounded(rows: DataFrame, *level: str) -> DataFrame:
+    return rows.groupBy(*level).agg(*(least_or_most(name).alias(name) for name, least_or_most in BOUNDS.items()))
+
+
+def _matrix(dealt: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(column, bucket, block and bounds) twice: which blocks hold which columns in probe and in index prefixes.
+
+    A column stands for all tokens that the same blocks hold, as those of a passage that
+    classes share, so that two blocks do not meet on each of them.
+    """
+    as_bounds = ("token", "bucket", "block", F.col("n").alias("lo"), F.col("n").alias("hi"), "most", F.col("component").alias("first"), F.col("component").alias("last"))
+    x, y = (written(_bounded(_prefix(dealt, prefix, "bucket", "block").select(*as_bounds), "token", "bucket", "block")) for prefix in ("probe", "index"))
+    holders = x.select("token", "block", F.lit(0).alias("side")).unionByName(y.select("token", "block", F.lit(1).alias("side")))
+    marks = (F.bit_xor(F.xxhash64("block", "side", F.lit(k))) for k in range(2))
+    columns = written(holders.groupBy("token").agg(F.xxhash64(*marks, F.count("*")).alias("column")))
+    x, y = (written(_bounded(side.join(columns, "token"), "column", "bucket", "block")) for side in (x, y))
+    return x, y
+
+
+#: Whether a member of x can link, as the larger one, with a member of y of another group.
+MAY_LINK = f"x.hi >= y.lo AND x.lo * {NUM} <= y.hi * {DEN} AND y.lo <= x.most AND x.lo <= y.most AND least(x.first, y.first) < greatest(x.last, y.last)"
 
 
-def _meeting(grouped: DataFrame, matrix: DataFrame) -> DataFrame:
-    """(token, own, other): groups whose probe prefixes meet another group's row of the matrix."""
-    rows = _prefix(grouped, "probe").groupBy("token", "component").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.max("most").alias("most"))
-    columns = matrix.groupBy("token", "component").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.max("most").alias("most"))
-    return (
-        rows.alias("x")
-        .join(columns.alias("y"), F.expr(f"x.token = y.token AND x.component <> y.component AND x.hi >= y.lo AND x.lo * {NUM} <= y.hi * {DEN} AND y.lo <= x.most AND x.lo <= y.most"))
-        .select("x.token", F.col("x.component").alias("own"), F.col("y.component").alias("other"))
-    )
+def _meeting(dealt: DataFrame) -> DataFrame:
+    """(a, b) for each column on which blocks meet; buckets are paired first, so that the blocks of a large group never are with each other."""
+    probe, index = _matrix(dealt)
+    x, y = (_bounded(side, "column", "bucket").alias(name) for name, side in (("x", probe), ("y", index)))
+    meet = written(x.join(y, F.expr(f"x.column = y.column AND {MAY_LINK}")).select("x.column", F.col("x.bucket").alias("own"), F.col("y.bucket").alias("other")))
+    found = probe.alias("x").join(meet.alias("m"), F.expr("x.column = m.column AND x.bucket = m.own")).join(index.alias("y"), F.expr(f"y.column = m.column AND y.bucket = m.other AND {MAY_LINK}"))
+    return found.select(F.least("x.block", "y.block").alias("a"), F.greatest("x.block", "y.block").alias("b"))
 
 
 def _by_stars(classes: DataFrame, led: DataFrame) -> DataFrame:
@@ -348,23 +382,13 @@ def _by_stars(classes: DataFrame, led: DataFrame) -> DataFrame:
 
 
 def _by_matrix(grouped: DataFrame) -> DataFrame:
-    """Links between classes of different groups, by the token-group matrix."""
-    sizes = grouped.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
-    dealt = written(grouped.join(sizes, "component").withColumn("block", F.xxhash64("component", F.pmod(F.xxhash64("node"), "blocks"))))
-    matrix = _matrix(dealt)
-    meet = written(_meeting(dealt, matrix))
-    pairs = (
-        _prefix(dealt, "probe", "node").alias("x")
-        .join(meet.alias("m"), F.expr("x.token = m.token AND x.component = m.own"))
-        .join(matrix.alias("y"), F.expr(f"y.token = m.token AND y.component = m.other AND x.n >= y.lo AND x.n * {NUM} <= y.hi * {DEN} AND y.lo <= x.most AND x.n <= y.most"))
-        .select("x.node", "y.block")
-        .distinct()
-    )
-    pairs = written(pairs)
-    members = F.collect_list(F.struct("node", "n", "tokens")).alias("members")
-    used = dealt.join(pairs.select("block").distinct(), "block", "left_semi").groupBy("block").agg(F.min("n").alias("least"), members)
-    blocks = used.mapInArrow(_union, "block long, least long, members array<struct<node:bigint,n:bigint,tokens:binary>>, union binary")
-    return pairs.join(grouped.select("node", "n", "tokens"), "node").join(blocks, "block").select("node", "n", "tokens", "least", "union", "members").mapInArrow(_opened, "a long, b long")
+    """Links between classes of different groups, by the token-block matrix."""
+    dealt = _dealt(grouped)
+    pairs = written(_meeting(dealt).distinct())
+    used = dealt.join(pairs.select(F.explode(F.array("a", "b")).alias("block")).distinct(), "block", "left_semi")
+    blocks = written(used.groupBy("block").agg(F.collect_list(F.struct("node", "component", "n", "tokens")).alias("members")))
+    x, y = (blocks.select(F.col("block").alias(side), F.col("members").alias(name)) for side, name in (("a", "x"), ("b", "y")))
+    return pairs.join(x, "a").join(y, "b").select("x", "y").mapInArrow(_opened, "a long, b long")
 
 
 def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
