@@ -68,6 +68,17 @@ def test_media_ways_by_estimate_at_every_size():
             assert b"".join(p.tobytes() for p in media.samples(media.images(data))) == data, kind
 
 
+def test_media_copies_of_a_few_pixels():
+    r = np.random.default_rng(4)
+    letters = lambda n: bytes(r.choice(list(b"etaoin shrdlucmfwypvbgkqj"), n).astype(np.uint8))
+    phrase = letters(40)
+    data = b"".join(phrase + letters(24) for _ in range(60))
+    images = media.images(data)
+    pixels = np.frombuffer(data, "<u4").reshape(-1, 16)
+    assert sum(map(len, images)) < 0.8 * len(webp.encode(pixels, copies=0, shared=True, **media.WAYS[media.way(pixels)][0]))
+    assert b"".join(p.tobytes() for p in media.samples(images)) == data
+
+
 @pytest.mark.parametrize("shape", [(1, 1), (3, 16), (40, 17)])
 def test_webp_pixels(shape):
     r = np.random.default_rng(1)

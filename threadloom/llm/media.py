@@ -82,7 +82,7 @@ def images(data: bytes) -> list[bytes]:
     """Lossless WebP files of a payload, each written once, in the way that `way` estimates best."""
     pixels = np.frombuffer(data, "<u4").reshape(-1, WIDTH)
     parts = [pixels[i : i + ROWS] for i in range(0, len(pixels), ROWS)]
-    return [webp.encode(part, copies=16, shared=True, **WAYS[way(part)][0]) for part in parts]
+    return [webp.encode(part, shared=True, **WAYS[way(part)][0]) for part in parts]
 
 
 def samples(media: list[bytes]) -> list[np.ndarray]:
