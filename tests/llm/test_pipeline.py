@@ -3,6 +3,7 @@
 import os
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
@@ -77,3 +78,33 @@ def test_odd_rows_go_through_every_stage(spark, tmp_path):
     empty = docs.limit(0)
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, str(tmp_path)).count() == 0, name
+
+
+def test_workers_get_small_batches_of_large_tables(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from threadloom.llm import ngram_join, packing, secrets, toxicity
+    from threadloom.llm.common import BATCH, BATCH_BYTES, mapped
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows]), pa.array([b.nbytes])], ["n", "size"])
+
+    def docs(session):
+        return session.range(0, 4000, 1, 1).select(F.col("id").alias("doc_id"), F.repeat(F.concat(F.col("id").cast("string"), F.lit(" word ")), F.when(F.col("id") == 7, 900_000).otherwise(500)).alias("text"))
+
+    # every stage that hands texts to Python sets the bound, where its session has none
+    small = [(0, "some words"), (1, None)]
+    for stage in (packing.pack, secrets.redact, secrets.spans, ngram_join.join, lambda d: toxicity.score(d, toxicity.Model({}, 0.0))):
+        session = spark.newSession()
+        assert stage(session.createDataFrame(small, "doc_id long, text string")).count() == 2
+        assert int(session.conf.get(BATCH).rstrip("b")) == BATCH_BYTES
+    session = spark.newSession()
+    got = mapped(docs(session), sizes, "n long, size long").collect()
+    longest = max(r["size"] for r in got)
+    assert sum(r["n"] for r in got) == 4000 and longest > 5_000_000 and all(r["size"] < BATCH_BYTES + 100_000 for r in got if r["size"] != longest)
+    # the session's own bound holds, and what is packed does not depend on it
+    other = spark.newSession()
+    other.conf.set(BATCH, "64m")
+    rows = [sorted(packing.pack(docs(s).where("doc_id < 900")).collect()) for s in (session, other)]
+    assert rows[0] == rows[1] and other.conf.get(BATCH) in ("64m", "67108864b")

@@ -39,7 +39,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, written
+from .common import fresh, give_back, mapped, written
 from .components import components
 
 WORDS = 5
@@ -170,6 +170,7 @@ def _postings(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.Re
 
 def _shared(table: pa.Table) -> pa.Table:
     """Of a token range: to each chunk its tokens that are elsewhere too, with their counts up to HOT."""
+    give_back()
     rows = table.to_pylist()
     own = [(r["chunk"], _unsqueeze(r["a"]), np.frombuffer(r["b"], "<u2"), np.frombuffer(r["c"], _U), np.frombuffer(r["d"], np.uint32)) for r in rows if not r["listed"]]
     every = np.sort(np.concatenate([np.empty(0, _U), *(t for _, t, *_ in own)]))
@@ -195,6 +196,7 @@ def _own(n: int) -> int:
 
 def _documents(table: pa.Table) -> pa.Table:
     """Of a chunk: its documents, with their shared tokens where a link is possible."""
+    give_back()
     rows = table.to_pylist()
     head = next(r for r in rows if r["listed"])
     listed = pa.ipc.open_stream(head["a"]).read_all()
@@ -280,7 +282,8 @@ def _opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _compared(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     """Those of the pairs (a, b) of classes that link."""
     x, y = (classes.select(F.col("node").alias(s), F.col("n").alias(f"n{s}"), F.col("tokens").alias(f"t{s}")) for s in "ab")
-    return pairs.join(x, "a").join(y, "b").where(f"least(na, nb) * {DEN} >= greatest(na, nb) * {NUM}").select("a", "b", "na", "nb", "ta", "tb").mapInArrow(_linked, "a long, b long")
+    sides = pairs.join(x, "a").join(y, "b").where(f"least(na, nb) * {DEN} >= greatest(na, nb) * {NUM}").select("a", "b", "na", "nb", "ta", "tb")
+    return mapped(sides, _linked, "a long, b long")
 
 
 def _by_leaders(classes: DataFrame) -> DataFrame:
@@ -388,7 +391,7 @@ def _by_matrix(grouped: DataFrame) -> DataFrame:
     used = dealt.join(pairs.select(F.explode(F.array("a", "b")).alias("block")).distinct(), "block", "left_semi")
     blocks = written(used.groupBy("block").agg(F.collect_list(F.struct("node", "component", "n", "tokens")).alias("members")))
     x, y = (blocks.select(F.col("block").alias(side), F.col("members").alias(name)) for side, name in (("a", "x"), ("b", "y")))
-    return pairs.join(x, "a").join(y, "b").select("x", "y").mapInArrow(_opened, "a long, b long")
+    return mapped(pairs.join(x, "a").join(y, "b").select("x", "y"), _opened, "a long, b long")
 
 
 def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -402,11 +405,11 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = 1 << max(6, (size // 6 // BUCKET_TOKENS).bit_length())
-    postings = rows.mapInArrow(lambda x: _postings(x, buckets), ROW)
+    postings = mapped(rows, lambda x: _postings(x, buckets), ROW)
     shared = postings.groupBy("bucket").applyInArrow(_shared, ROW)
     found = written(shared.groupBy("chunk").applyInArrow(_documents, FOUND))
     sets = found.where("tokens IS NOT NULL").groupBy("digest").agg(F.min("row").alias("node"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("tokens").alias("tokens"), F.first("counts").alias("counts"))
-    classes = written(sets.select("node", "n", "copies", "tokens", "counts").mapInArrow(_classes, CLASS))
+    classes = written(mapped(sets.select("node", "n", "copies", "tokens", "counts"), _classes, CLASS))
     grouped = _by_stars(classes, written(_by_leaders(classes)))
     more = written(_by_matrix(classes.join(grouped, "node")).join(grouped.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a").join(grouped.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b"))
     moved = components(more, "ca", "cb").select(F.col("node").alias("component"), F.col("component").alias("to"))

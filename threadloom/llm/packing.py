@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
+from .common import mapped
+
 WINDOW = 1024
 SPECIAL, SPECIAL_ID = "<|endoftext|>", 50256
 #: White space that is too long for tiktoken's pattern, with room to spare.
@@ -166,4 +168,4 @@ def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: in
     columns are ignored.  An empty table gives no rows.
     """
     vocabulary = vocabulary or default_vocabulary()
-    return docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].alias("text")).mapInArrow(lambda x: _pack(x, vocabulary, window), SCHEMA)
+    return mapped(docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].alias("text")), lambda x: _pack(x, vocabulary, window), SCHEMA)

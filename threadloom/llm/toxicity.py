@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fresh, written
+from .common import fresh, mapped, written
 
 SAMPLE = 3000
 MAX_CHARS = 20_000
@@ -104,7 +104,7 @@ def learned_names(rows: DataFrame, at_most: int = NAMES, least: int = 3) -> list
             columns = [pa.array([c[i] for c in counts.values()], pa.int64()) for i in range(3)]
             yield pa.RecordBatch.from_arrays([pa.array([*counts], pa.string()), *columns], ["word", "n0", "n1", "plain"])
 
-    counted = rows.select("label", "text").mapInArrow(run, "word string, n0 long, n1 long, plain long").groupBy("word").agg(*[F.sum(c).alias(c) for c in ("n0", "n1", "plain")])
+    counted = mapped(rows.select("label", "text"), run, "word string, n0 long, n1 long, plain long").groupBy("word").agg(*[F.sum(c).alias(c) for c in ("n0", "n1", "plain")])
     good = counted.where((F.col("n0") >= least) & (F.col("n1") >= least) & (F.expr("n0 + n1 >= 4 * plain")))
     return [r["word"] for r in good.orderBy(F.expr("n0 + n1").desc(), "word").limit(at_most).collect()]
 
@@ -131,7 +131,7 @@ def chosen_features(rows: DataFrame, least: int = 3, keep: int = FEATURES, z: fl
     ones, n = train.agg(F.coalesce(F.sum("label"), F.lit(0)), F.count("*")).first()
     if not 0 < ones < n:
         return []
-    counted = train.select("label", "text").mapInArrow(run, "feature long, pos long, n long").groupBy("feature").agg(F.sum("pos").alias("pos"), F.sum("n").alias("n")).where(F.col("n") >= least)
+    counted = mapped(train.select("label", "text"), run, "feature long, pos long, n long").groupBy("feature").agg(F.sum("pos").alias("pos"), F.sum("n").alias("n")).where(F.col("n") >= least)
     expect = F.col("n") * (ones / n)
     scored = counted.select("feature", F.abs((F.col("pos") - expect) / F.sqrt(expect * (1 - ones / n) + 1e-9)).alias("z")).where(F.col("z") >= z)
     return [r["feature"] for r in scored.orderBy(F.desc("z"), "feature").limit(keep).collect()]
@@ -293,7 +293,7 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
             columns = [pa.array([len(s) for s in every], pa.int64()), pa.array([cut(features(words(t))) for t in texts], numbers), pa.array([[p for p, _ in s] for s in changed], pa.list_(numbers)), pa.array([[q for _, q in s] for s in changed], pa.list_(numbers))]
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], *columns], ["id", "label", "held", "pairs", "features", "here", "there"])
 
-    got = rows.mapInArrow(run, "id long, label int, held boolean, pairs long, features array<int>, here array<array<int>>, there array<array<int>>").collect()
+    got = mapped(rows, run, "id long, label int, held boolean, pairs long, features array<int>, here array<array<int>>, there array<array<int>>").collect()
     got = [*{r["id"]: r for r in sorted(got, key=lambda r: (r["id"], sorted(r["features"])))}.values()]
     pairs = [p for r in got for p in zip(r["here"], r["there"])]
     model = fit([r["features"] for r in got], [r["label"] for r in got], [r["held"] for r in got], pairs)
@@ -321,7 +321,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", column: str = "scor
                 scores.append(model.score(v.as_py() or "", kept))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], [*batch.schema.names, column])
 
-    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField(column, T.DoubleType())]))
+    return mapped(rows, run, T.StructType([*rows.schema.fields, T.StructField(column, T.DoubleType())]))
 
 
 def reject(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
